@@ -161,6 +161,10 @@ class WordBpe:
             return self._span(text)
         return b"".join(self.special[x].to_bytes(4, "little") if x in self.special else self._span(x) for x in self.at_special.split(text))
 
+    def encode_ordinary(self, text: str | None) -> bytes:
+        """Special tokens' strings are ordinary text."""
+        return self._span(text) if text else b""
+
     def decode(self, ids: bytes) -> str:
         """Without a decoder in the file, tokens joined by a space."""
         return " ".join(map(self.tokens.__getitem__, array("I", ids)))

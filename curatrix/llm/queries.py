@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints, simhash, toxicity
+from . import bpe, fingerprints, langid, media, packing, quality, simhash, tokencounts, toxicity, warc
 
-QUERIES = {f.__name__: f for f in (fingerprints.op1_fingerprints, bpe.op2_bpe, toxicity.op3_toxicity, simhash.op4_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        fingerprints.op1_fingerprints,
+        bpe.op2_bpe,
+        toxicity.op3_toxicity,
+        simhash.op4_simhash,
+        warc.op5_warc,
+        media.op6_media,
+        tokencounts.op7_token_counts,
+        quality.op8_quality,
+        packing.op9_packing,
+        langid.op10_language,
+    )
+}
 ORACLE: dict[str, str] = {}

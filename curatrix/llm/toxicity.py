@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -124,15 +125,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
     return train(x, np.array([r.y for r in rows], np.float64), slots)
 
 
-def scored(docs: DataFrame, model: Machine | None) -> DataFrame:
-    """doc_id, held_out, score, predicted: one pass over whole texts, no shuffle."""
+def annotated(docs: DataFrame, model: Machine | None) -> DataFrame:
+    """docs, whose columns must have unique names, with score and predicted (1: toxic): one pass over whole texts, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {int(s): i for i, s in enumerate(model.slots)} if model else {}
         memo: dict[str, tuple] = {}
         for b in batches:
             sets = []
-            for t in b.column(2):
+            for t in b.column("text"):
                 if len(memo) > MEMO:
                     memo.clear()
                 pieces = {*(t.as_py() or "").split()}
@@ -140,10 +141,15 @@ def scored(docs: DataFrame, model: Machine | None) -> DataFrame:
                     memo[p] = tuple(at[s] for s in slots_of(p) if s in at)
                 sets.append(np.array([*set().union(*filter(None, map(memo.__getitem__, pieces)))], np.int64))
             s = model.scores(sets) if model else np.zeros(len(sets))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
+
+def scored(docs: DataFrame, model: Machine | None) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(common.fold(F.col("doc_id"), FOLDS) == 0, F.lit(False)).alias("held_out"), "text")
-    return d.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return annotated(d, model).drop("text")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
