@@ -137,7 +137,7 @@ def annotated(docs: DataFrame, model: Machine | None) -> DataFrame:
                 if len(memo) > MEMO:
                     memo.clear()
                 pieces = {*(t.as_py() or "").split()}
-                for p in pieces - memo.keys():
+                for p in [p for p in pieces if p not in memo]:
                     memo[p] = tuple(at[s] for s in slots_of(p) if s in at)
                 sets.append(np.array([*set().union(*filter(None, map(memo.__getitem__, pieces)))], np.int64))
             s = model.scores(sets) if model else np.zeros(len(sets))
