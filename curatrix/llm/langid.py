@@ -144,7 +144,7 @@ def annotated(docs: DataFrame, filters: Filters) -> DataFrame:
                 pieces = text.split()
                 for at in range(0, len(pieces), 100_000):
                     part = pieces[at : at + 100_000]
-                    new = {*part} - memo.keys()
+                    new = {p for p in part if p not in memo}
                     if len(memo) + len(new) > MEMO:
                         memo.clear()
                         new = {*part}

@@ -1,6 +1,6 @@
 """Quality classifier from weak labels.
 
-Heuristic labellers, DataFrame expressions over whole texts, vote good (1), bad (0) or abstain (-1). They overlap and
+Heuristic labellers vote over whole texts: good (1), bad (0), or abstaining (-1). They overlap and
 err; expectation-maximisation over the counts of vote patterns of all documents (at most 3^labellers of them) estimates
 each labeller's accuracy and how often it votes, without any label. The posterior of a pattern is the label on which a
 linear scorer over hashed terms is trained, on at most TRAIN documents; it scores every whole text.
@@ -15,11 +15,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
+from operator import and_, eq
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,55 +34,74 @@ FEW = 8
 MEMO = 400_000
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, 0).when(good, 1).otherwise(-1)
-
-
-def labellers(text: Column) -> dict[str, Column]:
-    """Votes by name: 1 good, 0 bad, -1 abstain."""
-    n = F.length(text)
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    lines = F.filter(F.split(text, r"\n"), lambda x: F.length(x) > 20)
-    n_words = F.size(words)
-    rate = lambda pattern: F.length(F.regexp_replace(text, pattern, "")) / F.greatest(n, F.lit(1))
-    few = n_words < FEW
-    symbols, capitals = rate(r"[^#$%&*|!<>{}~^_=+@\\]"), rate(r"[^\p{Lu}]")
-    ends = rate(r"[^.!?]")
-    repeats = F.length(text) - F.length(F.regexp_replace(text, r"(?:^|(?<=\s))(\S+)(?=\s\1(?:\s|$))", ""))
-    unlike = F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))
-    mean = n / F.greatest(n_words, F.lit(1))
-    return {
-        "symbols": F.when(few, -1).otherwise(_vote(symbols > 0.05, symbols < 0.01)),
-        "capitals": F.when(few, -1).otherwise(_vote(capitals > 0.3, capitals < 0.1)),
-        "stutter": F.when(few, -1).otherwise(_vote(repeats > 0.2 * n, repeats < 0.02 * n)),
-        "lines": F.when(F.size(lines) < 3, -1).otherwise(_vote(unlike < 0.5, unlike > 0.8)),
-        "sentences": F.when(few, -1).otherwise(_vote((ends < 0.002) | (ends > 0.05), (ends > 0.005) & (ends < 0.04))),
-        "words": F.when(few, -1).otherwise(_vote((mean < 3) | (mean > 14), (mean > 4) & (mean < 10))),
-        "length": _vote(n_words < 3, n_words > 30),
-    }
+LABELLERS = ("symbols", "capitals", "stutter", "marked", "triples", "lines", "sentences", "words", "length")
+_SYMBOLS, _ENDS = b"#$%&*|!<>{}~^_=+@\\", b".!?"
+_UPPER, _ASCII = bytes(range(65, 91)), bytes({*range(128)} - {*range(65, 91)} - {*range(97, 123)})
+_MARK = re.compile(r"[#$%&*|<>{}~^_=+@\\]|!!")
+
+
+def _vote(bad: bool, good: bool) -> int:
+    return 0 if bad else 1 if good else -1
+
+
+def votes_of(text: str) -> tuple[int, ...]:
+    """Of each labeller: 1 good, 0 bad, -1 abstain."""
+    pieces, raw = text.split(), text.encode("utf-8", "surrogatepass")
+    n, n_words = len(raw), len(pieces)
+    length = _vote(n_words == 0, n_words > 30)
+    if n_words < FEW:
+        return (-1,) * (len(LABELLERS) - 1) + (length,)
+    without = lambda chars: n - len(raw.translate(None, chars))
+    symbols, ends = without(_SYMBOLS) / n, without(_ENDS) / n
+    letters = n - without(_ASCII)
+    capitals = without(_UPPER) / max(letters, 1)
+    same = [*map(eq, pieces, pieces[1:])]
+    stutter, triples = sum(same) / n_words, sum(map(and_, same, same[1:])) / n_words
+    marked = (sum(n for w, n in Counter(pieces).items() if _MARK.search(w)) if symbols else 0) / n_words
+    lines = [x for x in text.split("\n") if len(x) > 20]
+    unlike = len({*lines}) / max(len(lines), 1)
+    mean = len(text) / n_words
+    return (
+        _vote(symbols > 0.05, symbols < 0.01),
+        _vote(capitals > 0.3, capitals < 0.1),
+        _vote(stutter > 0.2, stutter < 0.02),
+        _vote(marked > 0.2, marked < 0.03),
+        _vote(triples > 0.1, triples < 0.01),
+        _vote(unlike < 0.5, unlike > 0.8) if len(lines) >= 3 else -1,
+        _vote(ends < 0.002 or ends > 0.05, 0.005 < ends < 0.04),
+        _vote(mean < 3 or mean > 14, 4 < mean < 10),
+        length,
+    )
+
+
+#: What is believed of a labeller at first: the shares of abstaining, bad and good votes, on bad texts and on good ones. A
+#: defect has one or two labellers that see it, so bad votes are rare on bad texts, but far rarer on good ones.
+BELIEF = np.array([[0.12, 0.13, 0.75], [0.12, 0.003, 0.877]])
+#: The weight of that belief, as a part of all documents.
+TRUST = 1.0
 
 
 class LabelModel:
-    """Labellers vote independently of each other given the class: P(vote | class), and P(good)."""
+    """Labellers vote independently of each other given the class: P(vote | class), and P(good), by maximum a posteriori."""
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> None:
         n, m = patterns.shape
         total = max(counts.sum(), 1)
-        good, bad = (patterns == 1).sum(1), (patterns == 0).sum(1)
-        q = np.clip((good + 1.0) / (good + 3.0 * bad + 2.0), 0.02, 0.98)  # bad votes are rarer, so each says more
-        self.prior, self.p = 0.8, np.full((2, m, 3), 1 / 3)
         hot = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)
+        self.prior, self.p = 0.8, np.repeat(BELIEF[:, None], m, 1)
         for _ in range(rounds if n else 0):
+            q = self.posterior(patterns)
             for c, w in ((1, q * counts), (0, (1 - q) * counts)):
-                seen = np.einsum("n,nmv->mv", w, hot) + 1.0
+                seen = np.einsum("n,nmv->mv", w, hot) + TRUST * total * BELIEF[c]
                 self.p[c] = seen / seen.sum(1, keepdims=True)
             self.prior = float(np.clip((q * counts).sum() / total, 0.05, 0.98))
-            q = self.posterior(patterns)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        hot = np.stack([patterns == v for v in (-1, 0, 1)], 2)
-        one = np.log(self.prior) + (np.log(self.p[1])[None] * hot).sum((1, 2))
-        zero = np.log(1 - self.prior) + (np.log(self.p[0])[None] * hot).sum((1, 2))
+        """Abstaining tells nothing."""
+        voted = self.p[:, :, 1:] / self.p[:, :, 1:].sum(2, keepdims=True)
+        hot = np.stack([patterns == 0, patterns == 1], 2)
+        one = np.log(self.prior) + (np.log(voted[1])[None] * hot).sum((1, 2))
+        zero = np.log(1 - self.prior) + (np.log(voted[0])[None] * hot).sum((1, 2))
         return 1 / (1 + np.exp(np.clip(zero - one, -30, 30)))
 
     def accuracy(self) -> np.ndarray:
@@ -153,9 +173,17 @@ def train(vectors: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, rounds: i
 
 
 def with_votes(docs: DataFrame) -> DataFrame:
-    t = F.coalesce(F.col("text"), F.lit(""))
-    votes = labellers(t)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), t.alias("text"), F.concat_ws(",", *[v.cast("string") for v in votes.values()]).alias("votes"))
+    """doc_id, votes (joined by commas)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_said(votes_of(t.as_py() or "")) for t in b.column(1)], pa.string())], ["doc_id", "votes"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, votes string")
+
+
+def _said(votes: tuple[int, ...]) -> str:
+    return ",".join(map(str, votes))
 
 
 def label_model(votes: DataFrame) -> tuple[LabelModel, dict[str, float]]:
@@ -171,7 +199,7 @@ def label_model(votes: DataFrame) -> tuple[LabelModel, dict[str, float]]:
 def classify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, votes, posterior, score, predicted (1: keep)."""
     spark = docs.sparkSession
-    voted = common.written(with_votes(docs).select("doc_id", "votes", F.xxhash64("text").alias("h")), "quality-votes")
+    voted = common.written(with_votes(docs), "quality-votes")
     _, posterior = label_model(voted)
     held_out = lambda c: F.coalesce(common.fold(c, FOLDS) == 0, F.lit(False))
     chosen = common.bounded_sample(voted.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), "doc_id", TRAIN).select("doc_id", "votes").dropDuplicates(["doc_id"])
@@ -199,17 +227,17 @@ def classify(docs: DataFrame) -> DataFrame:
         memo: dict[str, tuple] = {}
         w = shared.value
         for b in batches:
-            z = []
+            z, votes = [], []
             for t in b.column(2):
-                at, x = vector_of(t.as_py() or "", memo)
+                text = t.as_py() or ""
+                at, x = vector_of(text, memo)
                 z.append(bias + float(w[at] @ x))
+                votes.append(_said(votes_of(text)))
             s = 1 / (1 + np.exp(-np.clip(np.array(z), -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "votes", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(votes, pa.string()), pa.array([posterior[v] for v in votes], pa.float64()), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "votes", "posterior", "score", "predicted"])
 
-    of = F.create_map(*[x for k, v in posterior.items() for x in (F.lit(k), F.lit(v))]) if posterior else F.create_map().cast("map<string,double>")
-    d = with_votes(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", "votes")
-    out = d.mapInArrow(score, "doc_id long, held_out boolean, votes string, score double, predicted int")
-    return out.select("doc_id", "held_out", "votes", of[F.col("votes")].alias("posterior"), "score", "predicted")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    return d.mapInArrow(score, "doc_id long, held_out boolean, votes string, posterior double, score double, predicted int")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
