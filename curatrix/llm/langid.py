@@ -36,17 +36,19 @@ LEAST, RATIO = 3, 0.35
 TRAIN = 16_000
 #: Languages in one mask.
 BITS = 62
-MEMO = 400_000
-LETTER = re.compile(r"[^\W\d_]")
+#: Words and n-grams whose hits a task remembers, and n-grams that it looks up at once.
+MEMO, GRAM_MEMO, AT_ONCE = 400_000, 600_000, 200_000
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def grams_of(piece: str) -> list[str]:
-    """n-grams of the words of a piece of text, with their ends."""
-    out = []
-    for w in re.findall(r"[^\W\d_]+", piece.lower()):
-        w = f" {w} "
-        out += [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)]
-    return out
+def words_of(text: str) -> list[str]:
+    return LETTERS.findall(text.lower())
+
+
+def grams_of(word: str) -> list[str]:
+    """n-grams of a word with its ends."""
+    w = f" {word} "
+    return [w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)]
 
 
 def slots_of(gram: str) -> list[int]:
@@ -63,17 +65,6 @@ class Filters:
     slots: np.ndarray
     rate: np.ndarray
 
-    def hits(self, grams: list[str]) -> np.ndarray:
-        """For each language how many of the grams its filter contains."""
-        out = np.zeros(len(self.names))
-        if grams:
-            at = np.array([slots_of(g) for g in grams])
-            for m, row in enumerate(self.slots):
-                masks = np.bitwise_and.reduce(row[at], axis=1)
-                for k in range(min(BITS, len(self.names) - m * BITS)):
-                    out[m * BITS + k] = ((masks >> k) & 1).sum()
-        return out
-
     def decide(self, hits: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Language numbers and scores of rows of hits among n grams each."""
         true = np.maximum(0, (hits - self.rate * n[:, None]) / (1 - np.minimum(self.rate, 0.99)))
@@ -90,10 +81,10 @@ def fit(docs: DataFrame) -> Filters:
         for b in batches:
             by: dict[str, Counter] = {}
             for t, lang in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, Counter()).update(t.as_py().split())
-            for lang, pieces in by.items():
+                by.setdefault(lang, Counter()).update(words_of(t.as_py()))
+            for lang, words in by.items():
                 grams: Counter = Counter()
-                for p, n in pieces.items():
+                for p, n in words.items():
                     for g in grams_of(p):
                         grams[g] += n
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array([*grams], pa.string()), pa.array([*grams.values()], pa.int64())], ["lang", "gram", "n"])
@@ -132,25 +123,14 @@ def annotated(docs: DataFrame, filters: Filters) -> DataFrame:
         slots = np.zeros((len(bits), SLOTS), np.int64)
         slots[:, at] = bits
         f = Filters(names, slots, rate)
-        memo: dict[str, int] = {}
-        table = np.zeros((MEMO + 1, len(names) + 1))
+        seen = Seen(f)
         for b in batches:
             hits, letters = np.zeros((b.num_rows, len(names) + 1)), []
             for i, t in enumerate(b.column("text")):
-                text = t.as_py() or ""
-                letters.append(bool(names) and LETTER.search(text) is not None)
-                if not letters[-1]:
-                    continue
-                pieces = text.split()
-                for at in range(0, len(pieces), 100_000):
-                    part = pieces[at : at + 100_000]
-                    new = {p for p in part if p not in memo}
-                    if len(memo) + len(new) > MEMO:
-                        memo.clear()
-                        new = {*part}
-                    if new:
-                        _look_up(f, [*new], memo, table)
-                    hits[i] += table[[*map(memo.__getitem__, part)]].sum(0)
+                words = words_of(t.as_py() or "")
+                letters.append(bool(names and words))
+                if letters[-1]:
+                    hits[i] = seen.hits(words)
             best, score = f.decide(hits[:, :-1], hits[:, -1]) if names else (None, np.zeros(b.num_rows))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([names[best[i]] if x else "und" for i, x in enumerate(letters)], pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())], [*b.schema.names, "lang_pred", "score"])
 
@@ -163,20 +143,51 @@ def identified(docs: DataFrame, filters: Filters) -> DataFrame:
     return annotated(d, filters).drop("text")
 
 
-def _look_up(f: Filters, pieces: list[str], memo: dict[str, int], table: np.ndarray) -> None:
-    """Hits and number of grams of each piece, to the table's next rows."""
-    grams = [grams_of(p) for p in pieces]
-    n = np.array([len(g) for g in grams])
-    at = np.array([s for own in grams for g in own for s in slots_of(g)], np.int64).reshape(-1, HASHES)
-    row, first = np.repeat(np.arange(len(pieces)), n), len(memo)
-    out = table[first : first + len(pieces)]
-    out[:, -1] = n
-    for m, slots in enumerate(f.slots):
-        masks = np.bitwise_and.reduce(slots[at], axis=1)
-        for k in range(min(BITS, len(f.names) - m * BITS)):
-            out[:, m * BITS + k] = np.bincount(row, (masks >> k) & 1, len(pieces))
-    for i, p in enumerate(pieces):
-        memo[p] = first + i
+class Seen:
+    """Hits of words, with what was looked up before."""
+
+    def __init__(self, f: Filters) -> None:
+        self.f, self.words, self.grams = f, {}, {}
+        self.table = np.zeros((MEMO + 1, len(f.names) + 1))
+        self.masks = np.zeros((len(f.slots), GRAM_MEMO + 1), np.int64)
+
+    def hits(self, words: list[str]) -> np.ndarray:
+        """For each language the n-grams that its filter contains, and at last all n-grams."""
+        out = np.zeros(self.table.shape[1])
+        for at in range(0, len(words), MEMO // 4):
+            part = words[at : at + MEMO // 4]
+            new = {w for w in part if w not in self.words}
+            if len(self.words) + len(new) > MEMO:
+                self.words.clear()
+                new = {*part}
+            if new:
+                self._look_up([*new])
+            out += self.table[[*map(self.words.__getitem__, part)]].sum(0)
+        return out
+
+    def _look_up(self, words: list[str]) -> None:
+        own = [grams_of(w) for w in words]
+        n = np.array([len(g) for g in own])
+        flat, row, first = [g for o in own for g in o], np.repeat(np.arange(len(words)), n), len(self.words)
+        out = self.table[first : first + len(words)]
+        out[:] = 0
+        out[:, -1] = n
+        for s in range(0, len(flat), AT_ONCE):
+            masks, at = self._masks(flat[s : s + AT_ONCE]), row[s : s + AT_ONCE]
+            for k in range(len(self.f.names)):
+                out[:, k] += np.bincount(at, (masks[k // BITS] >> (k % BITS)) & 1, len(words))
+        self.words.update(zip(words, range(first, first + len(words)), strict=True))
+
+    def _masks(self, grams: list[str]) -> np.ndarray:
+        new = {g for g in grams if g not in self.grams}
+        if len(self.grams) + len(new) > GRAM_MEMO:
+            self.grams.clear()
+            new = {*grams}
+        if new:
+            n = len(self.grams)
+            self.masks[:, n : n + len(new)] = np.bitwise_and.reduce(self.f.slots[:, np.array([slots_of(g) for g in new])], axis=2)
+            self.grams.update(zip(new, range(n, n + len(new)), strict=True))
+        return self.masks[:, np.fromiter(map(self.grams.__getitem__, grams), np.int64, len(grams))]
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
