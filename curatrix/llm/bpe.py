@@ -31,6 +31,8 @@ MEMO_CHARS = 64
 #: What a tokenizer's regex takes for white space; str.split takes four more.
 SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 MORE = regex.compile("[\x1c-\x1f]")
+#: Marks that make a word of their own after letters, unless more follow.
+SINGLE = frozenset(".,!?;:-)\"")
 NONE, LOW = 1 << 60, (1 << 20) - 1
 
 
@@ -47,6 +49,19 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in own else chr(next(more)) for b in range(256)]
 
 
+class Known(dict):
+    """Pieces' ids; what is missing is made, and kept if it is short."""
+
+    def __init__(self, make) -> None:
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.make(piece)
+        if len(piece) <= MEMO_CHARS:
+            self[piece] = ids
+        return ids
+
+
 class WordBpe:
     """encode(text) gives ids as little-endian unsigned 32-bit integers; decode(ids) the text of the ids."""
 
@@ -71,7 +86,7 @@ class WordBpe:
         self.byte_id = [self.vocab[c] for c in chars]
         self.start = {chr(b): self.byte_id[b] for b in range(128)}
         self.at_end = {self.vocab[c]: self.vocab[c + self.end] for c in chars}
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.piece)
         self.words: dict[str, bytes] = {}
 
     def merged(self, word: str) -> bytes:
@@ -126,33 +141,24 @@ class WordBpe:
         text = raw if raw.isascii() else unicodedata.normalize("NFC", raw)
         text = text.lower() if "Σ" not in text else text.replace("Σ", "σ").lower()  # no final sigma
         words = self.words
-        if len(words) > MEMO:
-            words.clear()
-        out = []
-        for w in (text,) if text.isalpha() else self.word.findall(text):
-            if (ids := words.get(w)) is None:
-                ids = self.merged(w)
-                if len(w) <= MEMO_CHARS:
-                    words[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        if text.isalpha():
+            return words.get(text) or self._word(text)
+        if text[-1] in SINGLE and (w := text[:-1]).isalpha():
+            return (words.get(w) or self._word(w)) + (words.get(text[-1]) or self._word(text[-1]))
+        return b"".join([words.get(w) or self._word(w) for w in self.word.findall(text)])
+
+    def _word(self, word: str) -> bytes:
+        ids = self.merged(word)
+        if len(word) <= MEMO_CHARS:
+            if len(self.words) > MEMO:
+                self.words.clear()
+            self.words[word] = ids
+        return ids
 
     def _span(self, text: str) -> bytes:
-        known = self.known
-        if len(known) > MEMO:
-            known.clear()
-        pieces = text.split() if not MORE.search(text) else [x for x in SPACE.split(text) if x]
-        found = [*map(known.get, pieces)]
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    p = pieces[i]
-                    if (x := known.get(p)) is None:
-                        x = self.piece(p)
-                        if len(p) <= MEMO_CHARS:
-                            known[p] = x
-                    found[i] = x
-        return b"".join(found)
+        if len(self.known) > MEMO:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, text.split() if not MORE.search(text) else [x for x in SPACE.split(text) if x]))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
