@@ -104,7 +104,7 @@ def stitched(found: DataFrame) -> DataFrame:
 def count(spark: SparkSession, folder: str, order: DataFrame, end: int = END, block: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens of each document of the order table."""
     files = sizes(order.select("file").distinct(), folder)
-    return order.join(stitched(scanned(blocks(spark, folder, files, block).repartition(common.tasks(spark), "file", "at"), folder, end)), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return order.join(stitched(scanned(blocks(spark, folder, files, block).repartition(common.tasks(spark), "file", "at"), folder, end)).hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
