@@ -167,7 +167,7 @@ def token_budget_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 REASONS = f"""WITH {SAMPLES}, p AS (SELECT v AS p80 FROM (SELECT n_chars AS v, row_number() OVER (ORDER BY n_chars) - 1 AS i, count(*) OVER () AS n FROM documents WHERE lang = 'en') WHERE i = floor(0.8 * n + 1e-9)),
 x AS (SELECT *, {strip_sql('target')} AS m FROM samples),
 r AS (SELECT sample_id, chrome, m, CASE WHEN length(m) = 0 THEN NULL WHEN pool_id = 'de' THEN 'real' WHEN pool_id = 'fr' THEN 'multi_frag' WHEN pool_id = 'es' THEN 'semantic_group' WHEN len(list_filter(list_transform(string_split(m, chr(10)), lambda l: {strip_sql('l')}), lambda l: l <> '')) <> len(list_distinct(list_filter(list_transform(string_split(m, chr(10)), lambda l: {strip_sql('l')}), lambda l: l <> ''))) OR length(m) - length(replace(m, '|', '')) >= 6 OR contains(m, '♫') THEN 'repeat_risk' WHEN length(m) >= p80 THEN 'long_block' END AS reason FROM x, p)
-SELECT sample_id, reason, round_even(CAST(CASE reason WHEN 'real' THEN 1.0::DOUBLE WHEN 'multi_frag' THEN 0.9::DOUBLE WHEN 'semantic_group' THEN 0.7::DOUBLE WHEN 'repeat_risk' THEN 0.6::DOUBLE WHEN 'long_block' THEN 0.5::DOUBLE ELSE 0.4::DOUBLE END + 0.15 * least(1.0, length(m) / 800.0::DOUBLE) + CASE WHEN chrome = 'chrome' THEN 0.15::DOUBLE ELSE 0 END AS DECIMAL(18, 16)), 4)::DOUBLE AS score FROM r"""
+SELECT sample_id, reason, CAST(floor(round((CASE reason WHEN 'real' THEN 1.0::DOUBLE WHEN 'multi_frag' THEN 0.9::DOUBLE WHEN 'semantic_group' THEN 0.7::DOUBLE WHEN 'repeat_risk' THEN 0.6::DOUBLE WHEN 'long_block' THEN 0.5::DOUBLE ELSE 0.4::DOUBLE END + 0.15 * least(1.0, length(m) / 800.0::DOUBLE) + CASE WHEN chrome = 'chrome' THEN 0.15::DOUBLE ELSE 0 END), 4) * 1000 + 1e-6) AS BIGINT) AS score_milli FROM r"""
 
 
 @query(REASONS)
@@ -177,4 +177,4 @@ def candidate_reasons(spark: SparkSession, sf: str) -> DataFrame:
     pool = F.element_at(F.create_map(*[F.lit(x) for x in ("en", "core_inner", "fr", "multi_frag", "de", "real_labeled", "es", "semantic_group")]), F.col("pool_id"))
     p80 = metrics.nearest_rank(t(spark, sf, "documents").filter("lang = 'en'"), "n_chars", {"p80": 0.8}).first().p80  # one number, a plan parameter
     d = d.withColumn("reason", C.reason(pool, F.col("target"), F.lit(1), F.lit(0), C.repeat_risk_light(F.col("target")), F.lit(p80)))
-    return d.select("sample_id", "reason", C.hard_score(F.col("reason"), F.col("target"), F.lit(1), F.col("chrome"), F.lit(1)).alias("score"))
+    return d.select("sample_id", "reason", C.hard_score(F.col("reason"), F.col("target"), F.lit(1), F.col("chrome"), F.lit(1)).alias("score")).select("sample_id", "reason", F.floor(F.col("score") * 1000 + 1e-6).alias("score_milli"))
