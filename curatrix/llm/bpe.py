@@ -29,8 +29,18 @@ MEMO = 400_000
 #: Longer pieces are not memoised.
 MEMO_CHARS = 64
 #: What a tokenizer's regex takes for white space; str.split takes four more.
-SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+SPACE = regex.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 MORE = regex.compile("[\x1c-\x1f]")
+# Letters and numbers of Unicode 16, and lower cases of 16 and 17, which this Python's tables (15.1) lack.
+LATER_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139),
+    (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+)
+LATER_LOWER = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
 #: Marks that make a word of their own after letters, unless more follow.
 SINGLE = frozenset(".,!?;:-)\"")
 NONE, LOW = 1 << 60, (1 << 20) - 1
@@ -49,6 +59,10 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in own else chr(next(more)) for b in range(256)]
 
 
+def unassigned(c: str) -> bool:
+    return unicodedata.category(c) == "Cn"
+
+
 class Known(dict):
     """Pieces' ids; what is missing is made, and kept if it is short."""
 
@@ -145,7 +159,13 @@ class WordBpe:
             return words.get(text) or self._word(text)
         if text[-1] in SINGLE and (w := text[:-1]).isalpha():
             return (words.get(w) or self._word(w)) + (words.get(text[-1]) or self._word(text[-1]))
-        return b"".join([words.get(w) or self._word(w) for w in self.word.findall(text)])
+        if text.isascii() or not any(map(unassigned, text)):
+            found = self.word.findall(text)
+        else:  # the pattern's own tables are of a later version than those of the tokenizer
+            text = text.translate(LATER_LOWER)
+            shown = "".join("\uffff" if unassigned(c) and not any(a <= ord(c) <= z for a, z in LATER_LETTERS) else c for c in text)
+            found = [text[m.start() : m.end()] for m in self.word.finditer(shown)]
+        return b"".join([words.get(w) or self._word(w) for w in found])
 
     def _word(self, word: str) -> bytes:
         ids = self.merged(word)
