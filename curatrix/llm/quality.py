@@ -78,7 +78,7 @@ def votes_of(text: str) -> tuple[int, ...]:
 #: defect has one or two labellers that see it, so bad votes are rare on bad texts, but far rarer on good ones.
 BELIEF = np.array([[0.12, 0.13, 0.75], [0.12, 0.003, 0.877]])
 #: The weight of that belief, as a part of all documents.
-TRUST = 1.0
+TRUST = 0.02
 
 
 class LabelModel:
@@ -189,9 +189,9 @@ def _said(votes: tuple[int, ...]) -> str:
 def label_model(votes: DataFrame) -> tuple[LabelModel, dict[str, float]]:
     """The model and the posterior of each vote pattern; patterns are bounded by the number of labellers."""
     by = {r.votes: r["count"] for r in votes.groupBy("votes").count().collect()}
-    patterns = np.array([[int(x) for x in k.split(",")] for k in by], np.int64).reshape(len(by), -1)
     if not by:
-        return LabelModel(np.zeros((0, 1), np.int64), np.zeros(0)), {}
+        return LabelModel(np.zeros((0, len(LABELLERS)), np.int64), np.zeros(0)), {}
+    patterns = np.array([[int(x) for x in k.split(",")] for k in by], np.int64)
     model = LabelModel(patterns, np.array([*by.values()], float))
     return model, dict(zip(by, model.posterior(patterns).tolist(), strict=True))
 
