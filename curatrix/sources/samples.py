@@ -64,8 +64,8 @@ def target_text(df: DataFrame) -> DataFrame:
 
 
 def write_split(df: DataFrame, path: str) -> None:
-    """JSON lines by split, in order of `ord` within a file."""
-    df.repartition("split").sortWithinPartitions("ord").write.mode("overwrite").partitionBy("split").json(path)
+    """JSON lines by split, in order of `ord` within a file and from file to file; a split takes as many tasks as it needs."""
+    df.repartitionByRange("split", "ord").sortWithinPartitions("split", "ord").write.mode("overwrite").partitionBy("split").json(path)
 
 
 def image_files(spark: SparkSession, root: str) -> DataFrame:
