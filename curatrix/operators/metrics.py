@@ -86,13 +86,3 @@ def two_tag_report(df: DataFrame, *by: str, source_at: float = 0.85, score_at: f
         F.round(mean_of(F.col("score"), pos), 9).alias("mean_score"),
     ]
     return d.groupBy(*by).agg(*columns) if by else d.agg(*columns)
-
-
-def nearest_rank(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """One row: for each name the value at 0-based place floor(share n) in order, by counts of distinct values, not by a sort of all rows in one task."""
-    from pyspark.sql import Window
-
-    by = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    d = by.withColumn("upto", F.sum("c").over(Window.orderBy(value))).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    at = lambda s: F.floor(F.lit(s) * F.col("n") + 1e-9)
-    return d.agg(*[F.min(F.when(F.col("upto") > at(s), F.col(value))).alias(k) for k, s in shares.items()])

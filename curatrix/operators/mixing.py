@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import hkey
+from .ranking import hash_rank
 
 
 def interleaved(df: DataFrame, bucket: str, key: str, seed: int, out: str = "ord") -> DataFrame:
     """Adds a sort key: one row of each bucket in each round, buckets in a new order each round. Sorting by it needs no single task."""
-    rn = F.row_number().over(Window.partitionBy(bucket).orderBy(hkey(seed, key), key))
-    return df.withColumn("__rn", rn).withColumn(out, F.concat(F.lpad(F.col("__rn").cast("string"), 12, "0"), F.lit("|"), hkey(seed, "__rn", bucket))).drop("__rn")
+    return hash_rank(df, [bucket], key, seed, "__rn").withColumn(out, F.concat(F.lpad(F.col("__rn").cast("string"), 12, "0"), F.lit("|"), hkey(seed, "__rn", bucket))).drop("__rn")
 
 
 def proportional(df: DataFrame, key: str, seed: int, out: str = "ord") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import hkey
 from .quota import as_table, largest_remainder
+from .ranking import hash_rank
 
 
 def top_by(df: DataFrame, bucket: list[str], order: list[Column], n: int) -> DataFrame:
@@ -52,13 +53,12 @@ def round_robin(df: DataFrame, bucket: str, n: int, position: str) -> DataFrame:
     return d.orderBy("__round", "__first").limit(n).drop("__round", "__first")
 
 
-def upsample(df: DataFrame, factor: float, n: int, key: str, flag: str = "upsampled") -> DataFrame:
-    """The n rows and round((factor - 1) n) copies, dealt over them in order of the key and flagged."""
+def upsample(df: DataFrame, factor: float, n: int, key: str, seed: int = 0, flag: str = "upsampled") -> DataFrame:
+    """The n rows and round((factor - 1) n) copies, dealt over them in hash order and flagged."""
     extra = round((factor - 1) * n) if n else 0
-    rank = F.row_number().over(Window.orderBy(key)) - 1
     copies = F.lit(extra // max(n, 1)) + (F.col("__i") < extra % max(n, 1)).cast("int")
-    d = df.withColumn("__i", rank).withColumn("__copy", F.explode(F.sequence(F.lit(0), copies)))
-    return d.withColumn(flag, F.col("__copy") > 0).drop("__i", "__copy")
+    d = hash_rank(df, [], key, seed, "__r").withColumn("__i", F.col("__r") - 1).withColumn("__copy", F.explode(F.sequence(F.lit(0), copies)))
+    return d.withColumn(flag, F.col("__copy") > 0).drop("__r", "__i", "__copy")
 
 
 def ratio_count(points: int, ratio: float) -> int:
@@ -69,7 +69,7 @@ def ratio_count(points: int, ratio: float) -> int:
 def repeated_to(df: DataFrame, n: int, have: int, key: str, seed: int) -> DataFrame:
     """n of the `have` rows in rounds, each a whole pass in hash order but the last."""
     rounds = -(-n // max(have, 1))
-    d = df.withColumn("__i", F.row_number().over(Window.orderBy(hkey(seed, key), key))).withColumn("__r", F.explode(F.sequence(F.lit(1), F.lit(max(rounds, 1)))))
+    d = hash_rank(df, [], key, seed, "__i").withColumn("__r", F.explode(F.sequence(F.lit(1), F.lit(max(rounds, 1)))))
     return d.filter((F.col("__r") - 1) * have + F.col("__i") <= n).drop("__i", "__r")
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import hkey
 from .quota import split_count_columns
+from .ranking import hash_rank, split_ends
 
 
 def _named(rank: Column, train_end: Column, val_end: Column) -> Column:
@@ -15,14 +15,11 @@ def _named(rank: Column, train_end: Column, val_end: Column) -> Column:
 
 def stratified(df: DataFrame, strata: list[str], key: str, train: float, val: float, seed: int) -> DataFrame:
     """Adds split: in each stratum by largest remainder, with a row of val and test where there are three."""
-    w = Window.partitionBy(*strata)
-    ends = split_count_columns(F.count(F.lit(1)).over(w), train, val)
-    return df.withColumn("split", _named(F.row_number().over(w.orderBy(hkey(seed, key), key)), *ends))
+    d = hash_rank(df, strata, key, seed, "__rn", "__n")
+    return d.withColumn("split", _named(F.col("__rn"), *split_count_columns(F.col("__n"), train, val))).drop("__rn", "__n")
 
 
 def truncated(df: DataFrame, strata: list[str], key: str, train: float, val: float, seed: int) -> DataFrame:
     """Adds split: counts of train and val are rounded down, what is left is test. Without strata, of the whole table."""
-    w = Window.partitionBy(*strata)
-    n = F.count(F.lit(1)).over(w)
-    a, b = F.floor(n * train + 1e-9), F.floor(n * val + 1e-9)
-    return df.withColumn("split", _named(F.row_number().over(w.orderBy(hkey(seed, key), key)), a, a + b))
+    d = hash_rank(df, strata, key, seed, "__rn", "__n")
+    return d.withColumn("split", _named(F.col("__rn"), *split_ends(F.col("__n"), train, val))).drop("__rn", "__n")

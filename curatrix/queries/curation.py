@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions.keys import hkey
-from ..operators import dedup, mixing, probe, quota, sampling, split
+from ..operators import dedup, mixing, probe, quota, ranking, sampling, split
 from .base import SAMPLES, key_sql, query, samples, t
 
 QUOTAS = """shares AS (SELECT lang, count(*)::DOUBLE AS share FROM documents GROUP BY lang), e AS (SELECT *, share / sum(share) OVER () * 137 AS exact FROM shares), b AS (SELECT *, floor(exact + 1e-9) AS base FROM e)"""
@@ -101,7 +101,7 @@ def max_run(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.longest_runs(t(spark, sf, "documents").select("source", "lang", "doc_id"), ["lang"], "doc_id", ["source"])
 
 
-@query("WITH n AS (SELECT count(*) AS n FROM labels WHERE toxic = 1), d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, CAST(round_even(0.35 * n, 0) AS BIGINT) AS extra, n FROM labels, n WHERE toxic = 1) SELECT doc_id, k.k > 0 AS upsampled FROM d, (SELECT unnest(range(0, 3)) AS k) k WHERE k.k <= extra // n + CAST(i < extra % n AS INT)")
+@query("WITH n AS (SELECT count(*) AS n FROM labels WHERE toxic = 1), d AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('|', '0', CAST(doc_id AS VARCHAR))), doc_id) - 1 AS i, CAST(round_even(0.35 * n, 0) AS BIGINT) AS extra, n FROM labels, n WHERE toxic = 1) SELECT doc_id, k.k > 0 AS upsampled FROM d, (SELECT unnest(range(0, 3)) AS k) k WHERE k.k <= extra // n + CAST(i < extra % n AS INT)")
 def blank_upsample(spark: SparkSession, sf: str) -> DataFrame:
     d = t(spark, sf, "labels").filter("toxic = 1").select("doc_id")
     return sampling.upsample(d, 1.35, d.count(), "doc_id")
@@ -144,12 +144,8 @@ def near_dup_hamming(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {SAMPLES}, s AS (SELECT *, row_number() OVER (PARTITION BY pool_id IN ('en', 'fr') ORDER BY {key_sql(17, 'sample_id')}, sample_id) AS rn, count(*) OVER (PARTITION BY pool_id IN ('en', 'fr')) AS n FROM samples) SELECT sample_id, CASE WHEN pool_id IN ('en', 'fr') AND rn <= round_even(n * 0.4, 0) THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS scale FROM s")
 def area_scales(spark: SparkSession, sf: str) -> DataFrame:
     """Of hard scenes a share gets the small marker, the others the large one."""
-    from pyspark.sql import Window
-
-    d = samples(spark, sf).select("sample_id", F.col("pool_id").isin("en", "fr").alias("hard"))
-    w = Window.partitionBy("hard")
-    rn, n = F.row_number().over(w.orderBy(hkey(17, "sample_id"), "sample_id")), F.count(F.lit(1)).over(w)
-    return d.withColumn("small", F.col("hard") & (rn <= F.bround(n * 0.4))).select("sample_id", F.when(F.col("small"), 0.5).otherwise(1.0).alias("scale"))
+    d = ranking.hash_rank(samples(spark, sf).select("sample_id", F.col("pool_id").isin("en", "fr").alias("hard")), ["hard"], "sample_id", 17, "rn", "n")
+    return d.withColumn("small", F.col("hard") & (F.col("rn") <= F.bround(F.col("n") * 0.4))).select("sample_id", F.when(F.col("small"), 0.5).otherwise(1.0).alias("scale"))
 
 
 @query()

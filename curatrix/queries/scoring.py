@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import rewards as R
 from ..functions import text as X
-from ..operators import metrics, probe
+from ..operators import metrics, probe, ranking
 from .base import SAMPLES, TURNS, cleaned_sql, norm_sql, query, samples, similarity_sql, strip_sql, t, turns
 
 NEG = f"(is_negative OR {norm_sql('target')} = '')"
@@ -151,17 +151,17 @@ RANKS = "WITH r AS (SELECT {v} AS v, row_number() OVER (ORDER BY {v}) - 1 AS i,
 
 @query(RANKS.format(v="n_chars", t="documents") + "max(CASE WHEN i = floor(n * (1.0::DOUBLE / 3) + 1e-9) THEN v END) AS low, max(CASE WHEN i = floor(n * (2.0::DOUBLE / 3) + 1e-9) THEN v END) AS high FROM r")
 def tertile_cuts(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.nearest_rank(t(spark, sf, "documents"), "n_chars", {"low": 1 / 3, "high": 2 / 3})
+    return ranking.nearest_rank(t(spark, sf, "documents"), "n_chars", {"low": 1 / 3, "high": 2 / 3})
 
 
 @query(RANKS.format(v="n_chars", t="documents WHERE lang = 'en'") + "max(CASE WHEN i = floor(0.8 * n + 1e-9) THEN v END) AS p80 FROM r")
 def p80_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.nearest_rank(t(spark, sf, "documents").filter("lang = 'en'"), "n_chars", {"p80": 0.8})
+    return ranking.nearest_rank(t(spark, sf, "documents").filter("lang = 'en'"), "n_chars", {"p80": 0.8})
 
 
 @query(RANKS.format(v="l_quantity", t="lineitem") + "max(CASE WHEN i = floor(0.5 * n + 1e-9) THEN v END) AS p50, max(CASE WHEN i = floor(0.9 * n + 1e-9) THEN v END) AS p90 FROM r")
 def token_budget_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.nearest_rank(t(spark, sf, "lineitem"), "l_quantity", {"p50": 0.5, "p90": 0.9})
+    return ranking.nearest_rank(t(spark, sf, "lineitem"), "l_quantity", {"p50": 0.5, "p90": 0.9})
 
 
 REASONS = f"""WITH {SAMPLES}, p AS (SELECT v AS p80 FROM (SELECT n_chars AS v, row_number() OVER (ORDER BY n_chars) - 1 AS i, count(*) OVER () AS n FROM documents WHERE lang = 'en') WHERE i = floor(0.8 * n + 1e-9)),
@@ -175,6 +175,6 @@ def candidate_reasons(spark: SparkSession, sf: str) -> DataFrame:
     """Why a sample is a candidate, and how hard it is; the long ones from the 80th percentile of English lengths on."""
     d = samples(spark, sf)
     pool = F.element_at(F.create_map(*[F.lit(x) for x in ("en", "core_inner", "fr", "multi_frag", "de", "real_labeled", "es", "semantic_group")]), F.col("pool_id"))
-    p80 = metrics.nearest_rank(t(spark, sf, "documents").filter("lang = 'en'"), "n_chars", {"p80": 0.8}).first().p80  # one number, a plan parameter
+    p80 = ranking.nearest_rank(t(spark, sf, "documents").filter("lang = 'en'"), "n_chars", {"p80": 0.8}).first().p80  # one number, a plan parameter
     d = d.withColumn("reason", C.reason(pool, F.col("target"), F.lit(1), F.lit(0), C.repeat_risk_light(F.col("target")), F.lit(p80)))
     return d.select("sample_id", "reason", C.hard_score(F.col("reason"), F.col("target"), F.lit(1), F.col("chrome"), F.lit(1)).alias("score")).select("sample_id", "reason", F.floor(F.col("score") * 1000 + 1e-6).alias("score_milli"))

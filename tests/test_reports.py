@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.operators import metrics, probe
+from curatrix.operators import metrics, probe, ranking
 
 SCHEMA = "target string, prediction string, prediction_raw string, is_negative boolean"
 
@@ -46,8 +46,22 @@ def test_probe_gate(spark):
 
 def test_nearest_rank(spark):
     d = spark.createDataFrame([(x,) for x in [5, 1, 4, 2, 3, None]], "v int")
-    r = metrics.nearest_rank(d, "v", {"p0": 0.0, "mid": 0.5, "p80": 0.8}).first()
+    r = ranking.nearest_rank(d, "v", {"p0": 0.0, "mid": 0.5, "p80": 0.8}).first()
     assert (r.p0, r.mid, r.p80) == (1, 3, 5)
+    assert ranking.nearest_rank(d.filter("false"), "v", {"p": 0.5}).first().p is None
+    big = spark.range(30_000).selectExpr("cast(pow(id % 7001, 1.5) as double) AS v")
+    want = sorted(r.v for r in big.collect())
+    r = ranking.nearest_rank(big, "v", {"a": 0.1, "b": 0.5, "c": 0.999}).first()
+    assert [r.a, r.b, r.c] == [want[3000], want[15000], want[29970]]
+
+
+def test_ranks_by_slices(spark):
+    d = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL ELSE 'x' END AS g")
+    got = ranking.hash_rank(d, ["g"], "id", 5, "rn", "n").collect()
+    for g in (None, "x"):
+        own = [r for r in got if r.g == g]
+        assert sorted(r.rn for r in own) == list(range(1, len(own) + 1)) and {r.n for r in own} == {len(own)}
+    assert ranking.hash_rank(d.limit(0), [], "id", 5).count() == 0
 
 
 def test_pending_and_agreement(spark):
