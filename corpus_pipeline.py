@@ -32,7 +32,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near-duplicates the document of the least doc_id stays, once."""
     found = simhash.near_duplicates(docs)
     first = common.written(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "dedup-first")
-    kept = docs.select(COLUMNS).join(first.select("doc_id"), "doc_id", "left_semi")
+    kept = docs.select(COLUMNS).join(first.select("doc_id").hint("merge"), "doc_id", "left_semi")  # the same plan at any size
     if not first.filter("n > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id IS NULL").select(COLUMNS))
