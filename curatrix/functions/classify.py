@@ -155,3 +155,85 @@ def doc_type(page_id: Column) -> Column:
 def template_stem(stem: Column, page_id: Column, sample_id: Column) -> Column:
     part = lambda c: F.nullif(F.get(F.split(c, "__"), F.lit(1)), F.lit(""))
     return F.coalesce(F.nullif(F.regexp_replace(stem, r"\.html$", ""), F.lit("")), part(page_id), part(sample_id), F.lit("unknown"))
+
+
+# Marks of page furniture in an answer, and stems of desktop templates.
+FURNITURE = ("arxiv q search", "search submit donate", "free distribution service and an open-access", "this website uses cookies", "a 322 languages", "322 languages", "donate create account", "subject search and browse")
+DESKTOP = ("21_desktop_", "22_desktop_", "23_ide_")
+
+
+def slot_bucket(tag: Column, block_id: Column, n: Column) -> Column:
+    """The content bucket that fills a template's slot."""
+    t, b = F.lower(F.coalesce(tag, F.lit(""))), F.lower(F.coalesce(block_id, F.lit("")))
+    begins = lambda *s: b.rlike("^(?:" + "|".join(s) + ")")
+    return (
+        F.when(t.isin("h1", "h2", "h3", "h4") | begins("h1", "h2", "h3", "title", "side_h"), "headings")
+        .when(t.isin("td", "th") | F.contains(b, F.lit("cell")) | (begins("c", "r") & (n < 12)), "cells")
+        .when(t.isin("code", "pre") | F.contains(b, F.lit("code")) | begins("cmd"), "code_lines")
+        .when((t == "li") | begins("li", "side_", "nav"), F.when(n < 80, "list_items").otherwise("paragraphs"))
+        .when(t.isin("span", "small") | F.contains(b, F.lit("meta")) | F.contains(b, F.lit("caption")) | (n < 40), "captions")
+        .otherwise("paragraphs")
+    )
+
+
+def is_furniture(pred: Column, needles: tuple[str, ...] = FURNITURE) -> Column:
+    p = X.normalize_text(F.coalesce(pred, F.lit("")))
+    return F.exists(F.array(*map(F.lit, needles)), lambda s: F.contains(p, s))
+
+
+def within_target(pred: Column, gt: Column, least: int = 12) -> Column:
+    p, g = X.normalize_text(F.coalesce(pred, F.lit(""))), X.normalize_text(F.coalesce(gt, F.lit("")))
+    return (F.length(p) >= least) & F.contains(g, p)
+
+
+def is_desktop_shell(stem: Column) -> Column:
+    return F.coalesce(stem.rlike("^(?:" + "|".join(DESKTOP) + ")"), F.lit(False))
+
+
+def mostly_cjk(c: Column) -> Column:
+    cjk = F.regexp_count(c, F.lit(X.CJK))
+    return cjk >= F.greatest(F.lit(2), F.regexp_count(c, F.lit(X.LATIN)))
+
+
+def explicit_group(c: Column) -> Column:
+    """Null for what stands for no group."""
+    x = X.strip(c)
+    return F.when(~x.isin("", "null", "None"), x)
+
+
+def is_manual(flag: Column, text: Column) -> Column:
+    return F.coalesce(flag, F.lit(False)) | ~X.is_blank(text)
+
+
+def is_special_block(kind: Column, markdown: Column, tag: Column) -> Column:
+    return kind.isin("table", "image", "chart") | (bucket_for_block(markdown, tag) == "table")
+
+
+def quadrant_color(x_pct: Column, y_pct: Column, bottom_origin: bool, colors: tuple[str, str, str, str]) -> Column:
+    """Colors of top left, top right, bottom left, bottom right; y counts from the bottom in the second convention."""
+    y = 100.0 - y_pct if bottom_origin else y_pct
+    a, b, c, d = colors
+    return F.when(y < 50, F.when(x_pct < 50, a).otherwise(b)).otherwise(F.when(x_pct < 50, c).otherwise(d))
+
+
+def convention(answers: Column, under_top: Column, under_bottom: Column) -> Column:
+    """Aggregate: which of two conventions explains more of the answers."""
+    a, b = F.count_if(answers == under_top), F.count_if(answers == under_bottom)
+    return F.when(a > b, "top").when(b > a, "bottom").otherwise("undecided")
+
+
+def area_fraction(explicit: Column, scale: Column, drawn: Column, base: float = 0.005) -> Column:
+    """The explicit share, else that of the older scale, else the draw."""
+    return F.coalesce(explicit, base * F.greatest(F.lit(0.05), scale), drawn)
+
+
+def polymorphic_text(column: str) -> Column:
+    """Of JSON text that is a string, an object with text or content, or an array of such: the texts joined."""
+    j = F.col(column)
+    items = F.from_json(j, "array<struct<text: string, content: string>>")
+    one = F.from_json(j, "struct<text: string, content: string>")
+    return (
+        F.when(F.startswith(F.ltrim(j), F.lit("[")), F.array_join(F.transform(items, lambda x: F.coalesce(x["text"], x["content"], F.lit(""))), ""))
+        .when(F.startswith(F.ltrim(j), F.lit("{")), F.coalesce(one["text"], one["content"], F.lit("")))
+        .otherwise(F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), j, F.lit("}")), "$.v"), j))
+    )
