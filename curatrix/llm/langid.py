@@ -114,7 +114,7 @@ def fit(docs: DataFrame) -> Filters:
 
 
 def annotated(docs: DataFrame, filters: Filters) -> DataFrame:
-    """docs, whose columns must have unique names, with lang_pred and score: one pass over whole texts, no shuffle."""
+    """docs with lang_pred and score: one pass over whole texts, no shuffle."""
     # The filters, of a fixed size, go to executors once.
     shared = docs.sparkSession.sparkContext.broadcast((filters.names, np.flatnonzero(filters.slots.any(0)), filters.slots[:, filters.slots.any(0)], filters.rate))
 

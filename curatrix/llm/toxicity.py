@@ -126,7 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
 
 
 def annotated(docs: DataFrame, model: Machine | None) -> DataFrame:
-    """docs, whose columns must have unique names, with score and predicted (1: toxic): one pass over whole texts, no shuffle."""
+    """docs with score and predicted (1: toxic): one pass over whole texts, no shuffle. Columns of docs that have these names are replaced."""
+    docs = docs.drop("score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {int(s): i for i, s in enumerate(model.slots)} if model else {}

@@ -53,7 +53,8 @@ def test_many_languages(spark):
 
 
 def test_odd_rows(docs, no_docs, rows, texts):
-    d = docs.withColumnRenamed("h", "lang_x")
+    d = docs
+    assert li.annotated(d, li.fit(no_docs)).columns == [*d.drop("score").columns, "lang_pred", "score"]
     got = li.identified(d, li.fit(texts)).collect()
     by = {}
     for r in got:

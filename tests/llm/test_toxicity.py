@@ -52,11 +52,11 @@ def test_score_is_the_sum_over_pairs():
 
 def test_odd_rows(spark, docs, no_docs, rows):
     labels = spark.createDataFrame([(None, 1, 1), (3, 1, None), (6, 1, 0), (6, 1, 1)], "doc_id long, quality int, toxic int")
-    d = docs.select("doc_id", "text", "lang", "h")
+    d = docs
     got = tx.scored(d, tx.fit(d, labels)).collect()
     assert len(got) == len(rows)
     assert [r.held_out for r in got if r.doc_id is None] == [False]
     none = labels.filter("false")
     assert {r.score for r in tx.scored(d, tx.fit(d, none)).collect()} == {0.0}
     assert tx.scored(no_docs, tx.fit(no_docs, none)).count() == 0
-    assert tx.annotated(d, None).columns == [*d.columns, "score", "predicted"]
+    assert tx.annotated(docs, None).columns == [*docs.drop("score").columns, "score", "predicted"]
