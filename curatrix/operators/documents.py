@@ -137,3 +137,76 @@ def with_targets(found: DataFrame) -> DataFrame:
     from ..functions import classify as C
 
     return found.withColumn("bucket", C.bucket_for_block(F.col("markdown"), F.col("tag"))).withColumn("reason", C.label_reason(F.col("markdown"), F.col("tag")))
+
+
+class _Groups(HTMLParser):
+    """Semantic groups: sections with data-semantic-group, and the blocks that are theirs and not those of a group within."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.stack: list[dict] = []
+        self.out: list[dict] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in VOID:
+            return
+        a = dict(attrs)
+        top = {"tag": tag, "group": None, "member": None, "kind": "kind" in (a.get("class") or "").split()}
+        if a.get("data-semantic-group") is not None:
+            top["group"] = {"group_id": a["data-semantic-group"], "kind": a.get("data-group-kind") or "", "members": []}
+            self.out.append(top["group"])
+        own = next((x["group"] for x in reversed(self.stack) if x["group"]), None)
+        if own is not None and a.get("data-block-id") is not None:
+            top["member"] = {"id": a["data-block-id"], "role": a.get("data-group-role") or "", "tag": tag, "text": []}
+            own["members"].append(top["member"])
+        self.stack.append(top)
+
+    def handle_endtag(self, tag: str) -> None:
+        if any(x["tag"] == tag for x in self.stack):
+            while self.stack.pop()["tag"] != tag:
+                pass
+
+    def handle_data(self, data: str) -> None:
+        if any(x["kind"] or x["tag"] in HIDDEN for x in self.stack):
+            return
+        for x in reversed(self.stack):
+            if x["member"] is not None:
+                x["member"]["text"].append(data)
+                return
+
+
+GROUP_ROWS = "page_id long, group_id string, kind string, pos int, block_id string, role string, markdown string"
+
+
+def groups_of(html: str | None) -> list[dict]:
+    p = _Groups()
+    p.feed(html or "")
+    p.close()
+    return [{"group_id": g["group_id"], "kind": g["kind"], "pos": i, "block_id": m["id"], "role": m["role"], "markdown": _markdown(m["tag"], "".join(m["text"]))} for g in p.out for i, m in enumerate(g["members"])]
+
+
+def groups(pages: DataFrame) -> DataFrame:
+    """A row for each member of each group of pages (page_id, html)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [{"page_id": k, **g} for k, h in zip(pdf["page_id"], pdf["html"], strict=True) for g in groups_of(h)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in GROUP_ROWS.split(", ")])
+
+    return pages.select("page_id", "html").mapInPandas(run, GROUP_ROWS)
+
+
+def group_texts(members: DataFrame) -> DataFrame:
+    """A group's texts in order, its member ids, and those of its seeds."""
+    in_order = F.array_sort(F.collect_list(F.struct("pos", "block_id", "role", "markdown")))
+    g = members.groupBy("page_id", "group_id").agg(F.first("kind").alias("kind"), in_order.alias("m"))
+    texts = F.filter(F.transform("m", lambda x: x["markdown"]), lambda t: F.trim(t) != "")
+    ids = lambda kept: F.transform(kept, lambda x: x["block_id"])
+    return g.select("page_id", "group_id", "kind", ids(F.col("m")).alias("member_ids"), ids(F.filter("m", lambda x: x["role"] == "seed")).alias("seed_ids"), F.array_join(texts, "\n\n").alias("markdown"))
+
+
+def unit_targets(found: DataFrame, group_rows: DataFrame) -> DataFrame:
+    """Blocks with the text that stands for them: their group's, else their own. Of two groups with a block the later wins."""
+    of = group_rows.select("page_id", F.explode("member_ids").alias("id"), "group_id", F.col("markdown").alias("group_markdown"))
+    of = of.groupBy("page_id", "id").agg(F.max("group_id").alias("group_id"), F.max_by("group_markdown", "group_id").alias("group_markdown"))
+    return found.join(of, ["page_id", "id"], "left").withColumn("unit_text", F.coalesce("group_markdown", "markdown")).drop("group_markdown")

@@ -32,3 +32,14 @@ def mix_summary(df: DataFrame, sets: list[list[str]]) -> DataFrame:
     """Counts by each set of columns, and of negatives, in one scan (grouping sets)."""
     names = list(dict.fromkeys(c for s in sets for c in s))
     return df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in names]).agg(F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_negative")).alias("n_negative"))
+
+
+def windowed(df: DataFrame, order: str, key: str, window: int, seed: int, out: str = "ord") -> DataFrame:
+    """A local shuffle: rows stay in their window of the order (a position from 0), in hash order within it."""
+    return df.withColumn(out, F.concat(F.lpad(F.floor(F.col(order) / window).cast("string"), 12, "0"), F.lit("|"), hkey(seed, key)))
+
+
+def unseen_rounds(df: DataFrame, strata: list[str], key: str, seed: int, n: int) -> DataFrame:
+    """Round-robin over strata, rows in hash order within each: the first n."""
+    d = hash_rank(df, strata, key, seed, "__rn")
+    return d.orderBy("__rn", *[hkey(seed, s) for s in strata], key).limit(n).drop("__rn")

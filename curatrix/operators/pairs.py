@@ -47,3 +47,17 @@ def normalized_item(item: Column) -> Column:
     plain = F.when(~F.startswith(F.ltrim(item), F.lit("{")), F.nullif(F.trim(item), F.lit("")))
     en = F.coalesce(v("$.en", "$.source_text", "$.text"), plain)
     return F.when(en.isNotNull(), F.struct(en.alias("en"), F.coalesce(v("$.zh", "$.translation"), F.lit("")).alias("zh"), F.coalesce(v("$.domain"), F.lit("general")).alias("domain"), F.coalesce(v("$.source"), F.lit("")).alias("source")))
+
+
+def picked(slots: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
+    """slots: page_id, slot, bucket. A pair for each slot, none twice on a page while the bucket lasts: each page starts at a place of its own in the bucket's order."""
+    from pyspark.sql import Window
+
+    from ..functions.keys import huniform
+    from .ranking import hash_rank
+
+    p = hash_rank(pairs, ["bucket"], "en", seed, "__i", "__n")
+    n = p.groupBy("bucket").agg(F.max("__n").alias("__m"))  # a row a bucket
+    s = slots.withColumn("__k", F.row_number().over(Window.partitionBy("page_id", "bucket").orderBy("slot")) - 1).join(n, "bucket")
+    s = s.withColumn("__i", (F.floor(huniform(seed, "page_id", "bucket") * F.col("__m")) + F.col("__k")) % F.col("__m") + 1)
+    return s.join(p.drop("__n"), ["bucket", "__i"]).drop("__i", "__k", "__m")

@@ -93,3 +93,62 @@ def groups_in_frame(members: DataFrame) -> DataFrame:
 
 def in_hash_order(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.orderBy(hkey(seed, key), key)
+
+
+def empty_points(pages: DataFrame, boxes: DataFrame, n: int, margin: float, seed: int, tries: int = 24) -> DataFrame:
+    """Up to n points of each page (page_id, w, h) at least margin from every box: the first of `tries` hash-uniform candidates that qualify."""
+    from pyspark.sql import Window
+
+    own = boxes.groupBy("page_id").agg(F.collect_list("b").alias("boxes"))
+    d = pages.join(own, "page_id", "left").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(tries))))
+    d = d.withColumns({"x": huniform(f"{seed}ex", "page_id", "k") * F.col("w"), "y": huniform(f"{seed}ey", "page_id", "k") * F.col("h")})
+    d = d.filter(F.coalesce(G.distance_outside(F.col("x"), F.col("y"), F.col("boxes")) >= margin, F.lit(True)))
+    return d.withColumn("rn", F.row_number().over(Window.partitionBy("page_id").orderBy("k"))).filter(F.col("rn") <= n).select("page_id", "rn", "x", "y")
+
+
+def gap_points(pairs: DataFrame, seed: int) -> DataFrame:
+    """A point in the strip of each boundary pair: negatives close to text."""
+    u = lambda s: huniform(f"{seed}{s}", "page_id", "i", "j")
+    s = F.col("strip")
+    return pairs.filter(s.isNotNull()).select("page_id", "i", "j", (s["x0"] + u("gx") * (s["x1"] - s["x0"])).alias("x"), (s["y0"] + u("gy") * (s["y1"] - s["y0"])).alias("y"))
+
+
+def band_points(bands: DataFrame, n: int, seed: int) -> DataFrame:
+    """n points in bands (page_id, band, b) of a page that are at least 20 by 10 pixels, each in a band of its own draw."""
+    usable = bands.filter((G.width(F.col("b")) >= 20) & (G.height(F.col("b")) >= 10))
+    d = usable.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("band", "b"))).alias("bs")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    u = lambda s: huniform(f"{seed}{s}", "page_id", "k")
+    d = d.withColumn("one", F.get("bs", F.floor(u("b") * F.size("bs")).cast("int")))
+    b = F.col("one.b")
+    return d.select("page_id", "k", "one.band", (b["x0"] + u("x") * G.width(b)).alias("x"), (b["y0"] + u("y") * G.height(b)).alias("y"))
+
+
+def fragments(boxes: DataFrame, near: float = 12.0) -> DataFrame:
+    """(page_id, id, fragment): line boxes (page_id, id, b) whose expanded boxes meet, joined to fragments, page by page."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
+        b = [(r["x0"], r["y0"], r["x1"], r["y1"]) for r in pdf["b"]]
+        root = list(range(len(b)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i in range(len(b)):
+            for j in range(i):
+                if b[i][0] <= b[j][2] + near and b[j][0] <= b[i][2] + near and b[i][1] <= b[j][3] + near and b[j][1] <= b[i][3] + near:
+                    x, y = find(i), find(j)
+                    root[max(x, y)] = min(x, y)
+        return pd.DataFrame({"page_id": pdf["page_id"], "id": pdf["id"], "fragment": [pdf["id"][find(i)] for i in range(len(b))]})
+
+    return boxes.select("page_id", "id", "b").groupBy("page_id").applyInPandas(run, "page_id string, id string, fragment string")
+
+
+def point_rows(points: DataFrame, blocks: DataFrame, image_w: int, image_h: int) -> DataFrame:
+    """Sample rows of points on blocks: pixel and grid coordinates, region and target."""
+    d = points.join(blocks.select("page_id", "id", F.col("markdown").alias("target")), ["page_id", "id"])
+    norm = F.array(G.pixel_to_norm(F.col("x"), F.lit(float(image_w))), G.pixel_to_norm(F.col("y"), F.lit(float(image_h))))
+    return d.select(F.concat_ws("__", "page_id", "id", F.col("k").cast("string")).alias("sample_id"), "page_id", F.col("id").alias("block_id"), "region", F.array("x", "y").alias("point"), norm.alias("point_norm"), "target", (F.trim(F.coalesce("target", F.lit(""))) == "").alias("is_negative"))

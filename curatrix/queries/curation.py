@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions.keys import hkey
-from ..operators import dedup, mixing, probe, quota, ranking, sampling, split
+from ..operators import dedup, mixing, probe, quota, ranking, sampling, selection, split
 from .base import SAMPLES, key_sql, query, samples, t
 
 QUOTAS = """shares AS (SELECT lang, count(*)::DOUBLE AS share FROM documents GROUP BY lang), e AS (SELECT *, share / sum(share) OVER () * 137 AS exact FROM shares), b AS (SELECT *, floor(exact + 1e-9) AS base FROM e)"""
@@ -161,3 +161,41 @@ def scenes(spark: SparkSession, sf: str) -> DataFrame:
     pool = F.when(F.col("pool_id") == "de", "semantic_group").otherwise(F.col("pool_id"))
     frag = F.when((F.col("doc_id") % 5 == 0) & (F.col("pool_id") != "de"), 2)
     return d.select("sample_id", C.scene(pool, F.col("target"), F.lit(False), frag, F.lit(0)).alias("scene"))
+
+
+@query(f"""WITH {SAMPLES}, q(k, quota) AS (VALUES ('de', 150), ('es', 150)), r AS (SELECT sample_id, pool_id, {key_sql(21, 'sample_id')} AS h, row_number() OVER (PARTITION BY pool_id ORDER BY {key_sql(21, 'sample_id')}, sample_id) AS rn, quota FROM samples JOIN q ON pool_id = k)
+SELECT sample_id, pool_id FROM r ORDER BY CAST(rn > quota AS INT), h, sample_id LIMIT 300""")
+def mix_with_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.mixed_with_fill(samples(spark, sf).select("sample_id", "pool_id"), "pool_id", {"de": 0.5, "es": 0.5}, 300, "sample_id", 21)
+
+
+@query(f"""WITH {SAMPLES}, c AS (SELECT pool_id AS k, count(*) AS n FROM samples GROUP BY pool_id), e AS (SELECT *, n / sum(n) OVER () * 90::DOUBLE AS exact FROM c), b AS (SELECT *, floor(exact + 1e-9) AS base FROM e), q AS (SELECT k, base + CAST(row_number() OVER (ORDER BY round(exact - base, 9) DESC, k) <= 90 - sum(base) OVER () AS INT) AS quota FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY pool_id ORDER BY {key_sql(22, 'sample_id')}, sample_id) AS rn FROM samples) SELECT sample_id, pool_id FROM r JOIN q ON pool_id = k WHERE rn <= quota""")
+def supply_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.proportional_to_supply(samples(spark, sf).select("sample_id", "pool_id"), "pool_id", 90, "sample_id", 22)
+
+
+@query(f"SELECT doc_id, lpad(CAST(CAST(floor(doc_id / 50) AS BIGINT) AS VARCHAR), 12, '0') || '|' || {key_sql(23, 'doc_id')} AS ord FROM documents")
+def windowed_order(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.windowed(t(spark, sf, "documents").select("doc_id"), "doc_id", "doc_id", 50, 23)
+
+
+@query(f"""WITH {SAMPLES}, p AS (SELECT page_id, min(pool_id) AS pool_id, min(template_stem) AS template_stem, min(chrome) AS chrome FROM samples GROUP BY page_id),
+a AS (SELECT *, row_number() OVER (PARTITION BY template_stem ORDER BY CAST(pool_id <> 'core_inner' AS INT), page_id) AS t, first_value(chrome) OVER (PARTITION BY template_stem ORDER BY CAST(pool_id <> 'core_inner' AS INT), page_id) AS c, row_number() OVER (PARTITION BY template_stem, chrome ORDER BY CAST(pool_id <> 'core_inner' AS INT), page_id) AS o FROM p),
+b AS (SELECT *, CASE WHEN t = 1 THEN 1 WHEN chrome <> c AND o = 1 THEN 2 ELSE 3 END AS tier FROM a),
+d AS (SELECT *, min(CASE WHEN tier < 3 THEN 1 END) OVER (PARTITION BY pool_id) AS seen, row_number() OVER (PARTITION BY pool_id ORDER BY tier, page_id) AS k FROM b)
+SELECT page_id, pool_id, template_stem, chrome FROM d WHERE tier < 3 OR (seen IS NULL AND k = 1) ORDER BY tier, template_stem, page_id LIMIT 30""")
+def gallery_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.gallery_pages(samples(spark, sf).select("page_id", "pool_id", "template_stem", "chrome"), 30)
+
+
+@query(f"""WITH {SAMPLES}, r AS (SELECT sample_id, template_stem, {key_sql(24, 'sample_id')} AS h, row_number() OVER (PARTITION BY template_stem ORDER BY {key_sql(24, 'sample_id')}, sample_id) AS rn FROM samples) SELECT sample_id, template_stem FROM r ORDER BY rn, {key_sql(24, 'template_stem')}, sample_id LIMIT 60""")
+def stratified_review(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.unseen_rounds(samples(spark, sf).select("sample_id", "template_stem"), ["template_stem"], "sample_id", 24, 60)
+
+
+@query("WITH o AS (SELECT o_orderkey AS k, o_orderpriority LIKE '1%' AS a, o_orderpriority < '4' AS b FROM orders), n AS (SELECT count_if(a) >= 300 AS enough FROM o) SELECT k FROM o, n WHERE CASE WHEN enough THEN a ELSE b END ORDER BY md5(concat_ws('|', '25', CAST(k AS VARCHAR))), k LIMIT 300")
+def preferred_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The stricter choice if it has enough rows, else the looser one."""
+    d = t(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), "o_orderpriority")
+    return sampling.preferred_or_looser(d, F.col("o_orderpriority").like("1%"), F.col("o_orderpriority") < "4", 300, "k", 25).select("k")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
+from ..functions import html as H
 from ..functions import text as X
 from ..operators import dedup, documents, sampling
 from .base import TURNS, WS, query, strip_sql, t, turns
@@ -159,5 +160,20 @@ def daily_spec_mix(spark: SparkSession, sf: str) -> DataFrame:
     return d.filter(~spec).select("doc_id").unionByName(d.filter(spec).orderBy(hkey(31, "doc_id"), "doc_id").limit(cap).select("doc_id"))
 
 
-def first_of_key(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.first_of(t(spark, sf, "events"), ["user_id"], ["event_id"])
+@query("SELECT p_partkey, CASE WHEN t IN ('h1','h2','h3','h4') OR regexp_matches(b, '^(h1|h2|h3|title|side_h)') THEN 'headings' WHEN t IN ('td','th') OR contains(b, 'cell') OR (regexp_matches(b, '^[cr]') AND n < 12) THEN 'cells' WHEN t IN ('code','pre') OR contains(b, 'code') OR starts_with(b, 'cmd') THEN 'code_lines' WHEN t = 'li' OR regexp_matches(b, '^(li|side_|nav)') THEN CASE WHEN n < 80 THEN 'list_items' ELSE 'paragraphs' END WHEN t IN ('span','small') OR contains(b, 'meta') OR contains(b, 'caption') OR n < 40 THEN 'captions' ELSE 'paragraphs' END AS bucket FROM (SELECT p_partkey, lower(p_name) AS b, p_size * 3 AS n, CASE p_partkey % 6 WHEN 0 THEN 'h2' WHEN 1 THEN 'td' WHEN 2 THEN 'li' WHEN 3 THEN 'span' WHEN 4 THEN 'pre' ELSE 'p' END AS t FROM part)")
+def slot_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey") % 6
+    tag = F.when(k == 0, "h2").when(k == 1, "td").when(k == 2, "li").when(k == 3, "span").when(k == 4, "pre").otherwise("p")
+    return t(spark, sf, "part").select("p_partkey", C.slot_bucket(tag, F.col("p_name"), F.col("p_size") * 3).alias("bucket"))
+
+
+@query("SELECT page_id, CAST(len(html) - len(replace(html, '<', '')) AS BIGINT) AS tags, md5(CASE WHEN strpos(lower(html), '</body>') > 0 THEN left(html, strpos(lower(html), '</body>') - 1) || '<p>a &amp; b</p>' || substr(html, strpos(lower(html), '</body>')) ELSE html || '<p>a &amp; b</p>' END) AS filled FROM pages")
+def page_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """A paragraph at the end of each page's body."""
+    return t(spark, sf, "pages").select("page_id", (F.length("html") - F.length(F.replace("html", F.lit("<"), F.lit("")))).cast("bigint").alias("tags"), F.md5(H.with_paragraphs(F.col("html"), F.array(F.lit("a & b")))).alias("filled"))
+
+
+@query("SELECT c_custkey, CASE WHEN p = '' THEN 'unknown' ELSE p END AS doc_type, i AS page FROM (SELECT c_custkey, split_part(x, '__', 1) AS p, TRY_CAST(regexp_extract(x, '__(\\d+)$', 1) AS INT) AS i FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_mktsegment || '__' || c_nationkey END AS x FROM customer))")
+def page_names(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.concat("c_mktsegment", F.lit("__"), F.col("c_nationkey").cast("string")))
+    return t(spark, sf, "customer").select("c_custkey", C.doc_type(x).alias("doc_type"), X.page_index(x).alias("page"))
