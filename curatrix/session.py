@@ -17,3 +17,22 @@ def local(cpus: int = 8, memory: str = "8g") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Lets executors import this package, once a context, unless PYTHONPATH already does."""
+    import os
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parent
+    sc = spark.sparkContext
+    if getattr(sc, "_curatrix_shipped", False) or str(here.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="curatrix-")), "curatrix_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    sc.addPyFile(path)
+    sc._curatrix_shipped = True
