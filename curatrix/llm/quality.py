@@ -150,12 +150,10 @@ def vector_of(text: str, memo: dict[str, tuple]) -> tuple[np.ndarray, np.ndarray
     return slots, np.sqrt(np.bincount(inverse, n) / len(pieces))
 
 
-def train(vectors: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, rounds: int = 12, seed: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer of soft labels q: AdaGrad in batches, classes weighed alike."""
+def train(vectors: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, rounds: int = 25, seed: int = 3) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer of soft labels q: AdaGrad in batches."""
     rng = np.random.default_rng(seed)
     w, bias, g2, b2 = np.zeros(SLOTS), 0.0, np.full(SLOTS, 1e-8), 1e-8
-    pos = np.clip(q.mean(), 0.02, 0.98) if len(q) else 0.5
-    weight = q / (2 * pos) + (1 - q) / (2 * (1 - pos))
     for _ in range(rounds):
         order = rng.permutation(len(q))
         for s in range(0, len(order), 256):
@@ -163,7 +161,7 @@ def train(vectors: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray, rounds: i
             n = np.array([len(vectors[k][0]) for k in i])
             at, x, row = np.concatenate([vectors[k][0] for k in i]), np.concatenate([vectors[k][1] for k in i]), np.repeat(np.arange(len(i)), n)
             z = bias + np.bincount(row, w[at] * x, len(i))
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - q[i]) * weight[i] / len(i)
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - q[i]) / len(i)
             gw = np.bincount(at, g[row] * x, SLOTS)
             g2 += gw**2
             b2 += g.sum() ** 2
