@@ -65,9 +65,10 @@ def over(pred: Column, gt: Column, negative: Column) -> Column:
     return F.when(~negative & X.over_extraction(pred, gt), -1.0).otherwise(0.0)
 
 
-def under(pred: Column, gt: Column, negative: Column) -> Column:
+def under(pred: Column, gt: Column, negative: Column, similarity: Column | None = None) -> Column:
     short = F.length(pred) < UNDER_LENGTH * F.length(gt)
-    return F.when(~negative & ~X.is_blank(pred) & ~X.is_blank(gt) & short & (X.edit_similarity(pred, gt) < UNDER_SIMILARITY), -1.0).otherwise(0.0)
+    sim = X.edit_similarity(pred, gt) if similarity is None else similarity
+    return F.when(~negative & ~X.is_blank(pred) & ~X.is_blank(gt) & short & (sim < UNDER_SIMILARITY), -1.0).otherwise(0.0)
 
 
 def leak(raw: Column, penalty: float = 1.0) -> Column:
@@ -109,23 +110,34 @@ def legacy(raw: Column, gt: Column, negative: Column) -> Column:
 
 def one_tag(raw: Column, gt: Column, negative: Column, w: OneTagWeights = OneTagWeights()) -> Column:
     """struct of terms and their weighted total."""
-    pred = X.strip_format_leak(raw)
-    terms = {"edit": edit(pred, gt), "empty": empty(pred, negative), "over": over(pred, gt, negative), "under": under(pred, gt, negative), "leak": leak(raw)}
-    return F.struct(*[c.alias(k) for k, c in terms.items()], sum((getattr(w, k) * c for k, c in terms.items()), F.lit(0.0)).alias("total"))
+
+    def terms(v: Column) -> Column:
+        pred, sim = v["p"], v["s"]
+        return F.struct(*[c.alias(k) for k, c in {"edit": sim, "empty": empty(pred, negative), "over": over(pred, gt, negative), "under": under(pred, gt, negative, sim), "leak": leak(raw)}.items()])
+
+    pair = X.bind(X.strip_format_leak(raw), lambda p: F.struct(p.alias("p"), edit(p, gt).alias("s")))
+    return X.bind(X.bind(pair, terms), lambda t: _with_total(t, w))
+
+
+def _with_total(t: Column, w) -> Column:
+    names = list(vars(w))
+    return F.struct(*[t[k].alias(k) for k in names], sum((getattr(w, k) * t[k] for k in names), F.lit(0.0)).alias("total"))
 
 
 def two_tags(raw: Column, gt: Column, negative: Column, score: Column, w: TwoTagWeights = TwoTagWeights()) -> Column:
-    pred = X.strip_format_leak(raw)
-    terms = {
-        "source": source(pred, gt, negative),
-        "translation": translation(pred, gt, negative, score),
-        "xml": xml(pred),
-        "empty": empty_two_tags(pred, negative),
-        "hallucination": hallucination(pred, negative),
-        "over": over_two_tags(pred, gt, negative),
-        "leak": leak(raw),
-    }
-    return F.struct(*[c.alias(k) for k, c in terms.items()], sum((getattr(w, k) * c for k, c in terms.items()), F.lit(0.0)).alias("total"))
+
+    def terms(pred: Column) -> Column:
+        return F.struct(
+            source(pred, gt, negative).alias("source"),
+            translation(pred, gt, negative, score).alias("translation"),
+            xml(pred).alias("xml"),
+            empty_two_tags(pred, negative).alias("empty"),
+            hallucination(pred, negative).alias("hallucination"),
+            over_two_tags(pred, gt, negative).alias("over"),
+            leak(raw).alias("leak"),
+        )
+
+    return X.bind(X.bind(X.strip_format_leak(raw), terms), lambda t: _with_total(t, w))
 
 
 def verdict(mean: Column, std: Column, n_unique: Column, least_std: float = 0.04, saturated: float = 0.92, floor: float = 0.20) -> Column:

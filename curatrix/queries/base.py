@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import hkey, huniform
+from ..session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,7 +74,7 @@ BOXES = f"""boxes AS (SELECT CAST(floor(p_partkey / 40.0) AS BIGINT) AS page_id,
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations as predictions: each turn answers the turn before it, some in two tags, some leaking, some empty, by a hash."""
-    d = t(spark, sf_dir, "conversations")
+    d = spread(t(spark, sf_dir, "conversations"))
     clean = F.regexp_replace("text", r"[^ -~\n]", "")
     a = d.select("conv_id", "turn", "role", clean.alias("target"))
     k = F.substring(hkey("t", "conv_id", "turn"), 1, 1)

@@ -9,17 +9,18 @@ from ..functions import classify as C
 from ..functions import html as H
 from ..functions import text as X
 from ..operators import dedup, documents, sampling
+from ..session import spread
 from .base import TURNS, WS, query, strip_sql, t, turns
 
 
 @query()
 def html_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return documents.with_targets(documents.blocks(t(spark, sf, "pages")))
+    return documents.with_targets(documents.blocks(spread(t(spark, sf, "pages").select("page_id", "html"))))
 
 
 @query()
 def html_block_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    d = documents.with_targets(documents.blocks(t(spark, sf, "pages")))
+    d = documents.with_targets(documents.blocks(spread(t(spark, sf, "pages").select("page_id", "html"))))
     return d.groupBy("tag", "bucket", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -36,3 +36,10 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(here.parent))
     sc.addPyFile(path)
     sc._curatrix_shipped = True
+
+
+def spread(df):
+    """df over as many tasks as there are cores, if its input is too small to be cut so; else as it is. For costly rows only."""
+    spark = df.sparkSession
+    n = spark.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
