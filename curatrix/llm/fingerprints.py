@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and spans, in DataFrame functions only.
 
 A text is cut at blank lines into sections, at line ends into paragraphs, and a paragraph after sentence marks (or
-each SPAN characters) into spans. A paragraph's digest is SHA-256 of its text, a section's that of its paragraphs'
+each SPAN characters, HEAD_SPAN in its head) into spans. A paragraph's digest is SHA-256 of its text, a section's that of its paragraphs'
 digests, the root that of the sections' digests. The fingerprint names all of them:
 root "/" sections joined by ";", a section being paragraphs joined by ",", a paragraph "digest.spans" (16 and 8 hex
 digits each). Equal texts have equal fingerprints and equal roots; unequal branches locate edits (`differing`).
@@ -20,7 +20,9 @@ from . import common
 
 SPAN = 48
 SECTION_END = r"\n[ \t\r]*\n\s*"
-SPANS = rf"[^.!?]{{1,{SPAN}}}[.!?]*\s*|[.!?]+\s*"
+#: The first HEAD characters of a paragraph have spans of HEAD_SPAN, so that short texts have enough of them to be compared.
+HEAD, HEAD_SPAN = 60, 12
+SPANS, HEAD_SPANS = (rf"[^.!?]{{1,{n}}}[.!?]*\s*|[.!?]+\s*" for n in (SPAN, HEAD_SPAN))
 #: Most buckets that the key range is cut into; each costs one boundary value on the driver.
 MOST_BUCKETS = 65_536
 
@@ -31,10 +33,9 @@ def _sha(x: Column) -> Column:
 
 def _tree(text: Column) -> Column:
     """array<section array<struct<paragraph digest, span digests>>>"""
-    return F.transform(
-        F.split(text, SECTION_END),
-        lambda s: F.transform(F.split(s, "\n"), lambda p: F.struct(_sha(p).alias("d"), F.transform(F.regexp_extract_all(p, F.lit(SPANS), F.lit(0)), lambda x: F.xxhash64(x)).alias("x"))),
-    )
+    cut = lambda p, pattern: F.transform(F.regexp_extract_all(p, F.lit(pattern), F.lit(0)), lambda x: F.xxhash64(x))
+    spans = lambda p: F.concat(cut(F.left(p, F.lit(HEAD)), HEAD_SPANS), cut(F.substring(p, F.lit(HEAD + 1), F.length(p)), SPANS))
+    return F.transform(F.split(text, SECTION_END), lambda s: F.transform(F.split(s, "\n"), lambda p: F.struct(_sha(p).alias("d"), spans(p).alias("x"))))
 
 
 def _root(tree: Column) -> Column:
