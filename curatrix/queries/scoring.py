@@ -71,10 +71,16 @@ def edit_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("sample_id", F.round(X.edit_similarity(F.col("prediction"), F.col("target")), 9).alias("similarity"), X.over_extraction(F.col("prediction"), F.col("target")).alias("over"))
 
 
-CHRF = f"""WITH {PARSED}, d AS (SELECT sample_id, trim(regexp_replace(translation, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS h, trim(regexp_replace(target, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS r FROM z),
+CHRF_CTES = f"""d AS (SELECT sample_id, trim(regexp_replace(translation, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS h, trim(regexp_replace(target, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS r FROM z),
 o AS (SELECT *, unnest(range(1, least(6, length(h), length(r)) + 1)) AS n FROM d), g AS (SELECT sample_id, n, substr(h, i.i, n) AS g, 1 AS a, 0 AS b FROM o, LATERAL (SELECT unnest(range(1, length(h) - n + 2)) AS i) i UNION ALL SELECT sample_id, n, substr(r, i.i, n), 0, 1 FROM o, LATERAL (SELECT unnest(range(1, length(r) - n + 2)) AS i) i),
 k AS (SELECT sample_id, n, g, sum(a) AS a, sum(b) AS b FROM g GROUP BY ALL), f AS (SELECT sample_id, n, sum(least(a, b)) AS m, sum(a) AS h, sum(b) AS r FROM k GROUP BY ALL),
-s AS (SELECT sample_id, avg(CASE WHEN m = 0 THEN 0 ELSE 5.0 * (m / h) * (m / r) / (4.0 * (m / h) + (m / r)) END) AS f FROM f GROUP BY sample_id) SELECT d.sample_id, round(coalesce(s.f, CASE WHEN d.h = d.r THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS score FROM d LEFT JOIN s USING (sample_id)"""
+s AS (SELECT sample_id, avg(CASE WHEN m = 0 THEN 0 ELSE 5.0 * (m / h) * (m / r) / (4.0 * (m / h) + (m / r)) END) AS f FROM f GROUP BY sample_id)"""
+CHRF = f"""WITH {PARSED}, {CHRF_CTES} SELECT d.sample_id, round(coalesce(s.f, CASE WHEN d.h = d.r THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS score FROM d LEFT JOIN s USING (sample_id)"""
+#: Rows of the two-tag reports and rewards; sim is that of sources, score that of translations.
+TWO = f"""WITH {PARSED}, {CHRF_CTES}, score AS (SELECT d.sample_id, coalesce(s.f, CASE WHEN d.h = d.r THEN 1.0 ELSE 0.0 END)::DOUBLE AS score FROM d LEFT JOIN s USING (sample_id)),
+y AS (SELECT z.*, turns.role, score.score, {VERDICTS}, {norm_sql('prediction')} = '' AS blank, {similarity_sql('z.source', 'z.target')} AS sim, {strip_sql('z.source')} AS p, {strip_sql('z.target')} AS g, z.source <> '' AS said,
+ (open_source AND NOT contains(lower(prediction), '</source>')) OR (contains(lower(prediction), '<translation>') AND NOT contains(lower(prediction), '</translation>')) AS unclosed FROM z JOIN turns USING (sample_id) JOIN score USING (sample_id)),
+w AS (SELECT *, is_negative AS neg FROM y)"""
 
 
 @query(CHRF)
@@ -130,7 +136,9 @@ def group_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("reward_mean"), 6).alias("mean_reward"), F.round(F.avg((F.col("verdict") == "signal").cast("double")), 6).alias("frac_signal"))
 
 
-@query()
+@query(TWO + f""", r AS (SELECT sample_id, CASE WHEN neg THEN 0 ELSE sim END AS source, CASE WHEN neg OR NOT said THEN 0 ELSE score END AS translation, CASE WHEN blank THEN 0.0 WHEN well_formed THEN 1.0 WHEN has_source AND has_translation THEN 0.4 WHEN has_source OR has_translation THEN 0.0 ELSE -0.5 END::DOUBLE AS xml,
+CASE WHEN neg THEN CASE WHEN blank THEN 1.0 WHEN empty_shell OR truncated THEN 0.5 ELSE 0.0 END WHEN blank THEN -1.0 ELSE 0.0 END::DOUBLE AS empty, CASE WHEN neg AND said THEN -1.0 ELSE 0.0 END::DOUBLE AS hallucination, CASE WHEN NOT neg AND {OVER} THEN -1.0 ELSE 0.0 END::DOUBLE AS over, CASE WHEN contains(prediction_raw, '<|im_end|>') THEN -1.0 ELSE 0.0 END::DOUBLE AS leak FROM w)
+SELECT sample_id, round(source, 6)::DOUBLE AS source, round(translation, 6)::DOUBLE AS translation, xml, empty, hallucination, over, leak, round(0.5 * source + translation + 0.5 * xml + 1.5 * empty + 1.5 * hallucination + 0.5 * over + 0.5 * leak, 6)::DOUBLE AS total FROM r""")
 def reward_two_tags(spark: SparkSession, sf: str) -> DataFrame:
     """The two-tag set, its translation term by the Arrow n-gram score."""
     d = _predictions(spark, sf).withColumn("gt", X.format_target(F.col("target"), F.col("target")))
@@ -139,11 +147,31 @@ def reward_two_tags(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("sample_id", *[F.round(f"r.{k}", 6).alias(k) for k in ("source", "translation", "xml", "empty", "hallucination", "over", "leak", "total")])
 
 
-@query()
+def _rate(hit: str, of: str) -> str:
+    return f"coalesce(count_if({of} AND {hit}) / nullif(count_if({of}), 0)::DOUBLE, 0)"
+
+
+_RATES = {
+    "strict_empty_rate": ("blank", "neg"),
+    "effective_empty_rate": ("(blank OR empty_shell OR truncated)", "neg"),
+    "broken_empty_rate": ("(NOT blank AND (empty_shell OR truncated))", "neg"),
+    "hallucination_rate": ("said", "neg"),
+    "plain_rate": ("NOT blank AND NOT has_source AND NOT has_translation", "neg"),
+    "pair_rate": ("has_source", "NOT neg"),
+    "well_formed_rate": ("well_formed", "NOT neg"),
+    "source_hit_rate": ("sim >= 0.85", "NOT neg"),
+    "translation_hit_rate": ("score >= 0.6", "NOT neg"),
+    "both_hit_rate": ("sim >= 0.85 AND score >= 0.6", "NOT neg"),
+    "translation_empty_rate": ("translation = ''", "NOT neg"),
+    "unclosed_rate": ("unclosed", "NOT neg"),
+}
+
+
+@query(TWO + " SELECT role, count(*) AS n, CAST(count_if(NOT neg) AS BIGINT) AS n_pos, CAST(count_if(neg) AS BIGINT) AS n_neg, " + ", ".join(f"{_rate(*v)} AS {k}" for k, v in _RATES.items()) + ", round(coalesce(avg(CASE WHEN NOT neg THEN score END), 0), 6)::DOUBLE AS mean_score FROM w GROUP BY role")
 def two_tag_report(spark: SparkSession, sf: str) -> DataFrame:
     d = _predictions(spark, sf).withColumn("target", F.when(F.col("is_negative"), "").otherwise(X.format_target(F.col("target"), F.col("target"))))
     d = d.withColumn("score", X.chrf(X.parse_target(F.col("prediction"))["translation"], X.parse_target(F.col("target"))["translation"]))
-    return metrics.two_tag_report(d, "role")
+    return metrics.two_tag_report(d, "role").withColumn("mean_score", F.round("mean_score", 6))
 
 
 RANKS = "WITH r AS (SELECT {v} AS v, row_number() OVER (ORDER BY {v}) - 1 AS i, count(*) OVER () AS n FROM {t}) SELECT "
