@@ -20,7 +20,7 @@ def proportional(df: DataFrame, key: str, seed: int, out: str = "ord") -> DataFr
 
 
 def longest_runs(df: DataFrame, run: list[str], order: str, parts: list[str] | None = None) -> DataFrame:
-    """The longest run of rows, in order, with equal values of `run`; of each part, by gaps and islands."""
+    """The longest run of rows, in order, with equal values of `run`; of each part, by gaps and islands. Of a large table without parts: longest_run."""
     parts = parts or []
     all_rows, own = Window.partitionBy(*parts).orderBy(order), Window.partitionBy(*parts, *run).orderBy(order)
     d = df.withColumn("__island", F.row_number().over(all_rows) - F.row_number().over(own))
@@ -28,6 +28,38 @@ def longest_runs(df: DataFrame, run: list[str], order: str, parts: list[str] | N
     return runs.groupBy(*parts).agg(F.max("n").alias("max_run"))
 
 
+def longest_run(df: DataFrame, run: str, order: str) -> DataFrame:
+    """max_run of the whole table: ranges of the order are scanned side by side, and their first, last and longest runs, a row a range, stitched."""
+
+    def scan(batches):
+        import pandas as pd
+        from pyspark import TaskContext
+
+        runs: list[list] = []  # of [value, length]: the first, the longest yet closed, the open one
+        first, longest, value, n = None, 0, None, 0
+        for pdf in batches:
+            for v in pdf[run]:
+                v = None if pd.isna(v) else str(v)
+                if n and v == value:
+                    n += 1
+                    continue
+                if n:
+                    first, longest = first or [value, n], max(longest, n)
+                value, n = v, 1
+        if n:
+            one = first is None
+            runs = [[TaskContext.get().partitionId(), (first or [value, n])[0], (first or [value, n])[1], value, n, max(longest, n), one]]
+        yield pd.DataFrame(runs, columns=["p", "a", "a_n", "z", "z_n", "most", "one"])
+
+    d = df.select(F.col(run).cast("string").alias(run), order).repartitionByRange(order).sortWithinPartitions(order).select(run)
+    most, value, n = 0, None, 0
+    for r in sorted(d.mapInPandas(scan, "p int, a string, a_n long, z string, z_n long, most long, one boolean").collect()):  # a row a range
+        joined = r.a_n + (n if n and r.a == value else 0)
+        most = max(most, joined, r.most)
+        value, n = r.z, joined if r.one else r.z_n
+    return df.sparkSession.createDataFrame([(most,)], "max_run long")
+
+
 def mix_summary(df: DataFrame, sets: list[list[str]]) -> DataFrame:
     """Counts by each set of columns, and of negatives, in one scan (grouping sets)."""
     names = list(dict.fromkeys(c for s in sets for c in s))

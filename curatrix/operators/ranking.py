@@ -54,9 +54,9 @@ def nearest_rank(df: DataFrame, value: str, shares: dict[str, float]) -> DataFra
         a, b = brackets[k]
         at = min(n - 1, int(s * n + 1e-9)) - below[k]
         by = d.filter(F.col("v").between(F.lit(a), F.lit(b))).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-        one = by.withColumn("upto", F.sum("c").over(Window.orderBy("v"))).filter(F.col("upto") > at).agg(F.min("v").alias(k))
-        out = one if out is None else out.crossJoin(one)  # one row each
-    return out
+        one = by.withColumn("upto", F.sum("c").over(Window.orderBy("v"))).filter(F.col("upto") > at).agg(F.min("v").alias("v")).select(F.lit(k).alias("k"), "v")
+        out = one if out is None else out.unionByName(one)
+    return out.agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(k) for k in shares])
 
 
 def split_ends(n: Column, train: float, val: float) -> tuple[Column, Column]:

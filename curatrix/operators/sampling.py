@@ -49,7 +49,8 @@ def unique_page_first(df: DataFrame, page: str, n: int, key: str, seed: int) ->
 def round_robin(df: DataFrame, bucket: str, n: int, position: str) -> DataFrame:
     """n rows: the first of each bucket, then the second of each, in order of the buckets' first rows."""
     w = Window.partitionBy(bucket)
-    d = df.withColumn("__round", F.row_number().over(w.orderBy(position))).withColumn("__first", F.min(position).over(w))
+    d = df.withColumn("__round", F.row_number().over(w.orderBy(position))).filter(F.col("__round") <= n)  # cut before the shuffle
+    d = d.withColumn("__first", F.min(position).over(w))
     return d.orderBy("__round", "__first").limit(n).drop("__round", "__first")
 
 

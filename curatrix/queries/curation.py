@@ -101,6 +101,11 @@ def max_run(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.longest_runs(t(spark, sf, "documents").select("source", "lang", "doc_id"), ["lang"], "doc_id", ["source"])
 
 
+@query("WITH d AS (SELECT lang, doc_id, row_number() OVER (ORDER BY doc_id) - row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents), r AS (SELECT lang, i, count(*) AS n FROM d GROUP BY lang, i) SELECT max(n) AS max_run FROM r")
+def max_run_of_table(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.longest_run(t(spark, sf, "documents"), "lang", "doc_id")
+
+
 @query("WITH n AS (SELECT count(*) AS n FROM labels WHERE toxic = 1), d AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('|', '0', CAST(doc_id AS VARCHAR))), doc_id) - 1 AS i, CAST(round_even(0.35 * n, 0) AS BIGINT) AS extra, n FROM labels, n WHERE toxic = 1) SELECT doc_id, k.k > 0 AS upsampled FROM d, (SELECT unnest(range(0, 3)) AS k) k WHERE k.k <= extra // n + CAST(i < extra % n AS INT)")
 def blank_upsample(spark: SparkSession, sf: str) -> DataFrame:
     d = t(spark, sf, "labels").filter("toxic = 1").select("doc_id")

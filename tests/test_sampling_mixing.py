@@ -73,6 +73,13 @@ def test_interleaved_and_runs(spark):
     assert all({*ks[i : i + 3]} == {0, 1, 2} for i in range(0, 60, 3))
     r = spark.createDataFrame([(i, k) for i, k in enumerate("aabbbacccc")], "o int, k string")
     assert mixing.longest_runs(r, ["k"], "o").first().max_run == 4
+    for n in (1, 2, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        assert mixing.longest_run(r, "k", "o").first().max_run == 4
+        assert mixing.longest_run(r.withColumn("k", F.lit("x")), "k", "o").first().max_run == 10
+        assert mixing.longest_run(r.withColumn("k", F.col("o")), "k", "o").first().max_run == 1
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert mixing.longest_run(r.limit(0), "k", "o").first().max_run == 0
 
 
 def test_dedup(spark):
