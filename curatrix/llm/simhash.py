@@ -29,8 +29,8 @@ SEED = 42
 PIVOTS = 24
 #: Classes that one group task compares at once.
 MOST = 2048
-#: By then a group's shared bits leave so few that it is compared in blocks of MOST whatever its size.
-DEPTH = 8
+#: After so many levels members of a group differ in 11 bits at most (for links at 4), so there are 2048 classes at most.
+DEPTH = 9
 #: Words above which hashes are summed in parts.
 PART = 1 << 16
 
