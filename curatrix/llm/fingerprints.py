@@ -33,7 +33,7 @@ def _sha(x: Column) -> Column:
 
 def _tree(text: Column) -> Column:
     """array<section array<struct<paragraph digest, span digests>>>"""
-    cut = lambda p, pattern: F.transform(F.regexp_extract_all(p, F.lit(pattern), F.lit(0)), lambda x: F.xxhash64(x))
+    cut = lambda p, pattern: F.transform(F.regexp_extract_all(p, F.lit(pattern), F.lit(0)), lambda x: F.hash(x))
     spans = lambda p: F.concat(cut(F.left(p, F.lit(HEAD)), HEAD_SPANS), cut(F.substring(p, F.lit(HEAD + 1), F.length(p)), SPANS))
     return F.transform(F.split(text, SECTION_END), lambda s: F.transform(F.split(s, "\n"), lambda p: F.struct(_sha(p).alias("d"), spans(p).alias("x"))))
 
