@@ -114,7 +114,8 @@ def fit(docs: DataFrame) -> Filters:
 
 
 def annotated(docs: DataFrame, filters: Filters) -> DataFrame:
-    """docs with lang_pred and score: one pass over whole texts, no shuffle."""
+    """docs with lang_pred and score: one pass over whole texts, no shuffle. Columns of docs that have these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
     # The filters, of a fixed size, go to executors once.
     shared = docs.sparkSession.sparkContext.broadcast((filters.names, np.flatnonzero(filters.slots.any(0)), filters.slots[:, filters.slots.any(0)], filters.rate))
 
@@ -128,7 +129,7 @@ def annotated(docs: DataFrame, filters: Filters) -> DataFrame:
             hits, letters = np.zeros((b.num_rows, len(names) + 1)), []
             for i, t in enumerate(b.column("text")):
                 words = words_of(t.as_py() or "")
-                letters.append(bool(names and words))
+                letters.append(bool(names) and any(any(map(str.isalpha, w)) for w in words))
                 if letters[-1]:
                     hits[i] = seen.hits(words)
             best, score = f.decide(hits[:, :-1], hits[:, -1]) if names else (None, np.zeros(b.num_rows))

@@ -52,7 +52,7 @@ def test_many_languages(spark):
     assert np.mean([got[i] == x for i, _, x in rows]) > 0.95
 
 
-def test_odd_rows(docs, no_docs, rows, texts):
+def test_odd_rows(spark, docs, no_docs, rows, texts):
     d = docs
     assert li.annotated(d, li.fit(no_docs)).columns == [*d.drop("score").columns, "lang_pred", "score"]
     got = li.identified(d, li.fit(texts)).collect()
@@ -63,4 +63,6 @@ def test_odd_rows(docs, no_docs, rows, texts):
     assert all(by[k].lang_pred == "und" and by[k].score == 0 for k in (0, 3, 6))
     assert by[12].lang_pred != "und" or by[9].lang_pred != "und"
     assert {r.lang_pred for r in li.identified(d, li.fit(no_docs)).collect()} == {"und"}
+    marks = spark.createDataFrame([(1, "12 ½² ---"), (2, "½ ka")], "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in li.identified(marks, li.fit(texts)).orderBy("doc_id").collect()] == [True, False]
     assert li.identified(no_docs, li.fit(texts)).count() == 0
