@@ -16,7 +16,7 @@ def both():
     return bpe.WordBpe(PATH), Tokenizer.from_file(PATH)
 
 
-@settings(max_examples=400, deadline=None)
+@settings(max_examples=400, deadline=None, derandomize=True)
 @given(st.text(alphabet=st.sampled_from(list("aAbéÉé \n\t'sSdD019Σσİß漢。!?,.\"-\x1c\x85\xa0😀")), max_size=40) | st.text(max_size=30))
 def test_any_text_as_the_library_does(text):
     try:
