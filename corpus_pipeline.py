@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from curatrix.llm import bpe, common, langid, packing, simhash, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text whose language gets less of the corrected hits than this is in no language that is known.
-SURE = 0.3
+#: A text whose language gets less of the corrected hits than this, or than SURE_OF_MANY over the number of languages, is in none that is known.
+SURE, SURE_OF_MANY = 0.3, 1.2
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +23,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and those whose language stays unsure."""
-    found = langid.annotated(docs.select(COLUMNS), langid.fit(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= SURE)).select(COLUMNS)
+    """Rejects documents without a letter, and those whose language stays unsure; nothing if no language can be learned."""
+    filters = langid.fit(docs)
+    if not filters.names:
+        return docs.select(COLUMNS)
+    found = langid.annotated(docs.select(COLUMNS), filters)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= min(SURE, SURE_OF_MANY / len(filters.names)))).select(COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
