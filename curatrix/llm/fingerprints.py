@@ -1,10 +1,11 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and spans, in DataFrame functions only.
 
-A text is cut at blank lines into sections, at line ends into paragraphs, and a paragraph after sentence marks (or
-each SPAN characters, HEAD_SPAN in its head) into spans. A paragraph's digest is SHA-256 of its text, a section's that of its paragraphs'
+A text is cut after blank lines into sections, at line ends into paragraphs, and a paragraph after sentence marks (or
+each SPAN characters, HEAD_SPAN in its head) into spans. A section keeps the blank lines and the indent after it, so no
+character is left out: sections give the text, and a section is its paragraphs joined by line ends. A paragraph's digest is SHA-256 of its text, a section's that of its paragraphs'
 digests, the root that of the sections' digests. The fingerprint names all of them:
 root "/" sections joined by ";", a section being paragraphs joined by ",", a paragraph "digest.spans" (16 and 8 hex
-digits each). Equal texts have equal fingerprints and equal roots; unequal branches locate edits (`differing`).
+digits each). Equal texts, and no others, have equal roots; unequal branches locate edits (`differing`).
 Likeness is the Dice coefficient of the sets of span digests, 1 for two texts without spans.
 
 Nulls: a null text counts as an empty one. Repeated rows stay. An empty table gives an empty result. Columns other than
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SPAN = 48
-SECTION_END = r"\n[ \t\r]*\n\s*"
+SECTION = r"(?s).+?(?:\n[ \t\r]*\n\s*|\z)"
 #: The first HEAD characters of a paragraph have spans of HEAD_SPAN, so that short texts have enough of them to be compared.
 HEAD, HEAD_SPAN = 60, 12
 SPANS, HEAD_SPANS = (rf"[^.!?]{{1,{n}}}[.!?]*\s*|[.!?]+\s*" for n in (SPAN, HEAD_SPAN))
@@ -35,7 +36,8 @@ def _tree(text: Column) -> Column:
     """array<section array<struct<paragraph digest, span digests>>>"""
     cut = lambda p, pattern: F.transform(F.regexp_extract_all(p, F.lit(pattern), F.lit(0)), lambda x: F.hash(x))
     spans = lambda p: F.concat(cut(F.left(p, F.lit(HEAD)), HEAD_SPANS), cut(F.substring(p, F.lit(HEAD + 1), F.length(p)), SPANS))
-    return F.transform(F.split(text, SECTION_END), lambda s: F.transform(F.split(s, "\n"), lambda p: F.struct(_sha(p).alias("d"), spans(p).alias("x"))))
+    sections = F.when(text == "", F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(SECTION), F.lit(0)))
+    return F.transform(sections, lambda s: F.transform(F.split(s, "\n"), lambda p: F.struct(_sha(p).alias("d"), spans(p).alias("x"))))
 
 
 def _root(tree: Column) -> Column:

@@ -44,3 +44,22 @@ def test_likeness_falls_with_the_edit(spark):
     d = spark.createDataFrame([(2, text), (1, " ".join(f"other{i} was there." for i in range(400)))], "doc_id long, text string")
     r = {x.doc_id: x for x in fp.edits(d).collect()}
     assert 0.4 < r[2].near_edited < 0.6 and r[2].near_next < 0.05
+
+
+def test_texts_that_differ_in_blank_lines_or_indents_have_unequal_roots(spark):
+    texts = ["", "\n", "\n\n", "\n\n\n", "a", "a\n", "a\n\n", "\n\na", "\n \na", "a\n\nb", "a\n\n\nb", "a\n\n\n\nb", "a\n \nb", "a\n\r\nb", "a\nb", "ab", "def f():\n\n x", "def f():\n\nx", "def f():\n\n\tx", "a\n\nb\n\nc", "a\n\nb\nc", "a\n\n\u2003b", "\n" * 50_000, "x\n\n" * 50_000]
+    d = fp.fingerprint(spark.createDataFrame(list(enumerate(texts)), "i int, text string"))
+    d = d.withColumn("root", F.substring_index("fingerprint", "/", 1)).cache()
+    assert len({r.root for r in d.collect()}) == len(texts) == len({r.fingerprint for r in d.collect()})
+    small = d.filter("i < 22").select("i", "fingerprint")
+    pairs = small.selectExpr("i a", "fingerprint fa").join(small.selectExpr("i b", "fingerprint fb"), F.col("a") < F.col("b"))
+    assert pairs.filter(F.size(fp.differing("fa", "fb")) == 0).count() == 0
+
+
+def test_tree_holds_the_whole_text_in_order(spark):
+    text = "\n\n one.\n\n\n  two!\r\n\r\n\tthree\n"
+    root = spark.createDataFrame([(text,)], "text string").select(fp._root(fp._tree(F.col("text")))).first()[0]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    sections = ["\n\n one.\n\n\n  ", "two!\r\n\r\n\t", "three\n"]
+    assert "".join(sections) == text
+    assert root == sha("".join(sha("".join(sha(p) for p in s.split("\n"))) for s in sections))
