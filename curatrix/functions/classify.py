@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from . import text as X
 
@@ -12,6 +17,7 @@ EMPTY_POOLS = ("empty_clear", "empty_boundary", "chrome_empty", "special_empty")
 SHORT_REAL = 80
 REASON_BASE = {"real": 1.00, "multi_frag": 0.90, "semantic_group": 0.70, "repeat_risk": 0.60, "long_block": 0.50}
 OCCUPANCY = (0.25, 0.70)
+GRAM, GRAM_KINDS, GRAM_TIMES = 24, 3, 3
 REPEATED = r"(?s)(.{8,80}?)\1{4,}"
 
 
@@ -86,6 +92,23 @@ def repeat_risk_light(target: Column) -> Column:
     return F.contains(md, F.lit("♫")) | (F.size(lines) != F.size(F.array_distinct(lines))) | (F.regexp_count(md, F.lit(r"\|")) >= 6)
 
 
+def has_repeated_gram(text: str) -> bool:
+    """Does a gram of GRAM characters with GRAM_KINDS different ones besides space and tab come GRAM_TIMES times? The last window is left out, as in the reference."""
+    n = Counter(text[i : i + GRAM] for i in range(len(text) - GRAM))
+    return any(k >= GRAM_TIMES and len({*g} - {" ", "\t"}) >= GRAM_KINDS for g, k in n.items())
+
+
+@pandas_udf(T.BooleanType())
+def _repeated_gram(text: pd.Series) -> pd.Series:
+    return pd.Series([x is not None and has_repeated_gram(x) for x in text], dtype=bool)
+
+
+def repeat_risk(target: Column) -> Column:
+    """Repeated lines, notes, many bars, or a passage repeated within lines, of the whole text."""
+    light = F.coalesce(repeat_risk_light(target), F.lit(False))
+    return light | _repeated_gram(F.when(~light, X.strip(target)))
+
+
 def reason(pool: Column, target: Column, n_fragments: Column, n_boxes: Column, risk: Column, long_from: Column) -> Column:
     """Why a sample is a candidate, or null."""
     n = F.length(X.strip(F.coalesce(target, F.lit(""))))

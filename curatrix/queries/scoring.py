@@ -200,9 +200,12 @@ SELECT sample_id, reason, CAST(floor(round((CASE reason WHEN 'real' THEN 1.0::DO
 
 @query(REASONS)
 def candidate_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    """Why a sample is a candidate, and how hard it is; the long ones from the 80th percentile of English lengths on."""
+    """Why a sample is a candidate, and how hard it is; the long ones from the 80th percentile of English lengths on.
+
+    The SQL has the light form of repeat risk only, so it says less where a passage is repeated within lines.
+    """
     d = samples(spark, sf)
     pool = F.element_at(F.create_map(*[F.lit(x) for x in ("en", "core_inner", "fr", "multi_frag", "de", "real_labeled", "es", "semantic_group")]), F.col("pool_id"))
     p80 = ranking.nearest_rank(t(spark, sf, "documents").filter("lang = 'en'"), "n_chars", {"p80": 0.8}).first().p80  # one number, a plan parameter
-    d = d.withColumn("reason", C.reason(pool, F.col("target"), F.lit(1), F.lit(0), C.repeat_risk_light(F.col("target")), F.lit(p80)))
+    d = d.withColumn("reason", C.reason(pool, F.col("target"), F.lit(1), F.lit(0), C.repeat_risk(F.when(pool == "core_inner", F.col("target"))), F.lit(p80)))
     return d.select("sample_id", "reason", C.hard_score(F.col("reason"), F.col("target"), F.lit(1), F.col("chrome"), F.lit(1)).alias("score")).select("sample_id", "reason", F.floor(F.col("score") * 1000 + 1e-6).alias("score_milli"))
