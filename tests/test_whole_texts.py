@@ -1,13 +1,18 @@
 """Operators of whole texts against brute force."""
 
+import hashlib
 import os
+import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from curatrix.functions import classify as C
-from curatrix.queries import QUERIES
+from curatrix.functions import text as X
+from curatrix.queries import ORACLE, QUERIES
+from curatrix.queries.base import turns
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +44,92 @@ def test_candidate_reasons_see_passages_repeated_within_lines(spark):
     en = {r.i: repeats(r.text) for r in rows if r.lang == "en" and (r.text or "").strip()}
     got = {r.sample_id: r.reason for r in QUERIES["candidate_reasons"](spark, SF).collect()}
     assert any(en.values()) and {i: got[i] == "repeat_risk" for i in en} == en
+
+
+#: Queries over conversations.
+TURN_QUERIES = "edit_similarity chrf_arrow chrf_grams eval_overall eval_by_bucket eval_grouping_sets reward_one_tag reward_two_tags group_stats group_verdicts signal_gate two_tag_report xml_parse strip_leak output_categories pair_clean pair_length_bucket".split()
+WORDS = "été à Größe niño señal Привет мир как дела 你好 世界 это тест 😀 naïve ÉCOLE ОЧЕНЬ plain words".split()
+
+
+def write_turns(spark, folder, words):
+    rng = random.Random(8)
+    rows = [(c, k, ("user", "assistant")[k % 2], rng.choice(" \n").join(rng.choice(words) for _ in range(rng.randint(1, 90)))) for c in range(40) for k in range(6)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    return {f"{c}-{k}": x for c, k, _, x in rows}
+
+
+@pytest.fixture(scope="module")
+def unicode_turns(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("unicode"))
+    return folder, write_turns(spark, folder, WORDS)
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def similarity(a, b):
+    a, b = (" ".join(x.lower().split()) for x in (a, b))
+    return 1.0 - levenshtein(a, b) / max(len(a), len(b)) if a and b else float(a == b)
+
+
+def test_turns_are_whole(spark, unicode_turns):
+    folder, texts = unicode_turns
+    assert {r.sample_id: r.target for r in turns(spark, folder).collect()} == texts
+
+
+def test_similarity_leaks_and_tags_of_whole_texts(spark, unicode_turns):
+    folder, texts = unicode_turns
+    raw = {r.sample_id: r for r in turns(spark, folder).collect()}
+    clean = {k: r.prediction_raw.split("<|im_end|>")[0].strip() for k, r in raw.items()}
+    got = {r.sample_id: r.similarity for r in QUERIES["edit_similarity"](spark, folder).collect()}
+    assert got == {k: pytest.approx(similarity(clean[k], texts[k]), abs=1e-8) for k in texts}
+    got = {r.sample_id: (r.leak, r.cleaned) for r in QUERIES["strip_leak"](spark, folder).collect()}
+    assert got == {k: ("<|im_end|>" in r.prediction_raw, hashlib.md5(clean[k].encode()).hexdigest()) for k, r in raw.items()}
+    inner = lambda tag, x: (re.search(f"(?s)<{tag}>(.*?)</{tag}>", x) or [None, ""])[1].strip()
+    got = {r.sample_id: (r.n_source, r.n_translation) for r in QUERIES["xml_parse"](spark, folder).collect()}
+    assert got == {k: (len(inner("source", x)), len(inner("translation", x))) for k, x in clean.items()}
+    want = {k: pytest.approx(X.chrf_of(inner("translation", x), texts[k]), abs=1e-5) for k, x in clean.items()}
+    for name in ("chrf_arrow", "chrf_grams"):
+        assert {r.sample_id: r.score for r in QUERIES[name](spark, folder).collect()} == want
+    positive = [k for k, r in raw.items() if not r.is_negative]
+    r = QUERIES["eval_overall"](spark, folder).first()
+    assert r.n_pos == len(positive) and r.mean_edit_similarity == pytest.approx(sum(similarity(clean[k], texts[k]) for k in positive) / len(positive))
+    assert r.block_hit_rate == pytest.approx(sum(similarity(clean[k], texts[k]) >= 0.85 for k in positive) / len(positive))
+
+
+def test_reward_and_lengths_of_whole_texts(spark, unicode_turns):
+    folder, texts = unicode_turns
+    raw = {r.sample_id: r for r in turns(spark, folder).collect()}
+    got = {r.conv_id: r.edit for r in QUERIES["reward_one_tag"](spark, folder).collect()}
+    want = Counter()
+    for k, r in raw.items():
+        want[r.conv_id] += similarity(r.prediction_raw.split("<|im_end|>")[0].strip(), texts[f"{r.conv_id}-0"])
+    assert got == {k: pytest.approx(v, abs=1e-5) for k, v in want.items()}
+    assert sum(r["n"] for r in QUERIES["output_categories"](spark, folder).collect()) == len(texts)
+
+
+@pytest.fixture(scope="module")
+def ascii_turns(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("ascii"))
+    write_turns(spark, folder, "some plain words of ASCII text, with marks; # and | bars <b> {x}".split())
+    return folder
+
+
+@pytest.mark.parametrize("name", TURN_QUERIES)
+def test_ascii_turns_against_sql(spark, ascii_turns, name):
+    con = pytest.importorskip("duckdb").connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{ascii_turns}/conversations.parquet/*.parquet'")
+    d = QUERIES[name](spark, ascii_turns)
+    found = con.execute(ORACLE[name])
+    at = [[c[0] for c in found.description].index(c) for c in d.columns]
+    key = lambda r: [(x is None, str(type(x)), x if x is not None else 0) for x in r]
+    got, want = sorted(map(tuple, d.collect()), key=key), sorted((tuple(r[i] for i in at) for r in found.fetchall()), key=key)
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert all(x == (pytest.approx(y, rel=1e-9, abs=1e-9) if isinstance(x, float) and y is not None else y) for x, y in zip(a, b, strict=True)), (a, b)
