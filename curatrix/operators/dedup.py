@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from ..functions import text as X
 
@@ -38,3 +43,20 @@ def hamming_pairs(df: DataFrame, key: str, bits: str, most: int, width: int = 64
 def sign_bits(vector: Column, width: int = 64) -> Column:
     """A long with bit i set where the vector's element i is positive."""
     return F.aggregate(F.sequence(F.lit(0), F.lit(width - 1)), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.when(F.get(vector, i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
+
+
+def text_hash(text: str) -> int | None:
+    """A 64-bit SimHash of the text's words, as a signed long; None without words."""
+    import numpy as np
+
+    words = (text or "").lower().split()
+    if not words:
+        return None
+    one = {w: hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in set(words)}
+    bits = np.unpackbits(np.frombuffer(b"".join(one[w] for w in words), np.uint8).reshape(-1, 8), axis=1)
+    return int.from_bytes(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(words)).tobytes(), "big", signed=True)
+
+
+@pandas_udf(T.LongType())
+def text_bits(text: pd.Series) -> pd.Series:
+    return pd.Series([text_hash(x) for x in text], dtype="Int64")

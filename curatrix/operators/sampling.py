@@ -5,6 +5,7 @@ A rank below a literal or joined quota lets Spark keep only the first rows of ea
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,10 @@ from .quota import as_table, largest_remainder
 from .ranking import hash_rank
 
 
+# Fixed values of candidate_pool: page caps, the share of one template, near hashes, and the overflow of a reason.
+PAGE_CAPS, TEMPLATE_SHARE, NEAR_BITS, OVERFLOW = (2, 8), 0.35, 4, 1.25
+
+
 def top_by(df: DataFrame, bucket: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*bucket).orderBy(*order))).filter(F.col("__rn") <= n).drop("__rn")
 
@@ -112,3 +117,104 @@ def capped_greedy(df: DataFrame, bucket: str, order: list[tuple[str, bool]], n:
         return pdf.iloc[sorted(taken)].drop(columns="__p")
 
     return few.groupBy(bucket).applyInPandas(pick, schema)
+
+
+def _blocks(bits: int) -> list[tuple[int, int]]:
+    """NEAR_BITS + 1 blocks of 64 bits; two hashes within NEAR_BITS share one."""
+    edges = [round(i * 64 / (NEAR_BITS + 1)) for i in range(NEAR_BITS + 2)]
+    return [(lo, (bits >> lo) & ((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)]
+
+
+def candidate_pool(df: DataFrame, target: int, mix: dict[str, float], seed: int, key: str, reason: str, score: str, page: str, template: str, tertile: str, bits: str, depth: int = 64) -> DataFrame:
+    """Up to target rows: key, reason and place (from 1, in order of acceptance). Keys must be unique; rows without a reason are no candidates.
+
+    Rows are tried by descending score (ties by hash), under caps of their reason by page, template and tertile; one whose
+    hash (a long, null if it has none) is within NEAR_BITS of an accepted one of its reason is rejected. A rejected row uses
+    up no cap. Pass 1: each reason's quota, from its shortlist of three times as many. Pass 2, if rows are missing: each
+    reason up to its quota times OVERFLOW and 2. Pass 3: what is left of any reason, without tertiles. An empty page has no cap.
+
+    Caps and choices depend on each other over all reasons, so one task runs the loop, on narrow rows. Of rows that share
+    reason, page, template, tertile and hash only the first comes there: a later one is near it or meets the same caps.
+    Of those that share all but the hash the first `depth` come; where the loop could have taken one after them, it is run
+    anew with a greater depth, so the result is that of all rows. The pool, target rows at most, passes the driver.
+    """
+    import pandas as pd
+
+    want = {r: round(f * target) for r, f in mix.items()}
+    template_cap = max(4, int(TEMPLATE_SHARE * target))
+    d = df.filter(F.col(reason).isNotNull()).select(
+        F.col(key).alias("k"), F.col(reason).alias("r"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("s"), F.coalesce(page, F.lit("")).alias("p"), F.coalesce(template, F.lit("unknown")).alias("t"), F.col(tertile).alias("c"), F.col(bits).alias("b"), hkey(seed, key).alias("h")
+    )
+    d = d.withColumn("h", F.concat_ws("|", "h", F.col("k").cast("string"))).persist(StorageLevel.DISK_ONLY)  # read three times
+    order = [F.desc("s"), F.col("h")]
+    # A row for each reason of the mix: its pages, and the last row of its shortlist.
+    pages = {x.r: x.n for x in d.filter(F.col("r").isin(list(mix))).groupBy("r").agg(F.count_distinct("p").alias("n")).collect()}
+    short = {r: max(3 * n, 20) for r, n in want.items()}
+    top = d.filter(F.col("r").isin(list(mix))).select("r", "s", "h").withColumn("i", F.row_number().over(Window.partitionBy("r").orderBy(*order))).filter(F.col("i") <= max(short.values(), default=0))
+    in_short = F.col("i") <= F.create_map(*[F.lit(v) for kv in short.items() for v in kv])[F.col("r")]
+    last = {x.r: (-x.e.s, x.e.h) for x in top.filter(in_short).groupBy("r").agg(F.max_by(F.struct("s", "h"), "i").alias("e")).collect()} if mix else {}
+    kept, d = d, d.withColumn("b", F.col("b").cast("string"))
+    first = top_by(d.withColumn("__b", F.coalesce("b", F.concat(F.lit("k"), "h"))), ["r", "p", "t", "c", "__b"], order, 1).drop("__b")
+    ranked = first.withColumn("i", F.row_number().over(Window.partitionBy("r", "p", "t", "c").orderBy(*order)))
+    lo, hi = PAGE_CAPS
+    kind = df.schema[key].dataType.simpleString()
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["s", "h"], ascending=[False, True], kind="stable")
+        hashes = [None if pd.isna(b) else int(b) & (2**64 - 1) for b in pdf["b"]]  # strings, so that longs with nulls stay exact
+        beyond = list(pdf["i"] > depth)
+        cands = list(zip(pdf["k"], pdf["r"], pdf["s"], pdf["h"], pdf["p"], pdf["t"], pdf["c"], hashes, strict=True))
+        by: dict = {}
+        for i, x in enumerate(cands):
+            by.setdefault(x[1], []).append(i)
+        used: dict = {}
+        near: dict = {}
+        taken: dict[int, int] = {}
+        short_of = False
+
+        def accept(i: int, per_tertile: int | None, page_cap: int) -> bool:
+            nonlocal short_of
+            _, r, _, _, p, t, c, b = cands[i]
+            at = [("c", r, c), ("p", r, p), ("t", r, t)]
+            if i in taken or (per_tertile is not None and used.get(at[0], 0) >= per_tertile) or (p and used.get(at[1], 0) >= page_cap) or used.get(at[2], 0) >= template_cap:
+                return False
+            if beyond[i]:
+                short_of = True
+                return False
+            if b is not None:
+                blocks = [(r, *x) for x in _blocks(b)]
+                if any((b ^ o).bit_count() <= NEAR_BITS for x in blocks for o in near.get(x, ())):
+                    return False
+                for x in blocks:
+                    near.setdefault(x, []).append(b)
+            for x in at:
+                used[x] = used.get(x, 0) + 1
+            taken[i] = len(taken) + 1
+            return True
+
+        got = dict.fromkeys(want, 0)
+        for r, n in want.items():
+            cap = max(lo, min(hi, -(-n // max(pages.get(r, 1), 1))))
+            for i in by.get(r, []):
+                if got[r] >= n or (-cands[i][2], cands[i][3]) > last[r]:
+                    break
+                got[r] += accept(i, max(1, n // 3), cap)
+        for r, n in want.items():
+            for i in by.get(r, []):
+                if got[r] >= int(n * OVERFLOW) + 2 or len(taken) >= target:
+                    break
+                got[r] += accept(i, max(1, n // 2), hi)
+        for i in range(len(cands)):
+            if len(taken) >= target:
+                break
+            accept(i, None, 2 * hi)
+        rows = [(cands[i][0], cands[i][1], n) for i, n in taken.items()]
+        return pd.DataFrame([(None, None, 0)] if short_of else rows, columns=[key, reason, "place"])
+
+    schema = f"`{key}` {kind}, `{reason}` string, place int"
+    while True:
+        pool = ranked.filter(F.col("i") <= depth + 1).groupBy(F.lit(0).alias("__all")).applyInPandas(choose, schema).collect()
+        if not any(x.place == 0 for x in pool):
+            kept.unpersist()
+            return df.sparkSession.createDataFrame(pool, schema)
+        depth *= 4

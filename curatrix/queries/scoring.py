@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import rewards as R
 from ..functions import text as X
-from ..operators import metrics, probe, ranking
+from ..operators import dedup, metrics, probe, ranking, sampling
 from .base import SAMPLES, TURNS, cleaned_sql, norm_sql, query, samples, similarity_sql, strip_sql, t, turns
 
 NEG = f"(is_negative OR {norm_sql('target')} = '')"
@@ -198,14 +198,31 @@ r AS (SELECT sample_id, chrome, m, CASE WHEN length(m) = 0 THEN NULL WHEN pool_i
 SELECT sample_id, reason, CAST(floor(round((CASE reason WHEN 'real' THEN 1.0::DOUBLE WHEN 'multi_frag' THEN 0.9::DOUBLE WHEN 'semantic_group' THEN 0.7::DOUBLE WHEN 'repeat_risk' THEN 0.6::DOUBLE WHEN 'long_block' THEN 0.5::DOUBLE ELSE 0.4::DOUBLE END + 0.15 * least(1.0, length(m) / 800.0::DOUBLE) + CASE WHEN chrome = 'chrome' THEN 0.15::DOUBLE ELSE 0 END), 4) * 1000 + 1e-6) AS BIGINT) AS score_milli FROM r"""
 
 
+def _reasoned(spark: SparkSession, sf: str) -> DataFrame:
+    d = samples(spark, sf)
+    pool = F.element_at(F.create_map(*[F.lit(x) for x in ("en", "core_inner", "fr", "multi_frag", "de", "real_labeled", "es", "semantic_group")]), F.col("pool_id"))
+    p80 = ranking.nearest_rank(t(spark, sf, "documents").filter("lang = 'en'"), "n_chars", {"p80": 0.8}).first().p80  # one number, a plan parameter
+    return d.withColumn("reason", C.reason(pool, F.col("target"), F.lit(1), F.lit(0), C.repeat_risk(F.when(pool == "core_inner", F.col("target"))), F.lit(p80)))
+
+
 @query(REASONS)
 def candidate_reasons(spark: SparkSession, sf: str) -> DataFrame:
     """Why a sample is a candidate, and how hard it is; the long ones from the 80th percentile of English lengths on.
 
     The SQL has the light form of repeat risk only, so it says less where a passage is repeated within lines.
     """
-    d = samples(spark, sf)
-    pool = F.element_at(F.create_map(*[F.lit(x) for x in ("en", "core_inner", "fr", "multi_frag", "de", "real_labeled", "es", "semantic_group")]), F.col("pool_id"))
-    p80 = ranking.nearest_rank(t(spark, sf, "documents").filter("lang = 'en'"), "n_chars", {"p80": 0.8}).first().p80  # one number, a plan parameter
-    d = d.withColumn("reason", C.reason(pool, F.col("target"), F.lit(1), F.lit(0), C.repeat_risk(F.when(pool == "core_inner", F.col("target"))), F.lit(p80)))
+    d = _reasoned(spark, sf)
     return d.select("sample_id", "reason", C.hard_score(F.col("reason"), F.col("target"), F.lit(1), F.col("chrome"), F.lit(1)).alias("score")).select("sample_id", "reason", F.floor(F.col("score") * 1000 + 1e-6).alias("score_milli"))
+
+
+#: Shares of reasons in the pool.
+POOL_MIX = {"multi_frag": 0.30, "real": 0.26, "semantic_group": 0.16, "long_block": 0.16, "repeat_risk": 0.12}
+
+
+@query()
+def candidate_pool(spark: SparkSession, sf: str) -> DataFrame:
+    """A pool of 400 candidates by reason, under caps and without near copies of texts."""
+    cuts = ranking.nearest_rank(t(spark, sf, "documents"), "n_chars", {"low": 1 / 3, "high": 2 / 3}).first()  # plan parameters
+    d = _reasoned(spark, sf).withColumn("tertile", C.tertile(F.col("n_chars"), F.lit(cuts.low), F.lit(cuts.high)))
+    d = d.withColumn("score", C.hard_score(F.col("reason"), F.col("target"), F.lit(1), F.col("chrome"), F.col("tertile"))).withColumn("bits", dedup.text_bits(F.col("target")))
+    return sampling.candidate_pool(d, 400, POOL_MIX, 7, "sample_id", "reason", "score", "page_id", "template_stem", "tertile", "bits")
