@@ -5,21 +5,40 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from pyarrow.fs import FileSystem
+
+#: A key of over 1 / HOT of all rows is joined by broadcast: there are fewer than HOT of them.
+HOT = 2_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that driver and executors share, from spark.checkpoint.dir, with its scheme. Where that is unset: a temporary one, if all runs in this process, as in tests; else an error, as executors could not read what others write."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="curatrix-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    fs, at = _fs(spark, found)
+    return fs.makeQualified(at).toString().rstrip("/")
+
+
+def filesystem(uri: str) -> tuple[FileSystem, str]:
+    """Arrow's file system and path for a folder as Hadoop names it (with its scheme; see shared_dir)."""
+    from pyarrow.fs import FileSystem
+
+    scheme, colon, rest = uri.partition(":")
+    return FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + ("//" + rest if scheme == "file" and not rest.startswith("//") else rest))
 
 
 def _fs(spark: SparkSession, path: str):
@@ -72,3 +91,12 @@ def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
 
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hot_join(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows to `of`: one row a key, with n, how many rows have it. Rows of hot keys don't move; the others are shuffled."""
+    total = of.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT > total
+    few, rest = of.filter(hot).drop("n"), of.filter(~hot).drop("n")  # fewer than HOT rows; no key of the rest can fill a task
+    cold = rows.join(F.broadcast(few.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(few), key).unionByName(cold.join(rest, key))

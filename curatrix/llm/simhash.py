@@ -8,8 +8,9 @@ forest only, so output is linear in its size. Groups of over MOST classes are de
 so no task gets one whole; no pair within D bits is lost, nothing is capped or sampled. Components come from repeated
 large-star and small-star steps on the links, in tables in the shared folder.
 
-Nulls: a null text has no words: fingerprint zero, linked like any other. Repeated rows stay; a null doc_id takes part,
-and its component is the smallest non-null id of it. An empty table gives an empty result.
+Nulls: a null text has no words, like an empty one: fingerprint zero, linked like any other. Repeated rows stay; a null
+doc_id takes part, and its component is the smallest non-null id of it, null if there is none. Very long texts are summed
+in parts. An empty table gives an empty result. Only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -190,19 +191,19 @@ def components(edges: DataFrame) -> DataFrame:
     return now
 
 
-#: Classes without any doc_id get ids from here on; real ones are below.
-NAMELESS = 1 << 62
-
-
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     """doc_id, fp, component_id for each row of docs."""
-    fps = common.written(fingerprints(docs, words), "simhash-fp")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    classes = common.written(classes.select("fp", F.coalesce("id", F.lit(NAMELESS) + F.pmod(F.xxhash64("fp"), F.lit(NAMELESS))).alias("id")), "simhash-class")
-    stars = components(links(classes, bits)).select(F.col("a").alias("id"), F.col("b").alias("root"))
-    of = classes.join(stars, "id", "left").select("fp", F.coalesce("root", "id").alias("c"))
-    of = common.written(of.select("fp", F.when(F.col("c") < NAMELESS, F.col("c")).alias("component_id")), "simhash-of")
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    return labelled(common.written(fingerprints(docs, words), "simhash-fp"), bits)
+
+
+def labelled(fps: DataFrame, bits: int) -> DataFrame:
+    """fps (doc_id and fp, a written table) with component_id. Any long may be a doc_id: classes are named by fingerprint."""
+    classes = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-class")
+    stars = components(links(classes.select("fp", F.col("fp").alias("id")), bits)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    rooted = common.written(classes.join(stars, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "simhash-root")
+    least = common.written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash-least")
+    of = common.written(common.hot_join(rooted.withColumnRenamed("n", "copies"), least, "root").select("fp", "component_id", F.col("copies").alias("n")), "simhash-of")
+    return common.hot_join(fps, of, "fp").select(*fps.columns, "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
