@@ -3,12 +3,14 @@
 Pieces go one by one, long ones first, into the open sequence (or a new one) that makes the sum over gaps g of the squared
 number of open sequences with gap g least; ties go to the smaller gap. Only documents of over LENGTH tokens are cut.
 
-The job is dealt: documents go by hash to groups of about GROUP, each packed by a task of its own from lengths alone.
-What groups leave in sequences that are less than FULL full is packed again, in groups of about GROUP pieces, so the
-loss is a few sequences a group of the second round rather than of each first one.
+The job is dealt: each piece has a number of its own, and goes by its hash to one of the groups of about GROUP, each
+packed by a task of its own from lengths alone; repeated rows, too, spread evenly. What groups leave in sequences that
+are less than FULL full is packed again, in groups of about GROUP pieces, so the loss is a few sequences a group of the
+second round rather than of each first one.
 
 Nulls: a null text is empty, one separator long; a null doc_id is packed like any other. Repeated rows are documents of
-their own. An empty table gives an empty result.
+their own. Very long texts are cut, ties of length go by crc32, doc_id, piece and number. An empty table gives an empty
+result. Only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ LENGTH = 4096
 SEPARATOR = 1
 GROUP = 40_000
 FULL = 0.98
+OUT = ("doc_id", "piece", "start", "length", "ids_crc32")
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
@@ -75,31 +78,30 @@ def sum_of_squares(lengths: np.ndarray, size: int = LENGTH) -> tuple[np.ndarray,
     return to, at, np.array(held, np.int64)
 
 
-def _packed(df: DataFrame, size: int) -> DataFrame:
-    """Adds bin, offset and held to each row, group by group."""
+def _packed(df: DataFrame, groups: int, size: int) -> DataFrame:
+    """Adds g, bin, offset and held to each row, group by group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "ids_crc32", "doc_id", "piece"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["length", "ids_crc32", "doc_id", "piece", "number"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
         to, at, held = sum_of_squares(pdf["length"].to_numpy(), size)
         return pdf.assign(bin=to, offset=at, held=held[to] if len(held) else to)
 
-    schema = ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", bin long, offset long, held long"
-    return df.groupBy("g").applyInPandas(run, schema)
+    d = df.withColumn("g", F.pmod(F.xxhash64("number"), F.lit(groups)))
+    schema = ", ".join(f"{c} {t}" for c, t in d.dtypes) + ", bin long, offset long, held long"
+    return d.groupBy("g").applyInPandas(run, schema)
 
 
 def pack(found: DataFrame, size: int = LENGTH, group: int = GROUP) -> DataFrame:
     """pieces() with sequence_id and offset."""
-    rows = common.written(found, "pack-pieces")
-    whole = rows.filter(F.col("length") >= size)
-    n = rows.count()
-    by = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(1, -(-n // group))))
-    first = common.written(_packed(rows.filter(F.col("length") < size).withColumn("g", by), size), "pack-first")
-    loose = first.filter(F.col("held") < FULL * size).drop("bin", "offset", "held")
-    n_loose = loose.count()
-    second = _packed(loose.withColumn("g", F.pmod(F.xxhash64("ids_crc32", "doc_id", "piece"), F.lit(max(1, -(-n_loose // group))))), size)
-    # A round, a group and a bin make a number; whole pieces are numbered apart.
-    of = lambda d, k: d.select("doc_id", "piece", "start", "length", "ids_crc32", (((F.col("g") * 2 + k) * (1 << 20)) + F.col("bin")).alias("sequence_id"), "offset")
-    alone = whole.select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rows = common.written(found.withColumn("number", F.monotonically_increasing_id()), "pack-pieces")  # numbers are fixed once written
+    short = rows.filter(F.col("length") < size)
+    groups = max(1, -(-short.count() // group))
+    first = common.written(_packed(short, groups, size), "pack-first")
+    loose = first.filter(F.col("held") < FULL * size).drop("g", "bin", "offset", "held")
+    second = _packed(loose, max(1, -(-loose.count() // group)), size)
+    # A bin, a group and a round, whose numbers are below `groups` and 2, make a number; whole pieces have negative ones.
+    of = lambda d, k: d.select(*OUT, ((F.col("bin") * groups + F.col("g")) * 2 + k).alias("sequence_id"), "offset")
+    alone = rows.filter(F.col("length") >= size).select(*OUT, (-1 - F.col("number")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return of(first.filter(F.col("held") >= FULL * size), 0).unionByName(of(second, 1)).unionByName(alone)
 
 
