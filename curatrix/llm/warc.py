@@ -6,13 +6,16 @@ format of Zstandard. The index maps a record's identifier to archive, frame, and
 plain frame, so one record costs a read of the table and one of a frame.
 
 Of equal payloads of at least `least` bytes that of the smallest page_id is a response; the others are revisits, which
-keep the HTTP head (with the length) and the payload's digest but not the payload.
+keep the HTTP head (with the length) and the payload's digest but not the payload. Only digests are shuffled to find
+them; a writing task looks its rows up, by file and row number, in a list of revisits in the shared folder. Tables that
+are no Parquet files are written as such first.
 
 Files get names of their own for each attempt of a task, and only the index, which is written as a table, names those
 that count: a lost executor's files are never read. They lie in the shared folder and go when the application ends.
 
 Nulls: a null html is empty, a null url is left out, a null page_id is written as "null" and is larger than others.
-Repeated rows with the smallest page_id are all responses. An empty table gives no archive and an empty result.
+Repeated rows with the smallest page_id are all responses. Very long payloads have a frame of their own. An empty table
+gives no archive and an empty result. Only page_id, url and html are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ import struct
 import uuid
 from base64 import b32encode
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import sha1
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +37,8 @@ from . import common
 FRAME = 1 << 20
 BUNDLE = 256 << 20
 LEVEL = 6
+#: Revisits in a bucket of the list of roles, about.
+BUCKET = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 #: The seekable format's skippable frame, and the end of its table.
 SKIPPABLE, TABLE_END = 0x184D2A5E, 0x8F92EAB1
@@ -136,31 +143,81 @@ class Reader:
         return self.expand(self.file.read(packed), max_output_size=plain)
 
 
-def planned(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, payload, refers_to (null for responses). Rows move once, by digest; the hot ones can be split, as the other side has a row a digest."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    p = p.withColumn("sha", F.sha1("payload"))
-    firsts = p.filter(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    firsts = common.written(firsts.select("sha", "first"), "warc-firsts")
-    j = p.join(firsts, "sha", "left")
-    return j.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
-
-
-def write(plan: DataFrame, folder: str) -> DataFrame:
+@dataclass(frozen=True)
+class Plan:
+    """rows: page_id, url, payload, and where each row stands: file, row in it, bucket of the file. roles: the folder that lists the revisits by bucket, "" if there is none."""
+
+    rows: DataFrame
+    roles: str
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is rows of files, each at most once, so that file and row number name it whenever it is read."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and "Parquet" in plan.relation().fileFormat().getClass().getSimpleName()
+
+
+def planned(pages: DataFrame, least: int = 0) -> Plan:
+    """Which rows are revisits, and of which page. Only digests and places of rows move; payloads stay where they are read."""
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    p = p if _is_scan(p) else common.written(p, "warc-pages")
+    p = p.withColumn("file", F.col("_metadata.file_path")).withColumn("row", F.col("_metadata.row_index")).withColumn("payload", F.coalesce(F.col("html"), F.lit("")).cast("binary"))
+    narrow = common.written(p.filter(F.octet_length("payload") >= least).select("file", "row", "page_id", F.unhex(F.sha1("payload")).alias("sha")), "warc-digests")
+    firsts = common.written(narrow.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL"), "warc-firsts")
+    again = common.written(common.hot_join(narrow, firsts, "sha").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select("file", "row", "first"), "warc-again")
+    n = -(-again.count() // BUCKET)
+    bucket = F.pmod(F.xxhash64("file"), F.lit(max(1, n))).alias("bucket")
+    roles = ""
+    if n:
+        roles = f"{common.new_folder(pages.sparkSession, 'warc-roles')}/t"
+        again.select(bucket, "file", "row", "first").repartition("bucket").sortWithinPartitions("bucket", "file", "row").write.partitionBy("bucket").parquet(roles)
+    return Plan(p.select("page_id", "url", "payload", "file", "row", bucket), roles)
+
+
+class Roles:
+    """Of rows of a file, which page each revisits. Holds the revisits of one file at a time."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder, self.file, self.rows, self.firsts = folder, None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def first(self, file: str, row: int, bucket: int) -> int | None:
+        if not self.folder:
+            return None
+        if file != self.file:
+            self._open(file, bucket)
+        at = int(np.searchsorted(self.rows, row))
+        return int(self.firsts[at]) if at < len(self.rows) and self.rows[at] == row else None
+
+    def _open(self, file: str, bucket: int) -> None:
+        from pyarrow import dataset
+        from pyarrow.fs import FileType
+
+        fs, base = common.filesystem(f"{self.folder}/bucket={bucket}")
+        if fs.get_file_info(base).type == FileType.NotFound:
+            found = np.zeros((2, 0), np.int64)
+        else:
+            t = dataset.dataset(base, filesystem=fs, format="parquet").to_table(["row", "first"], filter=dataset.field("file") == file)
+            found = np.stack([t["row"].to_numpy(), t["first"].to_numpy()])
+            found = found[:, np.argsort(found[0])]
+        self.file, self.rows, self.firsts = file, *found
+
+
+def write(plan: Plan, folder: str) -> DataFrame:
     """Writes archives to the folder (a URI that executors can write); returns their index."""
+    roles = plan.roles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow.fs import FileSystem
-
-        fs, base = FileSystem.from_uri(folder)
-        archive, name = None, ""
+        fs, base = common.filesystem(folder)
+        archive, name, of = None, "", Roles(roles)
         for b in batches:
             rows = []
-            for page_id, url, payload, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page_id, url, payload, file, at, bucket in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if archive is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
                     archive = Archive(fs.open_output_stream(f"{base}/{name}", compression=None))
-                raw = record(page_id, url, payload, first)
+                raw = record(page_id, url, payload, of.first(file, at, bucket))
                 frame, offset = archive.add(raw)
                 rows.append((page_id, name, frame, offset, len(raw)))
                 if archive.plain >= BUNDLE:
@@ -171,16 +228,14 @@ def write(plan: DataFrame, folder: str) -> DataFrame:
         if archive is not None:
             archive.close()
 
-    return common.written(plan.mapInArrow(run, INDEX), "warc-index")
+    return common.written(plan.rows.mapInArrow(run, INDEX), "warc-index")
 
 
 def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records that index rows name. Rows of a frame that follow each other cost one read of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow.fs import FileSystem
-
-        fs, base = FileSystem.from_uri(folder)
+        fs, base = common.filesystem(folder)
         opened, reader, shown, plain = None, None, None, b""
         for b in batches:
             out = []
