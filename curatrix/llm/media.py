@@ -89,9 +89,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         self.folder = folder
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        from pyarrow.fs import FileSystem
-
-        fs, base = FileSystem.from_uri(self.folder)
+        fs, base = common.filesystem(self.folder)
         done, pack, name, out, size, n = [], None, "", None, 0, 0
         for b in iterator:
             for key, media in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -114,9 +112,7 @@ class ArchiveWriter(DataSourceArrowWriter):
         return Written(done)
 
     def commit(self, messages: list) -> None:
-        from pyarrow.fs import FileSystem
-
-        fs, base = FileSystem.from_uri(self.folder)
+        fs, base = common.filesystem(self.folder)
         with fs.open_output_stream(f"{base}/manifest-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps([a for m in messages if m for a in m.archives]).encode())
 
@@ -136,9 +132,9 @@ class ArchiveReader(DataSourceReader):
         self.folder, self.size = folder, size
 
     def partitions(self) -> list[Range]:
-        from pyarrow.fs import FileSelector, FileSystem
+        from pyarrow.fs import FileSelector
 
-        fs, base = FileSystem.from_uri(self.folder)
+        fs, base = common.filesystem(self.folder)
         found = []
         for f in fs.get_file_info(FileSelector(base)):
             if f.base_name.startswith("manifest-"):
@@ -149,9 +145,7 @@ class ArchiveReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
             return
-        from pyarrow.fs import FileSystem
-
-        fs, base = FileSystem.from_uri(self.folder)
+        fs, base = common.filesystem(self.folder)
         path = f"{base}/{partition.archive}"
         with zipfile.ZipFile(fs.open_input_file(path)) as z:
             members = sorted((m.header_offset, m.compress_size, m.CRC, m.filename) for m in z.infolist() if partition.start <= m.header_offset < partition.end)
