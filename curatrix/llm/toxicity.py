@@ -1,12 +1,16 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are a text's words and the first PREFIX letters of longer words, hashed to SLOTS. The SELECT slots that part the
-labels best (chi-square over the training rows) feed a second-order factorization machine: besides a weight, each has a
-vector, and the product of two vectors weighs the pair, so that an insult next to the mention of a group counts for more
-than both apart. It is trained on labels of rows whose crc32(doc_id) mod 5 is not 0, at most TRAIN of them.
+Terms are a text's words and the first PREFIX letters of longer words, hashed to SLOTS. The machine is of second order:
+besides a weight, each term has a vector, and the product of two vectors weighs the pair, so that an insult next to the
+mention of a group counts for more than both apart. It has all terms that tell the labels, however many: those whose own
+chi-square over the training rows is at least TELLS, and, of the others, the members of pairs within WINDOW words whose
+chi-square is (such a term may be as common in clean texts as in toxic ones). Pairs are counted in PAIRS hashed places
+first, and exactly where a place tells. It is trained on labels of rows whose crc32(doc_id) mod 5 is not 0, at most TRAIN
+of them.
 
 Nulls: a null text counts as empty; rows without doc_id or label don't train; conflicting labels of one doc_id count as
-toxic. Without labels every score is 0. Whole texts are scored, repeated rows alike; an empty table gives an empty result.
+toxic, of several texts of one doc_id the first in order trains. Without labels every score is 0. Whole texts are scored,
+however long, repeated rows alike; an empty table gives an empty result. Terms of equal chi-square are in or out together.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +31,18 @@ from . import common
 FOLDS = 5
 PREFIX = 4
 SLOTS = 1 << 18
-SELECT = 512
+#: Chi-square of a term that tells: p is 1.2e-7, so that of SLOTS terms without meaning 0.03 are taken.
+TELLS = 28.0
+WINDOW, PAIRS = 8, 1 << 22
 #: The bound of the labelled rows that train.
 TRAIN = 20_000
-FACTORS = 8
+FACTORS, STEPS, BATCH, RATE, DECAY = 8, 500, 1024, 0.02, 1e-3
 MEMO = 500_000
 _WORD = re.compile(r"\w+")
 
 
 def slots_of(piece: str) -> tuple[int, ...]:
     """Hashed terms of a piece of text without white space."""
-    from zlib import crc32
-
     out = set()
     for w in _WORD.findall(piece.lower()):
         out.add(crc32(w.encode("utf-8", "surrogatepass")) % SLOTS)
@@ -67,62 +72,131 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(x: np.ndarray, y: np.ndarray, slots: np.ndarray, steps: int = 300, seed: int = 7) -> Machine:
-    """Adam on the logistic loss, classes weighed alike, with L2."""
-    rng = np.random.default_rng(seed)
-    p = [np.zeros(1), np.zeros(x.shape[1]), rng.normal(0, 0.02, (x.shape[1], FACTORS))]
+def train(sets: list[np.ndarray], y: np.ndarray, slots: np.ndarray, seed: int = 7) -> Machine:
+    """Of rows' places in slots: Adam on the logistic loss in batches, classes weighed alike, with L2 and a falling rate."""
+    rng, k = np.random.default_rng(seed), len(slots)
+    p = [np.zeros(1), np.zeros(k), rng.normal(0, 0.01, (k, FACTORS))]
     m, s = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     pos = max(y.mean(), 1e-9)
     weight = np.where(y > 0, 0.5 / pos, 0.5 / max(1 - pos, 1e-9))
-    for t in range(1, steps + 1):
-        i = rng.choice(len(y), min(len(y), 1024), replace=False)
-        xi = x[i].astype(np.float64)
-        xv = xi @ p[2]
-        z = p[0] + xi @ p[1] + (xv**2 - xi @ p[2] ** 2).sum(1) / 2
+    order, at = rng.permutation(len(y)), 0
+    for t in range(1, STEPS + 1):
+        if at + BATCH > len(y):
+            order, at = rng.permutation(len(y)), 0
+        i = order[at : at + BATCH]
+        at += BATCH
+        n = np.array([len(sets[r]) for r in i])
+        a, row = np.concatenate([sets[r] for r in i]), np.repeat(np.arange(len(i)), n)
+        v = p[2][a]
+        sums = np.stack([np.bincount(row, v[:, f], len(i)) for f in range(FACTORS)], 1)
+        z = p[0] + np.bincount(row, p[1][a] - (v**2).sum(1) / 2, len(i)) + (sums**2).sum(1) / 2
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]) * weight[i] / len(i)
-        grads = [np.array([g.sum()]), xi.T @ g + 1e-4 * p[1], xi.T @ (g[:, None] * xv) - p[2] * (xi.T @ g)[:, None] + 1e-4 * p[2]]
-        for k in range(3):
-            m[k] = 0.9 * m[k] + 0.1 * grads[k]
-            s[k] = 0.999 * s[k] + 0.001 * grads[k] ** 2
-            p[k] = p[k] - 0.05 * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
+        gw, gs = np.bincount(a, g[row], k), (g[:, None] * sums)[row]
+        gv = np.stack([np.bincount(a, gs[:, f], k) for f in range(FACTORS)], 1) - p[2] * gw[:, None]
+        grads = [np.array([g.sum()]), gw + DECAY * p[1], gv + DECAY * p[2]]
+        for j in range(3):
+            m[j] = 0.9 * m[j] + 0.1 * grads[j]
+            s[j] = 0.999 * s[j] + 0.001 * grads[j] ** 2
+            p[j] = p[j] - RATE * (1.02 - t / STEPS) * (m[j] / (1 - 0.9**t)) / (np.sqrt(s[j] / (1 - 0.999**t)) + 1e-8)
     return Machine(slots, float(p[0][0]), p[1], p[2])
 
 
 def _terms(docs: DataFrame) -> DataFrame:
-    """y, terms (distinct hashed slots) of docs(text, y)."""
+    """y, terms (distinct hashed slots), words (slots of the words in order) of docs(text, y)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = []
+            sets, words = [], []
             for t in b.column(0):
-                sets.append(sorted({s for p in set((t.as_py() or "").split()) for s in slots_of(p)}))
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sets, pa.list_(pa.int32()))], ["y", "terms"])
+                text = t.as_py() or ""
+                sets.append(sorted({s for p in {*text.split()} for s in slots_of(p)}))
+                words.append([crc32(w.encode("utf-8", "surrogatepass")) % SLOTS for w in _WORD.findall(text.lower())])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sets, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32()))], ["y", "terms", "words"])
+
+    return docs.select("text", "y").mapInArrow(run, "y int, terms array<int>, words array<int>")
+
+
+def _telling(by: DataFrame, n1: int, n0: int) -> DataFrame:
+    """Rows whose feature, in a toxic rows and b clean ones, tells."""
+    a, b = F.col("a").cast("double"), F.col("b").cast("double")
+    c, d = n1 - a, n0 - b
+    return by.filter((n1 + n0) * (a * d - b * c) ** 2 >= TELLS * F.greatest(F.lit(1e-9), (a + b) * (c + d) * (a + c) * (b + d)))
+
+
+def near_pairs(words: np.ndarray) -> np.ndarray:
+    """Distinct pairs (lesser * SLOTS + greater) of different slots within WINDOW words."""
+    w = words.astype(np.int64)
+    found = [np.minimum(x, y) * SLOTS + np.maximum(x, y) for k in range(1, WINDOW + 1) for x, y in [(w[:-k], w[k:])]]
+    found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return found[found // SLOTS != found % SLOTS]
+
+
+def place_of(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64) % PAIRS
+
 
-    return docs.select("text", "y").mapInArrow(run, "y int, terms array<int>")
+def _pair_slots(terms: DataFrame, known: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Members, not known, of pairs of such members that tell."""
+
+    def rest(words: pa.Scalar) -> np.ndarray:
+        w = np.asarray(words.values, np.int64)
+        return near_pairs(np.where(np.isin(w, known), -1 - np.arange(len(w)), w))  # a known word keeps its place but is in no pair
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, PAIRS), np.int32)
+        for b in batches:
+            for y, w in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                seen[y, np.unique(place_of(_real(rest(w))))] += 1
+        at = np.flatnonzero(seen.any(0))
+        for i in range(0, len(at), 1 << 16):
+            x = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(seen[1, x], pa.int64()), pa.array(seen[0, x], pa.int64())], ["place", "a", "b"])
+
+    told = terms.select("y", "words").mapInArrow(places, "place long, a long, b long").groupBy("place").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    hits = np.array(sorted(r.place for r in _telling(told, n1, n0).select("place").toLocalIterator()), np.int64)  # at most PAIRS numbers
+    if not len(hits):
+        return np.zeros(0, np.int64)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for y, w in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                p = _real(rest(w))
+                p = p[np.isin(place_of(p), hits)]
+                if len(p):
+                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(np.full(len(p), y), pa.int64())], ["pair", "y"])
+
+    by = terms.select("y", "words").mapInArrow(pairs, "pair long, y long").groupBy("pair").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    found = _telling(by, n1, n0).select(F.explode(F.array(F.floor(F.col("pair") / SLOTS), F.col("pair") % SLOTS)).alias("s")).distinct()
+    return np.array(sorted(r.s for r in found.toLocalIterator()), np.int64)  # at most SLOTS numbers
+
+
+def _real(pairs: np.ndarray) -> np.ndarray:
+    return pairs[pairs >= 0]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
     """From the labels of the training folds, at most about TRAIN rows."""
-    y = labels.filter(F.col("toxic").isNotNull() & (common.fold(F.col("doc_id"), FOLDS) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    y = labels.filter(F.col("toxic").isNotNull() & (common.fold(F.col("doc_id"), FOLDS) != 0)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     y = common.bounded_sample(y, "doc_id", TRAIN)
     known = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")  # at most TRAIN rows of two numbers
+    known = known.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
     terms = common.written(_terms(known), "toxic-terms")
     n = dict(terms.groupBy("y").count().collect())
     if not n:
         return None
     n1, n0 = n.get(1, 0), n.get(0, 0)
-    by = terms.select("y", F.explode("terms").alias("s")).groupBy("s").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("df"))
-    a, b = F.col("a"), F.col("df") - F.col("a")
-    c, d = n1 - a, n0 - b
-    chi = (n1 + n0) * (a * d - b * c) ** 2 / F.greatest(F.lit(1e-9), (a + b) * (c + d) * (a + c) * (b + d))
-    slots = np.array([r[0] for r in by.select("s", chi.cast("double").alias("chi")).orderBy(F.desc("chi"), "s").limit(SELECT).collect()], np.int64)
-    chosen = F.array(*[F.lit(int(s)) for s in slots]) if len(slots) else F.array().cast("array<int>")
-    rows = terms.select("y", F.array_intersect("terms", chosen).alias("t")).collect()  # at most TRAIN rows of SELECT numbers
-    at = {int(s): i for i, s in enumerate(slots)}
-    x = np.zeros((len(rows), len(slots)), np.int8)
-    for i, r in enumerate(rows):
-        x[i, [at[s] for s in r.t]] = 1
-    return train(x, np.array([r.y for r in rows], np.float64), slots)
+    by = terms.select("y", F.explode("terms").alias("s")).groupBy("s").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    slots = np.array(sorted(r.s for r in _telling(by, n1, n0).select("s").toLocalIterator()), np.int64)  # at most SLOTS numbers
+    slots = np.union1d(slots, _pair_slots(terms, slots, n1, n0)).astype(np.int64)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.flatnonzero(np.isin(slots, np.asarray(t.values, np.int64))).astype(np.int32) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32()))], ["y", "at"])
+
+    rows = [(r.y, tuple(r["at"])) for r in terms.select("y", "terms").mapInArrow(places, "y int, at array<int>").toLocalIterator()]  # at most TRAIN rows
+    rows.sort()
+    return train([np.array(a, np.int64) for _, a in rows], np.array([y for y, _ in rows], np.float64), slots)
 
 
 def annotated(docs: DataFrame, model: Machine | None) -> DataFrame:
