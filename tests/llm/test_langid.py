@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -34,6 +36,46 @@ def test_filters_contain_all_that_was_put_in(texts, spark):
     assert ((masks >> k) & 1).mean() > 0.8
 
 
+def plain_grams(text):
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    return [f" {w} "[i : i + n] for w in words for n in li.GRAMS for i in range(len(w) + 3 - n)]
+
+
+def test_hits_and_decisions_against_sets(texts, spark):
+    """Each language's n-grams as a plain set: all are in its filter, and few others; hits, correction, decision and score follow from sets of what the filters contain."""
+    rows = texts.collect()
+    counts = {}
+    for r in rows:
+        if crc32(str(r.doc_id).encode()) % 4 != 2:
+            counts.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    share = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    sets = {k: {g for g, n in c.items() if n >= li.LEAST and share[k][g] >= li.RATIO * max(s.get(g, 0) for s in share.values())} for k, c in counts.items()}
+    f = li.fit(texts)
+    assert f.names == sorted(sets)
+    known = sorted({g for c in counts.values() for g in c})
+    contained = {k: {g for g in known if all(int(f.slots[0][s]) >> i & 1 for s in li.slots_of(g))} for i, k in enumerate(f.names)}
+    for i, k in enumerate(f.names):
+        assert sets[k] <= contained[k] and len(contained[k] - sets[k]) <= 1 + 10 * f.rate[i] * len(known)
+        ones = {s for g in sets[k] for s in li.slots_of(g)}
+        assert abs(f.rate[i] - (len(ones) / li.SLOTS) ** li.HASHES) < 1e-12
+    got = {r.doc_id: r for r in li.identified(texts, f).collect()}
+    for r in rows:
+        grams = plain_grams(r.text)
+        true = [max(0.0, (sum(g in contained[k] for g in grams) - rate * len(grams)) / (1 - rate)) for k, rate in zip(f.names, f.rate, strict=True)]
+        assert got[r.doc_id].lang_pred == f.names[true.index(max(true))]
+        assert abs(got[r.doc_id].score - max(true) / sum(true)) < 1e-9
+        assert abs(got[r.doc_id].support - min(1, max(true) / len(grams))) < 1e-9
+
+
+def test_very_long_words(texts):
+    f = li.fit(texts)
+    word = "kati" * 50_000
+    assert [g for part in li.grams_by_parts(word) for g in part] == plain_grams(word)
+    got = li.Seen(f).hits([word, "ka"])
+    own = [g for w in (word, "ka") for g in plain_grams(w)]
+    assert got[-1] == len(own) and got[0] == sum(all(int(f.slots[0][s]) & 1 for s in li.slots_of(g)) for g in own)
+
+
 def test_memo_overflow_changes_nothing(texts, monkeypatch):
     f = li.fit(texts)
     words = [w for r in texts.collect() for w in li.words_of(r.text)]
@@ -42,6 +84,10 @@ def test_memo_overflow_changes_nothing(texts, monkeypatch):
     monkeypatch.setattr(li, "GRAM_MEMO", 900)
     monkeypatch.setattr(li, "AT_ONCE", 17)
     assert np.array_equal(li.Seen(f).hits(words), a)
+    monkeypatch.setattr(li, "LONG", 4)
+    assert np.array_equal(li.Seen(f).hits(words), a)
+    monkeypatch.setattr(li, "MEMO_BYTES", 900)
+    assert np.array_equal(li.Seen(f).hits(words), a)
 
 
 def test_many_languages(spark):
@@ -54,7 +100,7 @@ def test_many_languages(spark):
 
 def test_odd_rows(spark, docs, no_docs, rows, texts):
     d = docs
-    assert li.annotated(d, li.fit(no_docs)).columns == [*d.drop("score").columns, "lang_pred", "score"]
+    assert li.annotated(d, li.fit(no_docs)).columns == [*d.drop("score").columns, "lang_pred", "score", "support"]
     got = li.identified(d, li.fit(texts)).collect()
     by = {}
     for r in got:
