@@ -166,12 +166,12 @@ def with_next(df: DataFrame, key: str, text: str, value: str, out: str) -> DataF
 def edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text (see the query's contract), with both likenesses."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("tree", _tree(F.col("t")))
-    d = d.select("doc_id", "t", _said(F.col("tree")).alias("f")).withColumn("own", F.struct("t", "f"))
-    d = with_next(d, "doc_id", "t", "own", "nxt")
-    n = F.length("t")
+    d = d.select("doc_id", F.struct("t", _said(F.col("tree")).alias("f")).alias("own"))
+    d = with_next(d, "doc_id", "own.t", "own", "nxt")
+    n = F.length("own.t")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("t"), F.lit(1), n - half), F.substring(F.col("nxt.t"), F.lit(1), half))
-    d = d.select("doc_id", n.cast("long").alias("n_chars"), F.col("f").alias("fingerprint"), F.col("nxt.f").alias("nf"), edited.alias("e"))
+    edited = F.concat(F.substring(F.col("own.t"), F.lit(1), n - half), F.substring(F.col("nxt.t"), F.lit(1), half))
+    d = d.select("doc_id", n.cast("long").alias("n_chars"), F.col("own.f").alias("fingerprint"), F.col("nxt.f").alias("nf"), edited.alias("e"))
     d = d.withColumn("etree", _tree(F.col("e")))
     d = d.select("doc_id", "n_chars", _sha(F.col("e")).alias("edited_sha256"), "fingerprint", _said(F.col("etree")).alias("edited_fingerprint"), "nf")
     d = with_likeness(with_likeness(d, "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "nf", "near_next")
