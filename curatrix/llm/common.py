@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
 from typing import TYPE_CHECKING
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ if TYPE_CHECKING:
 
 #: A key of over 1 / HOT of all rows is joined by broadcast: there are fewer than HOT of them.
 HOT = 2_000
+#: Marks in a bucket of a list of them, about.
+BUCKET = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,3 +104,66 @@ def hot_join(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
     few, rest = of.filter(hot).drop("n"), of.filter(~hot).drop("n")  # fewer than HOT rows; no key of the rest can fill a task
     cold = rows.join(F.broadcast(few.select(key)), key, "left_anti")
     return rows.join(F.broadcast(few), key).unionByName(cold.join(rest, key))
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is rows of Parquet files, each at most once, so that file and row number name it whenever it is read."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and "Parquet" in plan.relation().fileFormat().getClass().getSimpleName()
+
+
+def located(df: DataFrame, kind: str) -> DataFrame:
+    """df with the place of each row, file and row, under names that df does not have; written first, if it isn't rows of Parquet files."""
+    df = df.drop("file", "row")
+    df = df if _is_scan(df) else written(df, kind)
+    return df.withColumn("file", F.col("_metadata.file_path")).withColumn("row", F.col("_metadata.row_index"))
+
+
+@dataclass(frozen=True)
+class Marks:
+    """A list of places with a number each, in the shared folder, by bucket of the file; folder is "" if there is none."""
+
+    folder: str
+    buckets: int
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64("file"), F.lit(self.buckets)).alias("bucket")
+
+
+def mark(places: DataFrame, kind: str) -> Marks:
+    """Of places (a written table of file, row, value): what tasks need to look up rows that they read, so that big rows need not be joined."""
+    n = places.count()
+    marks = Marks(f"{new_folder(places.sparkSession, kind)}/t" if n else "", max(1, -(-n // BUCKET)))
+    if n:
+        places.select(marks.bucket(), "file", "row", "value").repartition("bucket").sortWithinPartitions("bucket", "file", "row").write.partitionBy("bucket").parquet(marks.folder)
+    return marks
+
+
+class Lookup:
+    """Values of marked rows, in a task. Holds the marks of one file at a time."""
+
+    def __init__(self, marks: Marks) -> None:
+        self.folder, self.file, self.rows, self.values = marks.folder, None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def of(self, file: str, row: int, bucket: int) -> int | None:
+        if not self.folder:
+            return None
+        if file != self.file:
+            self._open(file, bucket)
+        at = int(np.searchsorted(self.rows, row))
+        return int(self.values[at]) if at < len(self.rows) and self.rows[at] == row else None
+
+    def _open(self, file: str, bucket: int) -> None:
+        from pyarrow import dataset
+        from pyarrow.fs import FileType
+
+        fs, base = filesystem(f"{self.folder}/bucket={bucket}")
+        if fs.get_file_info(base).type == FileType.NotFound:
+            found = np.zeros((2, 0), np.int64)
+        else:
+            t = dataset.dataset(base, filesystem=fs, format="parquet").to_table(["row", "value"], filter=dataset.field("file") == file)
+            found = np.stack([t["row"].to_numpy(), t["value"].to_numpy()])
+            found = found[:, np.argsort(found[0])]
+        self.file, self.rows, self.values = file, *found

@@ -27,7 +27,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha1
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +36,6 @@ from . import common
 FRAME = 1 << 20
 BUNDLE = 256 << 20
 LEVEL = 6
-#: Revisits in a bucket of the list of roles, about.
-BUCKET = 1 << 20
 DATE = "1970-01-01T00:00:00Z"
 #: The seekable format's skippable frame, and the end of its table.
 SKIPPABLE, TABLE_END = 0x184D2A5E, 0x8F92EAB1
@@ -145,79 +142,35 @@ class Reader:
 
 @dataclass(frozen=True)
 class Plan:
-    """rows: page_id, url, payload, and where each row stands: file, row in it, bucket of the file. roles: the folder that lists the revisits by bucket, "" if there is none."""
+    """rows: page_id, url, payload, and the place of each row. revisits: places of revisits, with the page that each revisits."""
 
     rows: DataFrame
-    roles: str
-
-
-def _is_scan(df: DataFrame) -> bool:
-    """Whether df is rows of files, each at most once, so that file and row number name it whenever it is read."""
-    plan = df._jdf.queryExecution().analyzed()
-    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
-        plan = plan.children().apply(0)
-    return plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and "Parquet" in plan.relation().fileFormat().getClass().getSimpleName()
+    revisits: common.Marks
 
 
 def planned(pages: DataFrame, least: int = 0) -> Plan:
     """Which rows are revisits, and of which page. Only digests and places of rows move; payloads stay where they are read."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    p = p if _is_scan(p) else common.written(p, "warc-pages")
-    p = p.withColumn("file", F.col("_metadata.file_path")).withColumn("row", F.col("_metadata.row_index")).withColumn("payload", F.coalesce(F.col("html"), F.lit("")).cast("binary"))
+    p = common.located(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), "warc-pages").withColumn("payload", F.coalesce(F.col("html"), F.lit("")).cast("binary"))
     narrow = common.written(p.filter(F.octet_length("payload") >= least).select("file", "row", "page_id", F.unhex(F.sha1("payload")).alias("sha")), "warc-digests")
-    firsts = common.written(narrow.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL"), "warc-firsts")
-    again = common.written(common.hot_join(narrow, firsts, "sha").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select("file", "row", "first"), "warc-again")
-    n = -(-again.count() // BUCKET)
-    bucket = F.pmod(F.xxhash64("file"), F.lit(max(1, n))).alias("bucket")
-    roles = ""
-    if n:
-        roles = f"{common.new_folder(pages.sparkSession, 'warc-roles')}/t"
-        again.select(bucket, "file", "row", "first").repartition("bucket").sortWithinPartitions("bucket", "file", "row").write.partitionBy("bucket").parquet(roles)
-    return Plan(p.select("page_id", "url", "payload", "file", "row", bucket), roles)
-
-
-class Roles:
-    """Of rows of a file, which page each revisits. Holds the revisits of one file at a time."""
-
-    def __init__(self, folder: str) -> None:
-        self.folder, self.file, self.rows, self.firsts = folder, None, np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def first(self, file: str, row: int, bucket: int) -> int | None:
-        if not self.folder:
-            return None
-        if file != self.file:
-            self._open(file, bucket)
-        at = int(np.searchsorted(self.rows, row))
-        return int(self.firsts[at]) if at < len(self.rows) and self.rows[at] == row else None
-
-    def _open(self, file: str, bucket: int) -> None:
-        from pyarrow import dataset
-        from pyarrow.fs import FileType
-
-        fs, base = common.filesystem(f"{self.folder}/bucket={bucket}")
-        if fs.get_file_info(base).type == FileType.NotFound:
-            found = np.zeros((2, 0), np.int64)
-        else:
-            t = dataset.dataset(base, filesystem=fs, format="parquet").to_table(["row", "first"], filter=dataset.field("file") == file)
-            found = np.stack([t["row"].to_numpy(), t["first"].to_numpy()])
-            found = found[:, np.argsort(found[0])]
-        self.file, self.rows, self.firsts = file, *found
+    firsts = common.written(narrow.groupBy("sha").agg(F.min("page_id").alias("value"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND value IS NOT NULL"), "warc-firsts")
+    revisits = common.mark(common.written(common.hot_join(narrow, firsts, "sha").filter(~F.col("page_id").eqNullSafe(F.col("value"))).select("file", "row", "value"), "warc-again"), "warc-revisits")
+    return Plan(p.select("page_id", "url", "payload", "file", "row", revisits.bucket()), revisits)
 
 
 def write(plan: Plan, folder: str) -> DataFrame:
     """Writes archives to the folder (a URI that executors can write); returns their index."""
-    roles = plan.roles
+    revisits = plan.revisits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = common.filesystem(folder)
-        archive, name, of = None, "", Roles(roles)
+        archive, name, look = None, "", common.Lookup(revisits)
         for b in batches:
             rows = []
             for page_id, url, payload, file, at, bucket in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if archive is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
                     archive = Archive(fs.open_output_stream(f"{base}/{name}", compression=None))
-                raw = record(page_id, url, payload, of.first(file, at, bucket))
+                raw = record(page_id, url, payload, look.of(file, at, bucket))
                 frame, offset = archive.add(raw)
                 rows.append((page_id, name, frame, offset, len(raw)))
                 if archive.plain >= BUNDLE:

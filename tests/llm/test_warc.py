@@ -37,7 +37,7 @@ def test_round_trip_against_brute_force(spark):
 
 def test_repeated_payloads_of_a_table(spark, tmp_path, monkeypatch):
     """A third of all pages has one payload, a third are copies; payloads aren't shuffled, and each row finds its role by its place."""
-    monkeypatch.setattr(warc, "BUCKET", 50)
+    monkeypatch.setattr(common, "BUCKET", 50)
     monkeypatch.setattr(common, "HOT", 20)
     rows = [(i, f"u{i}", "hot" if i % 3 == 0 else f"copy {i // 9}" if i % 3 == 1 else f"own {i}") for i in range(600, 0, -1)]
     spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(f"{tmp_path}/pages")
@@ -45,7 +45,7 @@ def test_repeated_payloads_of_a_table(spark, tmp_path, monkeypatch):
     for pages, n in ((table, 600), (table.filter("page_id % 3 > 0"), 400)):
         folder = common.new_folder(spark, "warc")
         plan = warc.planned(pages)
-        assert plan.roles and "Exchange" not in plan.rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.revisits.folder and "Exchange" not in plan.rows._jdf.queryExecution().executedPlan().toString()
         got = warc.read(warc.write(plan, folder), folder).collect()
         assert sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got) == want([r for r in rows if n == 600 or r[0] % 3])
 
