@@ -1,7 +1,10 @@
 """The corpus pipeline: toxicity, language ID, SimHash near-dedup, best-fit packing.
 
 Each stage takes what its predecessor has kept, as a table, and returns the rows that it keeps, with the columns of
-documents; the last one returns packed pieces. Rows without doc_id pass the near-duplicate stage, which names by doc_id.
+documents; the last one returns packed pieces. Each stage decides on rows: columns beyond those of documents, whatever
+their names, are dropped first. Null and empty texts are clean; the language stage rejects them, having no letter. Very
+long texts count whole. Of repeated rows, or rows of one doc_id or of none, each is judged by its text; the near-duplicate
+stage keeps one of a group, also where none has a doc_id. Ties go as the operators' docstrings say. Empty tables pass.
 """
 
 from __future__ import annotations
@@ -12,8 +15,10 @@ from pyspark.sql import functions as F
 from curatrix.llm import bpe, common, langid, packing, simhash, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A text whose language gets less of the corrected hits than this, or than SURE_OF_MANY over the number of languages, is in none that is known.
-SURE, SURE_OF_MANY = 0.3, 1.2
+#: A text of whose n-grams, corrected for false positives, less than this part is in the filter of its language is in none that was learned.
+SUPPORT = 0.45
+#: A language learned from fewer documents is not known well enough to reject by that.
+ENOUGH = 100
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,22 +28,18 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and those whose language stays unsure; nothing if no language can be learned."""
+    """Rejects documents without a letter, and those in no language that was learned; nothing if none can be learned."""
     filters = langid.fit(docs)
     if not filters.names:
         return docs.select(COLUMNS)
+    hardly_known = [k for k, n in zip(filters.names, filters.docs, strict=True) if n < ENOUGH]
     found = langid.annotated(docs.select(COLUMNS), filters)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= min(SURE, SURE_OF_MANY / len(filters.names)))).select(COLUMNS)
+    return found.filter((F.col("lang_pred") != "und") & ((F.col("support") >= SUPPORT) | F.col("lang_pred").isin(hardly_known))).select(COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the least doc_id stays, once."""
-    found = simhash.near_duplicates(docs)
-    first = common.written(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "dedup-first")
-    kept = docs.select(COLUMNS).join(first.select("doc_id").hint("merge"), "doc_id", "left_semi")  # the same plan at any size
-    if not first.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL").select(COLUMNS))
+    return simhash.first_of_each(docs.select(COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,11 +69,12 @@ def slots_of(gram: str) -> list[int]:
 
 @dataclass(frozen=True)
 class Filters:
-    """slots: (masks, SLOTS); rate: false positives of each language."""
+    """slots: (masks, SLOTS); rate: false positives of each language; docs: how many documents it was learned from."""
 
     names: list[str]
     slots: np.ndarray
     rate: np.ndarray
+    docs: np.ndarray
 
     def decide(self, hits: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language numbers, scores and supports (corrected hits of the language, as a part of the n-grams) of rows of hits among n grams each."""
@@ -104,7 +105,7 @@ def fit(docs: DataFrame) -> Filters:
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row a language
     names = sorted(totals)
     if not names:
-        return Filters([], np.zeros((0, SLOTS), np.int64), np.zeros(0))
+        return Filters([], np.zeros((0, SLOTS), np.int64), np.zeros(0), np.zeros(0, np.int64))
     number = F.create_map(*[x for i, k in enumerate(names) for x in (F.lit(k), F.lit(i))])
     share = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(1.0 / totals[k]))])
     d = counts.withColumn("r", F.col("n") * share[F.col("lang")]).withColumn("most", F.max("r").over(Window.partitionBy("gram")))
@@ -121,7 +122,8 @@ def fit(docs: DataFrame) -> Filters:
     found = set_bits.toArrow()  # at most SLOTS rows of three numbers a mask, whatever the input
     slots[found["m"].to_numpy(), found["slot"].to_numpy()] = found["bits"].to_numpy()
     fill = np.array([((slots[i // BITS] >> (i % BITS)) & 1).mean() for i in range(len(names))])
-    return Filters(names, slots, fill**HASHES)
+    from_docs = dict(known.groupBy("lang").count().collect())  # a row a language
+    return Filters(names, slots, fill**HASHES, np.array([from_docs.get(k, 0) for k in names]))
 
 
 def annotated(docs: DataFrame, filters: Filters) -> DataFrame:
@@ -134,7 +136,7 @@ def annotated(docs: DataFrame, filters: Filters) -> DataFrame:
         names, at, bits, rate = shared.value
         slots = np.zeros((len(bits), SLOTS), np.int64)
         slots[:, at] = bits
-        f = Filters(names, slots, rate)
+        f = Filters(names, slots, rate, np.zeros(0))
         seen = Seen(f)
         for b in batches:
             hits, letters = np.zeros((b.num_rows, len(names) + 1)), []

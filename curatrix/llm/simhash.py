@@ -63,15 +63,16 @@ def fingerprint_of(text: str | None, words: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long)."""
+def fingerprints(docs: DataFrame, words: int = 4, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the 64 bits as a long), and the columns named in `also`."""
+    d = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), *also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint_of(t.as_py(), words) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([fingerprint_of(t.as_py(), words) for t in b.column(0)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *also])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return d.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} {t}" for c, t in d.dtypes[2:])]))
 
 
 @lru_cache
@@ -193,17 +194,37 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     """doc_id, fp, component_id for each row of docs."""
-    return labelled(common.written(fingerprints(docs, words), "simhash-fp"), bits)
+    return labelled(common.written(fingerprints(docs, words), "simhash-fp"), bits).drop("root")
 
 
 def labelled(fps: DataFrame, bits: int) -> DataFrame:
-    """fps (doc_id and fp, a written table) with component_id. Any long may be a doc_id: classes are named by fingerprint."""
+    """fps (a written table with doc_id and fp) with component_id, and root, the least fingerprint of the component. Any long may be a doc_id: classes are named by fingerprint."""
     classes = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-class")
     stars = components(links(classes.select("fp", F.col("fp").alias("id")), bits)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     rooted = common.written(classes.join(stars, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "simhash-root")
     least = common.written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "simhash-least")
-    of = common.written(common.hot_join(rooted.withColumnRenamed("n", "copies"), least, "root").select("fp", "component_id", F.col("copies").alias("n")), "simhash-of")
-    return common.hot_join(fps, of, "fp").select(*fps.columns, "component_id")
+    of = common.written(common.hot_join(rooted.withColumnRenamed("n", "copies"), least, "root").select("fp", "root", "component_id", F.col("copies").alias("n")), "simhash-of")
+    return common.hot_join(fps, of, "fp").select(*fps.columns, "component_id", "root")
+
+
+def first_of_each(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
+    """docs without the rows that are near-duplicates of another: of each component the row of the least doc_id stays, of several such rows, or rows without doc_id, one. Texts are not shuffled."""
+    d = common.located(docs, "dedup-docs")
+    fps = common.written(fingerprints(d, words, ("file", "row")), "dedup-fp")
+    found = common.written(labelled(fps, bits), "dedup-component")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
+    first = common.written(found.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "dedup-first")
+    gone = common.hot_join(found, first, "root").filter(F.col("first") != place).select("file", "row", F.lit(0).cast("long").alias("value"))
+    marks = common.mark(common.written(gone, "dedup-gone"), "dedup-marks")
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = common.Lookup(marks)
+        for b in batches:
+            where = zip(*(b.column(c).to_pylist() for c in ("file", "row", "bucket")), strict=True)
+            yield b.select(columns).filter(pa.array([look.of(*x) is None for x in where], pa.bool_()))
+
+    return d.select(*columns, "file", "row", marks.bucket()).mapInArrow(run, docs.schema)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
