@@ -63,26 +63,29 @@ def two_tag_examples(df: DataFrame) -> DataFrame:
 
 
 def two_tag_report(df: DataFrame, *by: str, source_at: float = 0.85, score_at: float = 0.60) -> DataFrame:
-    """df: target, prediction, is_negative and score, the n-gram score of the translations."""
+    """df: target, prediction, is_negative, and prediction_raw if it differs. By buckets, blank ones named unknown; one row without."""
     d = two_tag_examples(df)
-    pos, neg = ~F.col("neg"), F.col("neg")
-    said = ~X.is_blank(F.col("p.source"))
-    columns = [
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(pos).alias("n_pos"),
-        F.count_if(neg).alias("n_neg"),
-        rate(F.col("strict"), neg).alias("strict_empty_rate"),
-        rate(F.col("effective"), neg).alias("effective_empty_rate"),
-        rate(F.col("effective") & ~F.col("strict"), neg).alias("broken_empty_rate"),
-        rate(said, neg).alias("hallucination_rate"),
-        rate(~F.col("strict") & ~F.col("p.has_source") & ~F.col("p.has_translation"), neg).alias("plain_rate"),
-        rate(F.col("p.has_source"), pos).alias("pair_rate"),
-        rate(F.col("p.well_formed"), pos).alias("well_formed_rate"),
-        rate(F.col("source_sim") >= source_at, pos).alias("source_hit_rate"),
-        rate(F.col("score") >= score_at, pos).alias("translation_hit_rate"),
-        rate((F.col("source_sim") >= source_at) & (F.col("score") >= score_at), pos).alias("both_hit_rate"),
-        rate(X.is_blank(F.col("p.translation")), pos).alias("translation_empty_rate"),
-        rate(F.col("p.unclosed_source") | F.col("p.unclosed_translation"), pos).alias("unclosed_rate"),
-        F.round(mean_of(F.col("score"), pos), 9).alias("mean_score"),
-    ]
-    return d.groupBy(*by).agg(*columns) if by else d.agg(*columns)
+    pos, neg, said, meant = ~F.col("neg"), F.col("neg"), X.strip(F.col("p.translation")), X.strip(F.col("g.translation"))
+    over = lambda gt: X.over_extraction(F.col("p.source"), gt)
+    d = d.withColumns({"score": X.chrf("p.translation", "g.translation"), "with_words": X.chrf_plus("p.translation", "g.translation"), "said": said, "cjk": X.cjk_ratio(said), "length_ratio": X.length_ratio(said, meant), "over": F.when(neg, over(F.lit(""))).otherwise(over(F.col("g.source"))), "leak": X.has_format_leak(F.coalesce("prediction_raw", "prediction") if "prediction_raw" in df.columns else F.col("prediction"))})
+    source, translation = F.col("source_sim") >= source_at, F.col("score") >= score_at
+    hits = {
+        "strict_empty_rate": (F.col("strict"), neg),
+        "effective_empty_rate": (F.col("effective"), neg),
+        "broken_empty_rate": (F.col("effective") & ~F.col("strict"), neg),
+        "hallucination_rate": (~X.is_blank(F.col("p.source")), neg),
+        "plain_rate": (~F.col("strict") & ~F.col("p.has_source") & ~F.col("p.has_translation"), neg),
+        "negative_over_rate": (F.col("over"), neg),
+        "pair_rate": (F.col("p.has_source"), pos),
+        "well_formed_rate": (F.col("p.well_formed"), pos),
+        "source_hit_rate": (source, pos),
+        "translation_hit_rate": (translation, pos),
+        "both_hit_rate": (source & translation, pos),
+        "translation_empty_rate": (F.col("said") == "", pos),
+        "unclosed_rate": (F.col("p.unclosed_translation"), pos),
+        "positive_over_rate": (F.col("over"), pos),
+        "leak_rate": (F.col("leak"), F.lit(True)),
+    }
+    means = {"mean_source_similarity": "source_sim", "mean_score": "score", "mean_score_with_words": "with_words", "mean_cjk_ratio": "cjk", "mean_length_ratio": "length_ratio"}
+    columns = [F.count(F.lit(1)).alias("n"), F.count_if(pos).alias("n_pos"), F.count_if(neg).alias("n_neg"), *[rate(*v).alias(k) for k, v in hits.items()], *[F.round(mean_of(F.col(v), pos), 9).alias(k) for k, v in means.items()]]
+    return d.groupBy(*[F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown")).alias(c) for c in by]).agg(*columns) if by else d.agg(*columns)

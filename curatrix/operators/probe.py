@@ -27,6 +27,26 @@ def scored(rollouts: DataFrame) -> DataFrame:
     return s.withColumn("value", F.round(value, 9)).withColumn("verdict", R.verdict(F.col("reward_mean"), F.col("reward_std"), F.col("n_unique")))
 
 
+def scored_two_tags(rollouts: DataFrame, w: R.TwoTagWeights = R.TwoTagWeights(), good: float = 0.8) -> DataFrame:
+    """rollouts (sample_id, completion, target, is_negative, score: the n-gram score of the translations): one row a group, valued by dumps, misses and broken tags; groups of negatives are not selectable, and all their numbers are 0."""
+    top = w.ceiling()
+    d = rollouts.withColumn("r", R.two_tags(F.col("completion"), F.col("target"), F.lit(False), F.col("score"), w)).withColumn("total", F.col("r.total"))
+    share = lambda c: F.avg(c.cast("double"))
+    s = d.groupBy("sample_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        (~F.bool_or(F.coalesce("is_negative", F.lit(False)))).alias("selectable"),
+        share(F.col("total") >= good * top).alias("frac_good"),
+        share(F.col("r.over") < 0).alias("frac_over"),
+        share(F.col("r.empty") < 0).alias("frac_miss"),
+        share(F.col("r.xml") <= 0).alias("frac_bad_xml"),
+        F.avg("total").alias("reward_mean"),
+        F.stddev_pop("total").alias("reward_std"),
+        (F.max("total") / top).alias("reward_max_frac"),
+    )
+    s = s.withColumn("value", F.col("frac_over") + 0.5 * F.col("frac_miss") + 0.5 * F.col("frac_bad_xml"))
+    return s.select("sample_id", "n", "selectable", *[F.when(F.col("selectable"), F.col(c)).otherwise(0.0).alias(c) for c in s.columns[3:]])
+
+
 def selectable(least_good: float = 0.125, most_good: float = 0.875, least_std: float = 0.03, least_max: float = 0.0) -> Column:
     """A group that still teaches: some good, some bad, spread, and for positives a near-perfect one."""
     top = F.col("reward_max") / F.when(F.col("is_negative"), ONE_TAG_CEILING["negative"]).otherwise(ONE_TAG_CEILING["positive"])

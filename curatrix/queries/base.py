@@ -73,10 +73,7 @@ BOXES = f"""boxes AS (SELECT CAST(floor(p_partkey / 40.0) AS BIGINT) AS page_id,
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations as predictions: each turn answers the turn before it, some in two tags, some leaking, some empty, by a hash.
-
-    Texts are whole. TURNS, the SQL beside it, drops what is not ASCII, so the two agree on ASCII texts only.
-    """
+    """conversations as predictions: each turn answers the turn before it, some in two tags, some leaking, some empty, by a hash. Texts are whole, here and in TURNS."""
     d = spread(t(spark, sf_dir, "conversations"))
     a = d.select("conv_id", "turn", "role", F.col("text").alias("target"))
     k = F.substring(hkey("t", "conv_id", "turn"), 1, 1)
@@ -97,10 +94,13 @@ TURNS = f"""turns AS (SELECT *, CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS
    WHEN k = '4' THEN 'Here: <source>' || target || '</source><translation>' || target || '</translation>'
    WHEN k < '8' THEN '<source>' || target || '</source><translation>' || part || '</translation>' WHEN k < 'b' THEN part ELSE target END AS prediction_raw
   FROM (SELECT *, left(target, CAST(floor(length(target) * 0.7::DOUBLE) AS INT)) AS part, substr({key_sql("t", "conv_id", "turn")}, 1, 1) AS k
-   FROM (SELECT conv_id, turn, role, regexp_replace(text, '[^ -~\\n]', '', 'g') AS target FROM conversations)))"""
+   FROM (SELECT conv_id, turn, role, text AS target FROM conversations)))"""
+
+#: White space of any script, as (?U)\s of Java's patterns has it.
+WS = r"[\x{0009}-\x{000D}\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
 
-#: SQL forms of the normal form and of similarity; texts are ASCII there.
-WS = r"[ \t\n\r\f\v]"
+CJK_SQL = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
 
 
 def strip_sql(c: str) -> str:
@@ -111,9 +111,17 @@ def norm_sql(c: str) -> str:
     return f"regexp_replace(lower({strip_sql(c)}), '{WS}+', ' ', 'g')"
 
 
+#: Characters of one byte that a lower-case text without control characters does not have.
+FREE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(map(chr, [*range(1, 9), *range(14, 32), 127]))
+
+
 def similarity_sql(a: str, b: str) -> str:
-    x, y = norm_sql(a), norm_sql(b)
-    return f"(CASE WHEN {x} = '' AND {y} = '' THEN 1.0::DOUBLE WHEN {x} = '' OR {y} = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein({x}, {y})::DOUBLE / greatest(length({x}), length({y})) END)"
+    """DuckDB's levenshtein counts bytes, so the pair's characters of several bytes are first replaced by free ones of one byte; an error if they don't suffice."""
+    free = " || ".join(f"chr({ord(c)})" for c in FREE)
+    one = lambda v: f"translate(v.{v}, v.c, {free})"
+    pair = f"{{'x': {norm_sql(a)}, 'y': {norm_sql(b)}, 'c': array_to_string(list_distinct(regexp_extract_all({norm_sql(a)} || {norm_sql(b)}, '[^\x00-\x7F]')), '')}}"
+    return f"""list_transform([{pair}], lambda v: CASE WHEN v.x = '' AND v.y = '' THEN 1.0::DOUBLE WHEN v.x = '' OR v.y = '' THEN 0.0::DOUBLE WHEN length(v.c) > {len(FREE)} THEN error('too many characters')::DOUBLE
+ ELSE 1.0::DOUBLE - levenshtein({one('x')}, {one('y')})::DOUBLE / greatest(length(v.x), length(v.y)) END)[1]"""
 
 
 def cleaned_sql(c: str) -> str:

@@ -9,12 +9,12 @@ from ..functions import classify as C
 from ..functions import rewards as R
 from ..functions import text as X
 from ..operators import dedup, metrics, probe, ranking, sampling
-from .base import SAMPLES, TURNS, cleaned_sql, norm_sql, query, samples, similarity_sql, strip_sql, t, turns
+from .base import CJK_SQL, SAMPLES, TURNS, WS, cleaned_sql, norm_sql, query, samples, similarity_sql, strip_sql, t, turns
 
 NEG = f"(is_negative OR {norm_sql('target')} = '')"
 CLEAN = cleaned_sql("prediction_raw")
 #: Sections and lengths of a dump.
-OVER = "(length(p) > 0 AND ((length(p) >= 400 AND (length(g) = 0 OR length(p) >= 3.0 * greatest(length(g), 1))) OR (length(g) > 0 AND length(p) > greatest(200, 2 * length(g)) AND (len(regexp_extract_all(p, '(?m)^#{1,6}[ \\t\\n\\r\\f\\v]')) >= 3 OR len(list_filter(regexp_split_to_array(p, '\\n[ \\t\\n\\r\\f\\v]*\\n'), lambda b: length(regexp_replace(b, '[ \\t\\n\\r\\f\\v]+', '', 'g')) > 0)) >= 5))))"
+OVER = "(length(p) > 0 AND ((length(p) >= 400 AND (length(g) = 0 OR length(p) >= 3.0 * greatest(length(g), 1))) OR (length(g) > 0 AND length(p) > greatest(200, 2 * length(g)) AND (len(regexp_extract_all(p, '(?m)^#{1,6}[ \\t\\n\\r\\f\\v]')) >= 3 OR len(list_filter(regexp_split_to_array(p, '\\n[ \\t\\n\\r\\f\\v]*\\n'), lambda b: " + strip_sql("b") + " <> '')) >= 5))))"
 EXAMPLES = f"""{TURNS}, e AS (SELECT *, {NEG} AS neg, {CLEAN} AS prediction FROM turns),
 x AS (SELECT *, {similarity_sql('prediction', 'target')} AS sim, {norm_sql('prediction')} = '' AS empty_pred, {strip_sql('prediction')} AS p, {strip_sql('target')} AS g, contains(prediction_raw, '<|im_end|>') AS leak FROM e)"""
 REPORT = f"""count(*) AS n, CAST(count_if(NOT neg) AS BIGINT) AS n_pos, CAST(count_if(neg) AS BIGINT) AS n_neg, coalesce(count_if(NOT neg AND sim >= 0.85) / nullif(count_if(NOT neg), 0)::DOUBLE, 0) AS block_hit_rate,
@@ -71,15 +71,18 @@ def edit_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("sample_id", F.round(X.edit_similarity(F.col("prediction"), F.col("target")), 9).alias("similarity"), X.over_extraction(F.col("prediction"), F.col("target")).alias("over"))
 
 
-CHRF_CTES = f"""d AS (SELECT sample_id, trim(regexp_replace(translation, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS h, trim(regexp_replace(target, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS r FROM z),
-o AS (SELECT *, unnest(range(1, least(6, length(h), length(r)) + 1)) AS n FROM d), g AS (SELECT sample_id, n, substr(h, i.i, n) AS g, 1 AS a, 0 AS b FROM o, LATERAL (SELECT unnest(range(1, length(h) - n + 2)) AS i) i UNION ALL SELECT sample_id, n, substr(r, i.i, n), 0, 1 FROM o, LATERAL (SELECT unnest(range(1, length(r) - n + 2)) AS i) i),
+#: Mean F-scores of characters (f), and of characters and words (fw), of h against r.
+CHRF_CTES = f"""d AS (SELECT sample_id, trim(regexp_replace(translation, '{WS}+', ' ', 'g')) AS h, trim(regexp_replace(target, '{WS}+', ' ', 'g')) AS r FROM z),
+o AS (SELECT *, unnest(range(1, least(6, length(h), length(r)) + 1)) AS n FROM d), ws AS (SELECT sample_id, string_split(h, ' ') AS h, string_split(r, ' ') AS r FROM d WHERE h <> '' AND r <> ''), ow AS (SELECT *, unnest(range(1, least(2, len(h), len(r)) + 1)) AS n FROM ws),
+g AS (SELECT sample_id, n, substr(h, i.i, n) AS g, 1 AS a, 0 AS b FROM o, LATERAL (SELECT unnest(range(1, length(h) - n + 2)) AS i) i UNION ALL SELECT sample_id, n, substr(r, i.i, n), 0, 1 FROM o, LATERAL (SELECT unnest(range(1, length(r) - n + 2)) AS i) i
+ UNION ALL SELECT sample_id, 10 + n, array_to_string(h[i.i : i.i + n - 1], ' '), 1, 0 FROM ow, LATERAL (SELECT unnest(range(1, len(h) - n + 2)) AS i) i UNION ALL SELECT sample_id, 10 + n, array_to_string(r[i.i : i.i + n - 1], ' '), 0, 1 FROM ow, LATERAL (SELECT unnest(range(1, len(r) - n + 2)) AS i) i),
 k AS (SELECT sample_id, n, g, sum(a) AS a, sum(b) AS b FROM g GROUP BY ALL), f AS (SELECT sample_id, n, sum(least(a, b)) AS m, sum(a) AS h, sum(b) AS r FROM k GROUP BY ALL),
-s AS (SELECT sample_id, avg(CASE WHEN m = 0 THEN 0 ELSE 5.0 * (m / h) * (m / r) / (4.0 * (m / h) + (m / r)) END) AS f FROM f GROUP BY sample_id)"""
+per AS (SELECT sample_id, n, CASE WHEN m = 0 THEN 0 ELSE 5.0 * (m / h) * (m / r) / (4.0 * (m / h) + (m / r)) END AS f FROM f), s AS (SELECT sample_id, avg(f) FILTER (WHERE n < 10) AS f, avg(f) AS fw FROM per GROUP BY sample_id)"""
 CHRF = f"""WITH {PARSED}, {CHRF_CTES} SELECT d.sample_id, round(coalesce(s.f, CASE WHEN d.h = d.r THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS score FROM d LEFT JOIN s USING (sample_id)"""
-#: Rows of the two-tag reports and rewards; sim is that of sources, score that of translations.
-TWO = f"""WITH {PARSED}, {CHRF_CTES}, score AS (SELECT d.sample_id, coalesce(s.f, CASE WHEN d.h = d.r THEN 1.0 ELSE 0.0 END)::DOUBLE AS score FROM d LEFT JOIN s USING (sample_id)),
-y AS (SELECT z.*, turns.role, score.score, {VERDICTS}, {norm_sql('prediction')} = '' AS blank, {similarity_sql('z.source', 'z.target')} AS sim, {strip_sql('z.source')} AS p, {strip_sql('z.target')} AS g, z.source <> '' AS said,
- (open_source AND NOT contains(lower(prediction), '</source>')) OR (contains(lower(prediction), '<translation>') AND NOT contains(lower(prediction), '</translation>')) AS unclosed FROM z JOIN turns USING (sample_id) JOIN score USING (sample_id)),
+#: Rows of the two-tag reports and rewards; sim is that of sources, score and plus that of translations.
+TWO = f"""WITH {PARSED}, {CHRF_CTES}, score AS (SELECT d.sample_id, coalesce(s.f, CASE WHEN d.h = d.r THEN 1.0 ELSE 0.0 END)::DOUBLE AS score, coalesce(s.fw, CASE WHEN d.h = d.r THEN 1.0 ELSE 0.0 END)::DOUBLE AS plus FROM d LEFT JOIN s USING (sample_id)),
+y AS (SELECT z.*, turns.conv_id, turns.role, score.score, score.plus, {VERDICTS}, {norm_sql('prediction')} = '' AS blank, {similarity_sql('z.source', 'z.target')} AS sim, {strip_sql('z.source')} AS p, {strip_sql('z.target')} AS g, {strip_sql('z.translation')} AS tr, z.source <> '' AS said,
+ contains(lower(prediction), '<translation>') AND NOT contains(lower(prediction), '</translation>') AS unclosed, contains(z.prediction_raw, '<|im_end|>') AS leak FROM z JOIN turns USING (sample_id) JOIN score USING (sample_id)),
 w AS (SELECT *, is_negative AS neg FROM y)"""
 
 
@@ -157,21 +160,58 @@ _RATES = {
     "broken_empty_rate": ("(NOT blank AND (empty_shell OR truncated))", "neg"),
     "hallucination_rate": ("said", "neg"),
     "plain_rate": ("NOT blank AND NOT has_source AND NOT has_translation", "neg"),
+    "negative_over_rate": ("length(p) >= 400", "neg"),
     "pair_rate": ("has_source", "NOT neg"),
     "well_formed_rate": ("well_formed", "NOT neg"),
     "source_hit_rate": ("sim >= 0.85", "NOT neg"),
     "translation_hit_rate": ("score >= 0.6", "NOT neg"),
     "both_hit_rate": ("sim >= 0.85 AND score >= 0.6", "NOT neg"),
-    "translation_empty_rate": ("translation = ''", "NOT neg"),
+    "translation_empty_rate": ("tr = ''", "NOT neg"),
     "unclosed_rate": ("unclosed", "NOT neg"),
+    "positive_over_rate": (OVER, "NOT neg"),
+    "leak_rate": ("leak", "true"),
 }
+_MEANS = {
+    "mean_source_similarity": "sim",
+    "mean_score": "score",
+    "mean_score_with_words": "plus",
+    "mean_cjk_ratio": f"CASE WHEN tr = '' THEN 0 ELSE len(regexp_extract_all(tr, '{CJK_SQL}')) / length(tr)::DOUBLE END",
+    "mean_length_ratio": "CASE WHEN g <> '' THEN length(tr) / length(g)::DOUBLE WHEN tr = '' THEN 1 ELSE 0 END",
+}
+TWO_TAG = "count(*) AS n, CAST(count_if(NOT neg) AS BIGINT) AS n_pos, CAST(count_if(neg) AS BIGINT) AS n_neg, " + ", ".join([*(f"{_rate(*v)} AS {k}" for k, v in _RATES.items()), *(f"round(coalesce(avg(CASE WHEN NOT neg THEN {v} END), 0), 6)::DOUBLE AS {k}" for k, v in _MEANS.items())])
+
+
+def _two_tags(spark: SparkSession, sf: str) -> DataFrame:
+    return _predictions(spark, sf).withColumn("target", F.when(F.col("is_negative"), "").otherwise(X.format_target(F.col("target"), F.col("target"))))
 
 
-@query(TWO + " SELECT role, count(*) AS n, CAST(count_if(NOT neg) AS BIGINT) AS n_pos, CAST(count_if(neg) AS BIGINT) AS n_neg, " + ", ".join(f"{_rate(*v)} AS {k}" for k, v in _RATES.items()) + ", round(coalesce(avg(CASE WHEN NOT neg THEN score END), 0), 6)::DOUBLE AS mean_score FROM w GROUP BY role")
+@query(f"{TWO} SELECT role, {TWO_TAG} FROM w GROUP BY role")
 def two_tag_report(spark: SparkSession, sf: str) -> DataFrame:
-    d = _predictions(spark, sf).withColumn("target", F.when(F.col("is_negative"), "").otherwise(X.format_target(F.col("target"), F.col("target"))))
-    d = d.withColumn("score", X.chrf(X.parse_target(F.col("prediction"))["translation"], X.parse_target(F.col("target"))["translation"]))
-    return metrics.two_tag_report(d, "role").withColumn("mean_score", F.round("mean_score", 6))
+    """All metrics of the two-tag task by bucket."""
+    d = metrics.two_tag_report(_two_tags(spark, sf), "role")
+    return d.select("role", "n", "n_pos", "n_neg", *_RATES, *[F.round(k, 6).alias(k) for k in _MEANS])
+
+
+@query(f"{TWO} SELECT {TWO_TAG} FROM w")
+def two_tag_overall(spark: SparkSession, sf: str) -> DataFrame:
+    d = metrics.two_tag_report(_two_tags(spark, sf))
+    return d.select("n", "n_pos", "n_neg", *_RATES, *[F.round(k, 6).alias(k) for k in _MEANS])
+
+
+@query(f"""{TWO}, first AS (SELECT conv_id, min_by(target, turn) AS gt, min_by(is_negative, turn) AS no FROM turns GROUP BY conv_id),
+rr AS (SELECT w.conv_id, no, CASE WHEN blank THEN 0.0 WHEN well_formed THEN 1.0 WHEN has_source AND has_translation THEN 0.4 WHEN has_source OR has_translation THEN 0.0 ELSE -0.5 END::DOUBLE AS xml, CASE WHEN blank THEN -1.0 ELSE 0.0 END::DOUBLE AS empty, CASE WHEN {OVER} THEN -1.0 ELSE 0.0 END::DOUBLE AS over,
+ CASE WHEN said THEN score ELSE 0 END AS translation, sim, CASE WHEN leak THEN -1.0 ELSE 0.0 END AS leak FROM w JOIN first USING (conv_id)),
+qq AS (SELECT *, 0.5 * sim + translation + 0.5 * xml + 1.5 * empty + 0.5 * over + 0.5 * leak AS total FROM rr),
+ss AS (SELECT conv_id, count(*) AS n, NOT any_value(no) AS selectable, avg(CAST(total >= 1.6 AS INT)) AS frac_good, avg(CAST(over < 0 AS INT)) AS frac_over, avg(CAST(empty < 0 AS INT)) AS frac_miss, avg(CAST(xml <= 0 AS INT)) AS frac_bad_xml, avg(total) AS mean, stddev_pop(total) AS std, max(total) / 2.0 AS top FROM qq GROUP BY conv_id)
+SELECT conv_id AS sample_id, n, selectable, {", ".join(f"round(CASE WHEN selectable THEN {v} ELSE 0 END, 6)::DOUBLE AS {k}" for k, v in {"frac_good": "frac_good", "frac_over": "frac_over", "frac_miss": "frac_miss", "frac_bad_xml": "frac_bad_xml", "reward_mean": "mean", "reward_std": "std", "reward_max_frac": "top", "value": "frac_over + 0.5 * frac_miss + 0.5 * frac_bad_xml"}.items())} FROM ss""")
+def two_tag_probe(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of two-tag rollouts, each turn's against its own text: rates of failures, spread and value; negatives teach nothing."""
+    d = _predictions(spark, sf)
+    first = d.groupBy("conv_id").agg(F.min_by("is_negative", "turn").alias("no"))
+    d = d.withColumn("gt", X.format_target(F.col("target"), F.col("target"))).join(first, "conv_id")
+    d = d.withColumn("score", X.chrf(X.parse_target(F.col("prediction"))["translation"], X.parse_target(F.col("gt"))["translation"]))
+    s = probe.scored_two_tags(d.select(F.col("conv_id").alias("sample_id"), F.col("prediction_raw").alias("completion"), F.col("gt").alias("target"), F.col("no").alias("is_negative"), "score"))
+    return s.select("sample_id", "n", "selectable", *[F.round(c, 6).alias(c) for c in ("frac_good", "frac_over", "frac_miss", "frac_bad_xml", "reward_mean", "reward_std", "reward_max_frac", "value")])
 
 
 RANKS = "WITH r AS (SELECT {v} AS v, row_number() OVER (ORDER BY {v}) - 1 AS i, count(*) OVER () AS n FROM {t}) SELECT "
@@ -194,7 +234,10 @@ def token_budget_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 REASONS = f"""WITH {SAMPLES}, p AS (SELECT v AS p80 FROM (SELECT n_chars AS v, row_number() OVER (ORDER BY n_chars) - 1 AS i, count(*) OVER () AS n FROM documents WHERE lang = 'en') WHERE i = floor(0.8 * n + 1e-9)),
 x AS (SELECT *, {strip_sql('target')} AS m FROM samples),
-r AS (SELECT sample_id, chrome, m, CASE WHEN length(m) = 0 THEN NULL WHEN pool_id = 'de' THEN 'real' WHEN pool_id = 'fr' THEN 'multi_frag' WHEN pool_id = 'es' THEN 'semantic_group' WHEN len(list_filter(list_transform(string_split(m, chr(10)), lambda l: {strip_sql('l')}), lambda l: l <> '')) <> len(list_distinct(list_filter(list_transform(string_split(m, chr(10)), lambda l: {strip_sql('l')}), lambda l: l <> ''))) OR length(m) - length(replace(m, '|', '')) >= 6 OR contains(m, '♫') THEN 'repeat_risk' WHEN length(m) >= p80 THEN 'long_block' END AS reason FROM x, p)
+parts AS (SELECT sample_id, length(m) AS n, k.k AS k, substr(m, k.k * 1000 + 1, 1023) AS part FROM x, LATERAL (SELECT unnest(range(0, CAST(ceil(length(m) / 1000.0) AS BIGINT))) AS k) k WHERE pool_id = 'en'),
+grams AS (SELECT sample_id, substr(part, j.j, 24) AS g FROM parts, LATERAL (SELECT unnest(range(1, least(1000, n - 24 - k * 1000) + 1)) AS j) j),
+again AS (SELECT DISTINCT sample_id FROM (SELECT sample_id, g FROM grams GROUP BY ALL HAVING count(*) >= 3) WHERE len(list_distinct(list_filter(string_split(g, ''), lambda c: c NOT IN (' ', chr(9))))) >= 3),
+r AS (SELECT sample_id, chrome, m, CASE WHEN length(m) = 0 THEN NULL WHEN pool_id = 'de' THEN 'real' WHEN pool_id = 'fr' THEN 'multi_frag' WHEN pool_id = 'es' THEN 'semantic_group' WHEN len(list_filter(list_transform(string_split(m, chr(10)), lambda l: {strip_sql('l')}), lambda l: l <> '')) <> len(list_distinct(list_filter(list_transform(string_split(m, chr(10)), lambda l: {strip_sql('l')}), lambda l: l <> ''))) OR length(m) - length(replace(m, '|', '')) >= 6 OR contains(m, '♫') OR sample_id IN (SELECT sample_id FROM again) THEN 'repeat_risk' WHEN length(m) >= p80 THEN 'long_block' END AS reason FROM x, p)
 SELECT sample_id, reason, CAST(floor(round((CASE reason WHEN 'real' THEN 1.0::DOUBLE WHEN 'multi_frag' THEN 0.9::DOUBLE WHEN 'semantic_group' THEN 0.7::DOUBLE WHEN 'repeat_risk' THEN 0.6::DOUBLE WHEN 'long_block' THEN 0.5::DOUBLE ELSE 0.4::DOUBLE END + 0.15 * least(1.0, length(m) / 800.0::DOUBLE) + CASE WHEN chrome = 'chrome' THEN 0.15::DOUBLE ELSE 0 END), 4) * 1000 + 1e-6) AS BIGINT) AS score_milli FROM r"""
 
 
@@ -207,10 +250,7 @@ def _reasoned(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(REASONS)
 def candidate_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    """Why a sample is a candidate, and how hard it is; the long ones from the 80th percentile of English lengths on.
-
-    The SQL has the light form of repeat risk only, so it says less where a passage is repeated within lines.
-    """
+    """Why a sample is a candidate, and how hard it is; the long ones from the 80th percentile of English lengths on."""
     d = _reasoned(spark, sf)
     return d.select("sample_id", "reason", C.hard_score(F.col("reason"), F.col("target"), F.lit(1), F.col("chrome"), F.lit(1)).alias("score")).select("sample_id", "reason", F.floor(F.col("score") * 1000 + 1e-6).alias("score_milli"))
 

@@ -10,7 +10,7 @@ from ..functions import html as H
 from ..functions import text as X
 from ..operators import dedup, documents, sampling
 from ..session import spread
-from .base import TURNS, WS, query, strip_sql, t, turns
+from .base import CJK_SQL, TURNS, WS, query, strip_sql, t, turns
 
 
 @query()
@@ -54,18 +54,18 @@ def pair_length_bucket(spark: SparkSession, sf: str) -> DataFrame:
 ZH = "repeat(chr(26032), CAST(floor(length(en) * 0.4) AS INT))"
 
 
-@query(f"WITH {TURNS}, l AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(target, '<[^>]+>', ' ', 'g'), '{WS}+', ' ', 'g')) AS en FROM turns), p AS (SELECT *, CASE WHEN turn % 4 = 3 THEN en ELSE {ZH} END AS zh, length(regexp_replace(en, '[^A-Za-z]', '', 'g')) AS latin FROM l) SELECT conv_id, turn, length(en) BETWEEN 2 AND 520 AND length(zh) BETWEEN 2 AND 700 AND latin >= 2 AND turn % 4 <> 3 AND length(zh) / greatest(length(en), 1)::DOUBLE BETWEEN 0.28 AND 2.6 AND length(en) - length(replace(replace(en, '{{', ''), '}}', '')) <= 4 AS ok FROM p")
+@query(f"WITH {TURNS}, l AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(target, '<[^>]+>', ' ', 'g'), '{WS}+', ' ', 'g')) AS en FROM turns), p AS (SELECT *, CASE WHEN turn % 4 = 3 THEN en ELSE {ZH} END AS zh, length(regexp_replace(en, '[^A-Za-z]', '', 'g')) AS latin, len(regexp_extract_all(en, '{CJK_SQL}')) AS cjk FROM l) SELECT conv_id, turn, length(en) BETWEEN 2 AND 520 AND length(zh) BETWEEN 2 AND 700 AND latin >= 2 AND latin >= 2 * cjk AND NOT contains(lower(en), 'http://') AND NOT contains(lower(en), 'https://') AND turn % 4 <> 3 AND length(zh) / greatest(length(en), 1)::DOUBLE BETWEEN 0.28 AND 2.6 AND length(en) - length(replace(replace(en, '{{', ''), '}}', '')) <= 4 AS ok FROM p")
 def pair_clean(spark: SparkSession, sf: str) -> DataFrame:
     d = turns(spark, sf).select("conv_id", "turn", X.clean_pair_text(F.col("target")).alias("en"))
     zh = F.when(F.col("turn") % 4 == 3, F.col("en")).otherwise(F.expr("repeat('新', cast(floor(length(en) * 0.4) as int))".replace("新", chr(26032))))
     return d.withColumn("zh", zh).select("conv_id", "turn", C.ok_pair(F.col("en"), F.col("zh")).alias("ok"))
 
 
-@query("WITH e AS (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS v FROM events), s AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN v END AS k FROM e) SELECT user_id, count(k) AS n, CAST(min(k) AS DOUBLE) AS low, CAST(max(k) AS DOUBLE) AS high FROM s WHERE k IS NOT NULL GROUP BY user_id")
+@query("WITH s AS (SELECT user_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) SELECT user_id, count(k) AS n, CAST(min(k) AS DOUBLE) AS low, CAST(max(k) AS DOUBLE) AS high FROM s WHERE k IS NOT NULL AND NOT isnan(k) GROUP BY user_id")
 def log_series(spark: SparkSession, sf: str) -> DataFrame:
     """A sparse metric of a log: rows without it, or with what is no number, do not count."""
     v = F.get_json_object("props", "$.k").try_cast("double")
-    d = t(spark, sf, "events").select("user_id", F.when(F.col("event_id") % 3 == 0, v).alias("k")).filter(F.col("k").isNotNull() & ~F.isnan("k"))
+    d = t(spark, sf, "events").select("user_id", v.alias("k")).filter(F.col("k").isNotNull() & ~F.isnan("k"))
     return d.groupBy("user_id").agg(F.count("k").alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))
 
 

@@ -30,9 +30,9 @@ def test_over_extraction(spark):
 def test_chrf(spark):
     pairs = [("你好世界", "你好世界", 1.0), ("", "", 1.0), ("abc", "", 0.0), ("", "abc", 0.0)]
     for h, r, want in pairs:
-        assert X.chrf_of(h, r) == want
-    assert 0 < X.chrf_of("你好世界啊", "你好世界") < 1
-    assert X.chrf_of("the same words", "the same words", word_order=2) == 1
+        assert X.ngram_score(h, r) == want
+    assert 0 < X.ngram_score("你好世界啊", "你好世界") < 1
+    assert X.ngram_score("the same words", "the same words", words=2) == 1
     rows = [(i, h, r) for i, (h, r, _) in enumerate(pairs)] + [(9, "a  quick fox", "a quick dog jumps"), (10, "x", "xyz"), (11, None, "a")]
     d = spark.createDataFrame(rows, "k int, h string, r string")
     a = {r.k: r.s for r in X.chrf_grams(d, "k", "h", "r", "s").collect()}

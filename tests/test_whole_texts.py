@@ -47,7 +47,7 @@ def test_candidate_reasons_see_passages_repeated_within_lines(spark):
 
 
 #: Queries over conversations.
-TURN_QUERIES = "edit_similarity chrf_arrow chrf_grams eval_overall eval_by_bucket eval_grouping_sets reward_one_tag reward_two_tags group_stats group_verdicts signal_gate two_tag_report xml_parse strip_leak output_categories pair_clean pair_length_bucket".split()
+TURN_QUERIES = "edit_similarity chrf_arrow chrf_grams eval_overall eval_by_bucket eval_grouping_sets reward_one_tag reward_two_tags group_stats group_verdicts signal_gate two_tag_report two_tag_overall two_tag_probe xml_parse strip_leak output_categories pair_clean pair_length_bucket".split()
 WORDS = "été à Größe niño señal Привет мир как дела 你好 世界 это тест 😀 naïve ÉCOLE ОЧЕНЬ plain words".split()
 
 
@@ -94,7 +94,7 @@ def test_similarity_leaks_and_tags_of_whole_texts(spark, unicode_turns):
     inner = lambda tag, x: (re.search(f"(?s)<{tag}>(.*?)</{tag}>", x) or [None, ""])[1].strip()
     got = {r.sample_id: (r.n_source, r.n_translation) for r in QUERIES["xml_parse"](spark, folder).collect()}
     assert got == {k: (len(inner("source", x)), len(inner("translation", x))) for k, x in clean.items()}
-    want = {k: pytest.approx(X.chrf_of(inner("translation", x), texts[k]), abs=1e-5) for k, x in clean.items()}
+    want = {k: pytest.approx(X.ngram_score(inner("translation", x), texts[k]), abs=1e-5) for k, x in clean.items()}
     for name in ("chrf_arrow", "chrf_grams"):
         assert {r.sample_id: r.score for r in QUERIES[name](spark, folder).collect()} == want
     positive = [k for k, r in raw.items() if not r.is_negative]
@@ -121,11 +121,14 @@ def ascii_turns(spark, tmp_path_factory):
     return folder
 
 
+@pytest.mark.parametrize("kind", ["ascii_turns", "unicode_turns"])
 @pytest.mark.parametrize("name", TURN_QUERIES)
-def test_ascii_turns_against_sql(spark, ascii_turns, name):
+def test_turns_against_sql(spark, request, kind, name):
+    folder = request.getfixturevalue(kind)
+    folder = folder if isinstance(folder, str) else folder[0]
     con = pytest.importorskip("duckdb").connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{ascii_turns}/conversations.parquet/*.parquet'")
-    d = QUERIES[name](spark, ascii_turns)
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet/*.parquet'")
+    d = QUERIES[name](spark, folder)
     found = con.execute(ORACLE[name])
     at = [[c[0] for c in found.description].index(c) for c in d.columns]
     key = lambda r: [(x is None, str(type(x)), x if x is not None else 0) for x in r]
