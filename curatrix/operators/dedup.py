@@ -29,15 +29,18 @@ def capped_sources(df: DataFrame, key: str, source: str, source_order: str, line
 
 
 def hamming_pairs(df: DataFrame, key: str, bits: str, most: int, width: int = 64) -> DataFrame:
-    """Pairs (a < b) within `most` bits, d bits apart: rows that share one of most + 1 bit blocks are compared, which misses none."""
+    """Pairs (a < b) within `most` bits, d bits apart: rows that share one of most + 1 bit blocks are compared, which misses none; a pair is found at the first block that it shares. For small radii: blocks of few bits select little."""
     n = most + 1
     edges = [round(i * width / n) for i in range(n + 1)]
-    blocks = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(bits, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("v")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
+    masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:], strict=False)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    blocks = F.array(*[F.struct(F.lit(i).alias("i"), F.col(bits).bitwiseAND(F.lit(m).cast("long")).alias("v")) for i, m in enumerate(signed)])
     e = df.select(key, bits, F.explode(blocks).alias("k")).select(key, bits, "k.i", "k.v")
     a, b = e.alias("a"), e.alias("b")
-    d = F.bit_count(F.col(f"a.{bits}").bitwiseXOR(F.col(f"b.{bits}")))
-    j = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.v") == F.col("b.v")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (d <= most))
-    return j.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), d.alias("d")).distinct()
+    x = F.col(f"a.{bits}").bitwiseXOR(F.col(f"b.{bits}"))
+    shared = F.coalesce(*[F.when(x.bitwiseAND(F.lit(m).cast("long")) == 0, i) for i, m in enumerate(signed)])
+    j = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.v") == F.col("b.v")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.bit_count(x) <= most) & (shared == F.col("a.i")))
+    return j.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), F.bit_count(x).alias("d"))
 
 
 def sign_bits(vector: Column, width: int = 64) -> Column:

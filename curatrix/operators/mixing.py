@@ -20,44 +20,65 @@ def proportional(df: DataFrame, key: str, seed: int, out: str = "ord") -> DataFr
 
 
 def longest_runs(df: DataFrame, run: list[str], order: str, parts: list[str] | None = None) -> DataFrame:
-    """The longest run of rows, in order, with equal values of `run`; of each part, by gaps and islands. Of a large table without parts: longest_run."""
-    parts = parts or []
-    all_rows, own = Window.partitionBy(*parts).orderBy(order), Window.partitionBy(*parts, *run).orderBy(order)
-    d = df.withColumn("__island", F.row_number().over(all_rows) - F.row_number().over(own))
-    runs = d.groupBy(*parts, *run, "__island").agg(F.count(F.lit(1)).alias("n"))
-    return runs.groupBy(*parts).agg(F.max("n").alias("max_run"))
-
+    """max_run: the longest run of rows, in order, with equal values of `run`; of each part.
 
-def longest_run(df: DataFrame, run: str, order: str) -> DataFrame:
-    """max_run of the whole table: ranges of the order are scanned side by side, and their first, last and longest runs, a row a range, stitched."""
+    Ranges of parts and order are scanned side by side; of a part that reaches over several ranges their first, last and
+    longest runs, a row a range, are stitched. So no task holds a whole part.
+    """
+    parts = parts or []
 
     def scan(batches):
         import pandas as pd
         from pyspark import TaskContext
 
-        runs: list[list] = []  # of [value, length]: the first, the longest yet closed, the open one
-        first, longest, value, n = None, 0, None, 0
+        at, rows, part, first, most, value, n = TaskContext.get().partitionId(), [], None, None, 0, None, 0
+
+        def closed() -> list:
+            return [*part, at, (first or [value, n])[0], (first or [value, n])[1], value, n, max(most, n), first is None]
+
         for pdf in batches:
-            for v in pdf[run]:
-                v = None if pd.isna(v) else str(v)
-                if n and v == value:
+            for *own, v in zip(*(pdf[c] for c in (*parts, "__v")), strict=True):
+                if own != part or not n:
+                    if n:
+                        rows.append(closed())
+                    part, first, most, value, n = own, None, 0, v, 1
+                elif v == value:
                     n += 1
-                    continue
-                if n:
-                    first, longest = first or [value, n], max(longest, n)
-                value, n = v, 1
+                else:
+                    first, most, value, n = first or [value, n], max(most, n), v, 1
+            yield pd.DataFrame(rows, columns=names)
+            rows = []
         if n:
-            one = first is None
-            runs = [[TaskContext.get().partitionId(), (first or [value, n])[0], (first or [value, n])[1], value, n, max(longest, n), one]]
-        yield pd.DataFrame(runs, columns=["p", "a", "a_n", "z", "z_n", "most", "one"])
-
-    d = df.select(F.col(run).cast("string").alias(run), order).repartitionByRange(order).sortWithinPartitions(order).select(run)
-    most, value, n = 0, None, 0
-    for r in sorted(d.mapInPandas(scan, "p int, a string, a_n long, z string, z_n long, most long, one boolean").collect()):  # a row a range
-        joined = r.a_n + (n if n and r.a == value else 0)
-        most = max(most, joined, r.most)
-        value, n = r.z, joined if r.one else r.z_n
-    return df.sparkSession.createDataFrame([(most,)], "max_run long")
+            yield pd.DataFrame([closed()], columns=names)
+
+    def stitch(pdf):
+        import pandas as pd
+
+        best, value, n = 0, None, 0
+        for r in pdf.sort_values("__at").itertuples():
+            joined = r.a_n + (n if n and r.a == value else 0)
+            best = max(best, joined, r.most)
+            value, n = r.z, joined if r.one else r.z_n
+        return pd.DataFrame([[*(pdf[c].iloc[0] for c in parts), best]], columns=[*parts, "max_run"])
+
+    names = [*parts, "__at", "a", "a_n", "z", "z_n", "most", "one"]
+    kinds = dict(df.dtypes)
+    keys = [f"{c} string" for c in parts]
+    text = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(c) for c in parts]  # as text, so that nulls are values like others
+    v = F.to_json(F.struct(*run)).alias("__v")
+    d = df.select(*text, v, F.col(order).alias("__o"))
+    d = d.repartitionByRange(*parts, "__o").sortWithinPartitions(*parts, "__o").drop("__o")
+    found = d.mapInPandas(scan, ", ".join([*keys, "__at int, a string, a_n long, z string, z_n long, most long, one boolean"]))
+    if not parts:
+        found = found.withColumn("__all", F.lit(""))
+        parts, keys = ["__all"], ["__all string"]
+    out = found.groupBy(*parts).applyInPandas(stitch, ", ".join([*keys, "max_run long"]))
+    return out.select(*[F.when(F.col(c) != "", F.substring(F.col(c), F.lit(2), F.length(c))).cast(kinds[c]).alias(c) for c in parts if c in kinds], "max_run")
+
+
+def longest_run(df: DataFrame, run: str, order: str) -> DataFrame:
+    """max_run of the whole table."""
+    return longest_runs(df, [run], order).agg(F.coalesce(F.max("max_run"), F.lit(0).cast("long")).alias("max_run"))
 
 
 def mix_summary(df: DataFrame, sets: list[list[str]]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Reproducible samples: each is a ranking by hash within a bucket, cut at the bucket's quota.
 
-A rank below a literal or joined quota lets Spark keep only the first rows of each bucket before the shuffle.
+Counts of hash slices tell which rows can be within a quota, whatever its size, so only those are shuffled and ranked.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import hkey
 from .quota import as_table, largest_remainder
-from .ranking import hash_rank
+from .ranking import cut_by_hash, hash_rank
 
 
 # Fixed values of candidate_pool: page caps, the share of one template, near hashes, and the overflow of a reason.
@@ -25,9 +25,8 @@ def top_by(df: DataFrame, bucket: list[str], order: list[Column], n: int) -> Dat
 def quota_sample(df: DataFrame, bucket: str, counts: dict[str, int], key: str, seed: int) -> DataFrame:
     """counts[b] rows of each bucket b, or all it has."""
     q = F.broadcast(as_table(df.sparkSession, counts, bucket).drop("position"))  # plan parameters
-    most = max(counts.values(), default=0)
-    ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(bucket).orderBy(hkey(seed, key), key))).filter(F.col("__rn") <= most)
-    return ranked.join(q, bucket).filter(F.col("__rn") <= F.col("quota")).drop("__rn", "quota")
+    few = cut_by_hash(df, bucket, q.withColumnRenamed("quota", "limit"), key, seed)
+    return hash_rank(few, [bucket], key, seed, "__rn").join(q, bucket).filter(F.col("__rn") <= F.col("quota")).drop("__rn", "quota")
 
 
 def mixed_sample(df: DataFrame, bucket: str, mix: dict[str, float], n: int, key: str, seed: int) -> DataFrame:
@@ -38,11 +37,14 @@ def boosted_sample(df: DataFrame, stem: str, boost: list[str], share: float, n:
     """round(n share) rows of the boosted stems, dealt evenly over them and topped up among them, the others from the rest."""
     want = round(n * share)
     each = largest_remainder({s: 1.0 for s in boost}, want)
-    q = F.broadcast(as_table(df.sparkSession, each, stem).drop("position"))
-    d = df.join(q, stem, "left").withColumn("__boost", F.col("quota").isNotNull())
-    d = d.withColumn("__in", F.row_number().over(Window.partitionBy(stem).orderBy(hkey(seed, key), key)) <= F.coalesce("quota", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("__boost").orderBy(F.desc("__in"), hkey(seed, key), key))
-    return d.withColumn("__rn", rank).filter(F.col("__rn") <= F.when(F.col("__boost"), want).otherwise(n - want)).drop("__boost", "__in", "__rn", "quota")
+    # No more than `want` rows of a boosted stem, and n - want of all others together, can be chosen.
+    d = df.withColumn("__g", F.when(F.col(stem).isin(boost), F.concat(F.lit("="), stem)).otherwise(""))
+    limits = df.sparkSession.createDataFrame([("", n - want), *[(f"={s}", want) for s in boost]], "__g string, limit int")
+    d = hash_rank(cut_by_hash(d, "__g", limits, key, seed), ["__g"], key, seed, "__i")
+    q = F.broadcast(df.sparkSession.createDataFrame([(f"={s}", k) for s, k in each.items()], "__g string, quota int"))
+    d = d.join(q, "__g", "left").withColumn("__boost", F.col("quota").isNotNull()).withColumn("__in", F.col("__i") <= F.coalesce("quota", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("__boost").orderBy(F.desc("__in"), hkey(seed, key), key))  # of the rows that are left, a few n
+    return d.withColumn("__rn", rank).filter(F.col("__rn") <= F.when(F.col("__boost"), want).otherwise(n - want)).drop("__g", "__i", "__boost", "__in", "__rn", "quota")
 
 
 def unique_page_first(df: DataFrame, page: str, n: int, key: str, seed: int) -> DataFrame:
@@ -90,15 +92,18 @@ def preferred_or_looser(df: DataFrame, preferred: Column, looser: Column, n: int
 def capped_greedy(df: DataFrame, bucket: str, order: list[tuple[str, bool]], n: int, page: str, page_cap: int, template: str, template_cap: int, tertile: str, schema: str) -> DataFrame:
     """Of each bucket up to n rows in the given order (name, ascending), under caps by page, template and tertile that a rejected row does not use up.
 
-    The caps depend on each other, so a bucket goes through one loop, with narrow rows: give it keys and what ranks them.
-    Of a bucket's rows that share page, template and tertile no more than page_cap can be chosen, the first ones in order,
-    so no more reach the loop.
+    The caps depend on each other, so a bucket goes through one loop, over as many rows as n and the caps allow, whatever
+    the bucket's size. A row is taken if nothing before it that shares template and tertile could be but is not: those
+    before it are taken (n at most) or on full pages (n / page_cap pages at most, with page_cap rows each that get here).
+    So of template and tertile the first 2 n + 1 suffice; and of a tertile 2 n + 1 and those of full templates.
     """
     import pandas as pd
 
     by = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
     rank = F.row_number().over(Window.partitionBy(bucket, page, template, tertile).orderBy(*by))
-    few = df.withColumn("__p", rank).filter(F.col("__p") <= page_cap)
+    few = df.withColumn("__p", rank).filter(F.col("__p") <= page_cap).drop("__p")
+    few = top_by(few, [bucket, template, tertile], by, 2 * n + 1)
+    few = top_by(few, [bucket, tertile], by, (2 * n + 1) * (2 + n // max(template_cap, 1)))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([c for c, _ in order], ascending=[up for _, up in order], kind="stable").reset_index(drop=True)
@@ -114,7 +119,7 @@ def capped_greedy(df: DataFrame, bucket: str, order: list[tuple[str, bool]], n:
                     continue
                 taken.add(i)
                 pages[p], templates[t], tertiles[k] = pages.get(p, 0) + 1, templates.get(t, 0) + 1, tertiles.get(k, 0) + 1
-        return pdf.iloc[sorted(taken)].drop(columns="__p")
+        return pdf.iloc[sorted(taken)]
 
     return few.groupBy(bucket).applyInPandas(pick, schema)
 

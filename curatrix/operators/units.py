@@ -56,15 +56,32 @@ def clusters(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("page_id").applyInPandas(run, "page_id string, id string, cluster string")
 
 
+#: Side of the cells by which boxes of a page meet.
+CELL = 256
+
+
+def in_cells(df: DataFrame, b: str = "b", pad: float = 0.0, cell: int = CELL) -> DataFrame:
+    """df with a row (cx, cy) for each cell of the page that its box, wider by pad on all sides, touches."""
+    span = lambda lo, hi: F.sequence(F.floor((F.col(f"{b}.{lo}") - pad) / cell), F.greatest(F.floor((F.col(f"{b}.{lo}") - pad) / cell), F.floor((F.col(f"{b}.{hi}") + pad) / cell)))
+    return df.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
+
+
 def boundary_pairs(boxes: DataFrame, most: float = G.FACING_GAP) -> DataFrame:
-    """Pairs of boxes (page_id, id, b) of a page that face each other within `most` pixels, with the strip between. A page is one screen, so its pairs are few."""
-    a = boxes.select("page_id", F.col("id").alias("i"), F.col("b").alias("a"))
-    b = boxes.select("page_id", F.col("id").alias("j"), "b")
-    j = a.join(b, "page_id").filter(F.col("i") < F.col("j"))
+    """Pairs of boxes (page_id, id, b) of a page that face each other within `most` pixels, with the strip between. Only boxes that share a cell are compared, each pair in its first one, so a page of many boxes is no whole join."""
+    a = in_cells(boxes.select("page_id", F.col("id").alias("i"), F.col("b").alias("a")), "a", most)
+    b = in_cells(boxes.select("page_id", F.col("id").alias("j"), "b"), "b")
+    first = lambda side: F.greatest(F.floor((F.col(f"a.{side}") - most) / CELL), F.floor(F.col(f"b.{side}") / CELL))
+    j = a.join(b, ["page_id", "cx", "cy"]).filter((F.col("i") < F.col("j")) & (F.col("cx") == first("x0")) & (F.col("cy") == first("y0")))
     gap = G.facing_gap(F.col("a"), F.col("b"))
     return j.withColumn("gap", gap).filter(F.col("gap") <= most).select("page_id", "i", "j", "gap", G.gap_strip(F.col("a"), F.col("b")).alias("strip"))
 
 
+def boxes_at(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """points (page_id, x, y and others) with each box b of the page whose cell they are in; null for none."""
+    at = points.withColumn("cx", F.floor(F.col("x") / CELL)).withColumn("cy", F.floor(F.col("y") / CELL))
+    return at.join(in_cells(boxes.select("page_id", "b")), ["page_id", "cx", "cy"], "left").drop("cx", "cy")
+
+
 def sampled_points(boxes: DataFrame, per_box: int, seed: int, share: float = G.INNER_SHARE) -> DataFrame:
     """per_box points uniform in the inner part of each box, with their region: no rejection is needed."""
     d = boxes.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(per_box)))).withColumn("inner", G.inner_area(F.col("b"), share))

@@ -139,11 +139,11 @@ def baseline_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return probe.agreement(of(0), of(1), "user_id", "v")
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS d FROM (SELECT vec_id, CAST(list_sum(list_transform(range(0, 63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS HUGEINT) << CAST(i AS INT) ELSE 0 END)) AS BIGINT) AS h FROM embeddings) a JOIN (SELECT vec_id, CAST(list_sum(list_transform(range(0, 63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS HUGEINT) << CAST(i AS INT) ELSE 0 END)) AS BIGINT) AS h FROM embeddings) b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 16")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.h, b.h)) AS INT) AS d FROM (SELECT vec_id, CAST(list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS HUGEINT) << CAST(i AS INT) ELSE 0 END)) AS UBIGINT) AS h FROM embeddings) a JOIN (SELECT vec_id, CAST(list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS HUGEINT) << CAST(i AS INT) ELSE 0 END)) AS UBIGINT) AS h FROM embeddings) b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 16")
 def near_dup_hamming(spark: SparkSession, sf: str) -> DataFrame:
-    """Sign bits of the first 63 elements, pairs within 16 bits."""
-    d = t(spark, sf, "embeddings").select("vec_id", dedup.sign_bits(F.col("embedding"), 63).alias("h"))
-    return dedup.hamming_pairs(d, "vec_id", "h", 16, 63)
+    """Sign bits of the 64 elements, pairs within 16 bits."""
+    d = t(spark, sf, "embeddings").select("vec_id", dedup.sign_bits(F.col("embedding")).alias("h"))
+    return dedup.hamming_pairs(d, "vec_id", "h", 16)
 
 
 @query(f"WITH {SAMPLES}, s AS (SELECT *, row_number() OVER (PARTITION BY pool_id IN ('en', 'fr') ORDER BY {key_sql(17, 'sample_id')}, sample_id) AS rn, count(*) OVER (PARTITION BY pool_id IN ('en', 'fr')) AS n FROM samples) SELECT sample_id, CASE WHEN pool_id IN ('en', 'fr') AND rn <= round_even(n * 0.4, 0) THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS scale FROM s")

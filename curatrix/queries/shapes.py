@@ -60,7 +60,7 @@ def occupancy_union(spark: SparkSession, sf: str) -> DataFrame:
 def point_in_rect(spark: SparkSession, sf: str) -> DataFrame:
     d = boxes(spark, sf)
     q = d.select("page_id", F.col("id").alias("q"), (huniform("px", "id") * 1200).alias("x"), (huniform("py", "id") * 720).alias("y"))
-    j = q.join(d.select("page_id", "b"), "page_id")
+    j = units.boxes_at(q, d)
     return j.groupBy(F.col("q").alias("id")).agg(F.count_if(G.inside(F.col("b"), F.col("x"), F.col("y"))).alias("closed"), F.count_if(G.contains(F.col("b"), F.col("x"), F.col("y"))).alias("half_open"))
 
 

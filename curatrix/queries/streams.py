@@ -19,7 +19,7 @@ def stream_rolling_summary(spark: SparkSession, sf: str) -> DataFrame:
     """A rolling summary of an append-only source, after its last batch."""
     folder = shared_folder(spark, "summary")
     resume.rolling_summary(_events(spark, sf), "event_type", "value", "event_id", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").withColumn("mean", F.round("mean", 6))
+    return resume.latest_summary(spark, f"{folder}/out").withColumn("mean", F.round("mean", 6))
 
 
 @query("SELECT user_id, min(event_id) > -1 AS done FROM events GROUP BY user_id")
@@ -29,4 +29,4 @@ def stream_resumed_work(spark: SparkSession, sf: str) -> DataFrame:
     for k in range(2):
         keys = _events(spark, sf).select("user_id", "event_id")
         resume.pending_batch(keys, f"{folder}/done", "user_id", lambda d: d.select("user_id", (F.col("event_id") > -1).alias("done")), f"{folder}/checkpoint{k}").awaitTermination()
-    return spark.read.parquet(f"{folder}/done")
+    return spark.read.parquet(f"{folder}/done").drop("part")

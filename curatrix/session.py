@@ -46,12 +46,14 @@ def spread(df):
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir; a temporary one only where that is unset. It goes when the application ends."""
+    """A new folder that driver and executors share, under spark.checkpoint.dir; a temporary one where that is unset and all runs in this process. It goes when the application ends."""
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="curatrix-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"

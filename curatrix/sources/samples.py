@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MESSAGES = "messages ARRAY<STRUCT<role STRING, content STRING>>, images ARRAY<STRING>"
 METADATA = (
@@ -48,13 +47,17 @@ def read_page_blocks(spark: SparkSession, pattern: str) -> DataFrame:
     return d.withColumn("page_id", F.regexp_replace(name, r"\.blocks\.json$", "")).withColumn("rects", kept).filter("id IS NOT NULL")
 
 
-def read_bitext(spark: SparkSession, left: str, right: str, n_partitions: int | None = None) -> DataFrame:
-    """Two files of parallel lines: line, en, zh. Lines are numbered by file offset order, without a single task."""
-    def side(path: str, name: str) -> DataFrame:
-        rows = spark.read.text(path).rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
-        return spark.createDataFrame(rows, T.StructType([T.StructField("line", T.LongType()), T.StructField(name, T.StringType())]))
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line (from 0) and value of a text file, or of several one after another in order of their names. A block's lines are counted, and the counts before it are its offset, so no task reads all."""
+    d = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")).withColumn("m", F.monotonically_increasing_id())
+    blocks = d.groupBy("f", "b").agg(F.min("m").alias("lo"), F.count(F.lit(1)).alias("n"))  # a row a block of a file
+    blocks = blocks.withColumn("before", F.sum("n").over(Window.orderBy("f", "b")) - F.col("n")).drop("n")
+    return d.join(blocks, ["f", "b"]).select((F.col("before") + F.col("m") - F.col("lo")).alias("line"), "value")
 
-    return side(left, "en").join(side(right, "zh"), "line")
+
+def read_bitext(spark: SparkSession, left: str, right: str) -> DataFrame:
+    """Two files of parallel lines: line, en, zh."""
+    return numbered_lines(spark, left).withColumnRenamed("value", "en").join(numbered_lines(spark, right).withColumnRenamed("value", "zh"), "line")
 
 
 def target_text(df: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.operators import dedup, mixing, sampling
+from curatrix.functions.keys import hkey
+from curatrix.operators import dedup, mixing, ranking, sampling
 from curatrix.plans import recipe, stage
 
 
@@ -108,3 +110,77 @@ def test_recipe_to_split(spark):
     for bad in ({}, {"mix": {"a": 1}, "chrome": {"x": 0.5}}, {"mix": {"a": 1}, "stem_boost": {"a": {"stems": [], "frac": 1}}}, {"mix": {"a": 1}, "stem_boost": {"a": {"stems": ["x"], "frac": 1.5}}}):
         with pytest.raises(ValueError):
             recipe.parse(bad)
+
+
+def _rows(spark, n):
+    return spark.range(n).select(F.col("id"), (F.col("id") % 3).cast("string").alias("b"), F.concat(F.lit("p"), (F.col("id") % 50).cast("string")).alias("page"), (F.col("id") % 4).cast("string").alias("tpl"), (F.col("id") % 5 % 3).cast("int").alias("ter"), ((F.col("id") * 7919) % 10007).alias("score")).repartition(6)
+
+
+def test_quota_of_thousands_shuffles_only_what_may_be_chosen(spark):
+    """The real quotas are beyond the limit up to which Spark cuts windows before a shuffle."""
+    d = _rows(spark, 60_000)
+    few = ranking.cut_by_hash(d, "b", spark.createDataFrame([("0", 7500), ("1", 30)], "b string, limit int"), "id", 5)
+    sizes = {r.b: r["count"] for r in few.groupBy("b").count().collect()}
+    assert set(sizes) == {"0", "1"} and 7500 <= sizes["0"] < 7600 and 30 <= sizes["1"] < 80
+    got = sampling.quota_sample(d, "b", {"0": 7500, "1": 30, "none": 4}, "id", 5)
+    order = {r.id: r.h for r in d.select("id", hkey(5, "id").alias("h")).collect()}
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.b, set()).add(r.id)
+    for b, n in (("0", 7500), ("1", 30)):
+        want = sorted((i for i in order if str(i % 3) == b), key=lambda i: (order[i], i))[:n]
+        assert by[b] == set(want)
+
+
+@pytest.mark.parametrize("digits", [1, 2, 4])
+def test_ranks_do_not_depend_on_the_number_of_slices(spark, monkeypatch, digits):
+    monkeypatch.setattr(ranking, "digits_for", lambda df: digits)
+    d = _rows(spark, 2000)
+    got = {r.id: (r.rn, r.n) for r in ranking.hash_rank(d, ["b"], "id", 1, "rn", "n").collect()}
+    order = {r.id: r.h for r in d.select("id", hkey(1, "id").alias("h")).collect()}
+    for b in range(3):
+        own = sorted((i for i in order if i % 3 == b), key=lambda i: (order[i], i))
+        assert [got[i] for i in own] == [(k + 1, len(own)) for k in range(len(own))]
+
+
+@pytest.mark.parametrize("few", [10, 100_000])
+def test_places_are_exact_however_often_the_bracket_is_narrowed(spark, monkeypatch, few):
+    monkeypatch.setattr(ranking, "FEW", few)
+    for values in ([(i * 7919) % 10_007 for i in range(9000)], [5] * 3000 + [*range(3000)], [1.5, None, 1.5], list(range(40))):
+        d = spark.createDataFrame([(v,) for v in values], "v double" if 1.5 in values else "v long")
+        own = sorted(v for v in values if v is not None)
+        r = ranking.nearest_rank(d, "v", {"a": 0.0, "b": 1 / 3, "c": 0.8, "d": 1.0}).first()
+        assert tuple(r) == tuple(own[min(len(own) - 1, int(s * len(own) + 1e-9))] for s in (0.0, 1 / 3, 0.8, 1.0))
+
+
+def test_capped_greedy_against_a_loop_over_all_rows(spark):
+    d = _rows(spark, 3000)
+    rows = sorted(d.collect(), key=lambda r: (-r.score, r.id))
+    for n, page_cap, template_cap in ((40, 2, 14), (12, 1, 5), (7, 3, 2)):
+        got = {r.id for r in sampling.capped_greedy(d, "b", [("score", False), ("id", True)], n, "page", page_cap, "tpl", template_cap, "ter", "id long, b string, page string, tpl string, ter int, score long").collect()}
+        want = set()
+        for b in "012":
+            taken, pages, tpls, ters = [], {}, {}, {}
+            for limit in (-(-n // 3), -(-n // 3) + 1, 10**9):
+                for r in rows:
+                    if r.b == b and r not in taken and len(taken) < n and pages.get(r.page, 0) < page_cap and tpls.get(r.tpl, 0) < template_cap and ters.get(r.ter, 0) < limit:
+                        taken.append(r)
+                        pages[r.page], tpls[r.tpl], ters[r.ter] = pages.get(r.page, 0) + 1, tpls.get(r.tpl, 0) + 1, ters.get(r.ter, 0) + 1
+            want |= {r.id for r in taken}
+        assert got == want
+
+
+def test_longest_runs_of_parts_over_many_ranges(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["x", "y", None]), i, rng.choice(["a", "a", "b", None])) for i in range(500)] + [("z", 1000 + i, "c") for i in range(300)]
+    d = spark.createDataFrame(rows, "p string, o long, k string").repartition(5)
+    want = {}
+    for p in {r[0] for r in rows}:
+        best = n = 0
+        last = object()
+        for _, _, k in sorted((r for r in rows if r[0] == p), key=lambda r: r[1]):
+            n, last = (n + 1 if k == last else 1), k
+            best = max(best, n)
+        want[p] = best
+    assert {r.p: r.max_run for r in mixing.longest_runs(d, ["k"], "o", ["p"]).collect()} == want
+    assert want["z"] == 300
