@@ -209,6 +209,15 @@ def within_target(pred: Column, gt: Column, least: int = 12) -> Column:
     return (F.length(p) >= least) & F.contains(g, p)
 
 
+def skipped_slot(kind: Column, latex: Column) -> Column:
+    """Slots that are not filled with text."""
+    return kind.isin("formula", "image", "chart") | (F.coalesce(latex, F.lit("")) != "")
+
+
+def is_real(pool: Column) -> Column:
+    return F.coalesce(pool == "real_labeled", F.lit(False))
+
+
 def is_desktop_shell(stem: Column) -> Column:
     return F.coalesce(stem.rlike("^(?:" + "|".join(DESKTOP) + ")"), F.lit(False))
 
@@ -247,7 +256,7 @@ def convention(answers: Column, under_top: Column, under_bottom: Column) -> Colu
 
 def area_fraction(explicit: Column, scale: Column, drawn: Column, base: float = 0.005) -> Column:
     """The explicit share, else that of the older scale, else the draw."""
-    return F.coalesce(explicit, base * F.greatest(F.lit(0.05), scale), drawn)
+    return F.coalesce(explicit, F.when(scale.isNotNull(), base * F.greatest(F.lit(0.05), scale)), drawn)
 
 
 def polymorphic_text(column: str) -> Column:

@@ -55,6 +55,17 @@ def center_band(b: Column, half: float) -> Column:
     return box(cx - width(b) * h, cy - height(b) * h, cx + width(b) * h, cy + height(b) * h)
 
 
+def clamped_point(b: Column, x: Column, y: Column, inset: float = 1.0) -> Column:
+    """struct(x, y): the point moved into the box, `inset` from its sides; a box too small for that has its first corner and the inset."""
+    side = lambda v, lo, hi: F.least(F.greatest(v, b[lo] + inset), F.greatest(b[lo] + inset, b[hi] - inset))
+    return F.struct(side(x, "x0", "x1").alias("x"), side(y, "y0", "y1").alias("y"))
+
+
+def area_ratio(b: Column, w: Column, h: Column) -> Column:
+    """Null without a box or a page."""
+    return F.try_divide(area(b), w * h)
+
+
 def overlap(a: Column, b: Column, axis: str) -> Column:
     return F.least(a[f"{axis}1"], b[f"{axis}1"]) - F.greatest(a[f"{axis}0"], b[f"{axis}0"])
 
@@ -134,6 +145,22 @@ def marker_half(w: Column, h: Column, share: float = MARKER_SHARE) -> Column:
     return F.greatest(F.lit(6.0), F.bround(F.sqrt(w * h * share / 2)))
 
 
+# The marker's opacity at any size; the short side that a dot is made for, and the bounds of its scale.
+MARKER_OPACITY, DOT_SIDE, DOT_SCALE = 255, 1080.0, (0.55, 1.7)
+
+
+def dot_scale(w: Column, h: Column) -> Column:
+    """By how much a dot grows with the short side of its image."""
+    low, high = DOT_SCALE
+    return F.greatest(F.lit(low), F.least(F.lit(high), F.least(F.greatest(w, F.lit(1.0)), F.greatest(h, F.lit(1.0))) / DOT_SIDE))
+
+
+def marker_fits(w: Column, h: Column, share: float = MARKER_SHARE, least: float = 24.0) -> Column:
+    """Whether a marker of its share of the image is at least so wide, and no wider than the image."""
+    side = 2 * marker_half(w, h, share)
+    return (side >= least) & (side <= F.least(w, h))
+
+
 def area_share_for_scale(scale: Column) -> Column:
     return MARKER_SHARE * F.greatest(F.lit(0.05), scale)
 

@@ -140,6 +140,27 @@ def two_tags(raw: Column, gt: Column, negative: Column, score: Column, w: TwoTag
     return X.bind(X.bind(X.strip_format_leak(raw), terms), lambda t: _with_total(t, w))
 
 
+def paired(completions: Column, targets: Column, flags: Column | None = None) -> Column:
+    """array<struct<prediction, target, negative>> of arrays of texts, as long as the shorter of completions and targets; predictions are cleaned.
+
+    flags: an array of texts, of which missing ones are false and those too many are left out; without it, or where it is
+    null, a blank target makes a negative. A scalar target or flag is given as F.array_repeat of it.
+    """
+    n = F.least(F.size(completions), F.size(targets))
+    given = F.lit(None).cast("array<string>") if flags is None else flags
+    one = lambda i: F.struct(
+        X.strip_format_leak(F.get(completions, i)).alias("prediction"),
+        F.coalesce(F.get(targets, i), F.lit("")).alias("target"),
+        F.when(given.isNull(), X.is_blank(F.get(targets, i))).otherwise(as_bool(F.get(given, i))).alias("negative"),
+    )
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<struct<prediction: string, target: string, negative: boolean>>"))
+
+
+def reward_set(name: str):
+    """A set of rewards by its name, of any case: the first set for one that is not known."""
+    return {"q1v2": one_tag, "q2": two_tags}.get(name.lower(), legacy)
+
+
 def verdict(mean: Column, std: Column, n_unique: Column, least_std: float = 0.04, saturated: float = 0.92, floor: float = 0.20) -> Column:
     """Whether a group of rollouts still teaches something."""
     return F.when((std >= least_std) & (n_unique >= 2), "signal").when(mean >= saturated, "saturated").when(mean <= floor, "collapsed").otherwise("flat")

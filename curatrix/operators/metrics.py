@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import classify as C
 from ..functions import text as X
 
 
@@ -54,6 +55,21 @@ def report_sets(df: DataFrame, sets: list[list[str]], hit_at: float = 0.85) -> D
     return d.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in names]).agg(F.grouping_id().alias("gid"), *report_columns(hit_at))
 
 
+def row_scores(df: DataFrame, hit_at: float = 0.85, related_at: float = 0.5) -> DataFrame:
+    """Adds to (target, prediction) what a probe asks of each row."""
+    p, g = F.col("prediction"), F.col("target")
+    d = df.withColumns({"__sim": X.edit_similarity(p, g), "pred_empty": X.is_blank(p), "gt_empty": X.is_blank(g), "furniture": C.is_furniture(p) & ~X.is_blank(g), "in_gt": C.within_target(p, g)})
+    return d.withColumns({"sim": F.round("__sim", 4), "hit": F.col("__sim") >= hit_at, "related": F.col("__sim") >= related_at}).drop("__sim")
+
+
+def score_rates(scored: DataFrame, *by: str) -> DataFrame:
+    """Of row_scores with is_negative: rates to four places, null where a class is empty."""
+    neg = F.coalesce("is_negative", F.lit(False)) | F.col("gt_empty")
+    share = lambda c, of=None: F.round(F.avg((c if of is None else F.when(of, c)).cast("int")), 4)
+    columns = [F.count(F.lit(1)).alias("n"), share(F.col("hit")).alias("hit_rate"), share(F.col("hit"), ~neg).alias("hit_rate_pos"), share(F.col("pred_empty"), neg).alias("empty_rate_neg")]
+    return scored.groupBy(*by).agg(*columns) if by else scored.agg(*columns)
+
+
 def two_tag_examples(df: DataFrame) -> DataFrame:
     """Adds p and g, the parsed prediction and target, and the classes of rows."""
     d = df.withColumn("p", X.parse_target(F.col("prediction"))).withColumn("g", X.parse_target(F.col("target")))
