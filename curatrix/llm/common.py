@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
+    from collections.abc import Iterator
+
+    import pyarrow as pa
     from pyarrow.fs import FileSystem
 
 #: A key of over 1 / HOT of all rows is joined by broadcast: there are fewer than HOT of them.
@@ -80,6 +83,13 @@ def drop_written(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, for work that takes much more memory than its input."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo folds; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % folds

@@ -33,11 +33,13 @@ PREFIX = 4
 SLOTS = 1 << 18
 #: Chi-square of a term that tells: p is 1.2e-7, so that of SLOTS terms without meaning 0.03 are taken.
 TELLS = 28.0
-WINDOW, PAIRS = 8, 1 << 22
+WINDOW, PAIRS = 8, 1 << 20
 #: The bound of the labelled rows that train.
 TRAIN = 20_000
 FACTORS, STEPS, BATCH, RATE, DECAY = 8, 500, 1024, 0.02, 1e-3
 MEMO = 500_000
+#: Rows that a task works on at once.
+ROWS = 256
 _WORD = re.compile(r"\w+")
 
 
@@ -105,12 +107,12 @@ def _terms(docs: DataFrame) -> DataFrame:
     """y, terms (distinct hashed slots), words (slots of the words in order) of docs(text, y)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.sliced(batches, ROWS):
             sets, words = [], []
             for t in b.column(0):
                 text = t.as_py() or ""
-                sets.append(sorted({s for p in {*text.split()} for s in slots_of(p)}))
-                words.append([crc32(w.encode("utf-8", "surrogatepass")) % SLOTS for w in _WORD.findall(text.lower())])
+                sets.append(np.unique(np.fromiter((s for p in {*text.split()} for s in slots_of(p)), np.int32)))
+                words.append(np.fromiter((crc32(m[0].encode("utf-8", "surrogatepass")) % SLOTS for m in _WORD.finditer(text.lower())), np.int32))
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sets, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32()))], ["y", "terms", "words"])
 
     return docs.select("text", "y").mapInArrow(run, "y int, terms array<int>, words array<int>")
@@ -124,54 +126,60 @@ def _telling(by: DataFrame, n1: int, n0: int) -> DataFrame:
 
 
 def near_pairs(words: np.ndarray) -> np.ndarray:
-    """Distinct pairs (lesser * SLOTS + greater) of different slots within WINDOW words."""
-    w = words.astype(np.int64)
-    found = [np.minimum(x, y) * SLOTS + np.maximum(x, y) for k in range(1, WINDOW + 1) for x, y in [(w[:-k], w[k:])]]
-    found = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return found[found // SLOTS != found % SLOTS]
+    """Pairs (lesser * SLOTS + greater) of different slots within WINDOW words, as often as they stand there; a negative slot is in none."""
+    found = [np.zeros(0, np.int64)]
+    for k in range(1, WINDOW + 1):
+        x, y = words[:-k], words[k:]
+        keep = (x != y) & (x >= 0) & (y >= 0)
+        x, y = x[keep], y[keep]
+        found.append(np.minimum(x, y) * SLOTS + np.maximum(x, y))
+    return np.concatenate(found)
 
 
 def place_of(pairs: np.ndarray) -> np.ndarray:
-    return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64) % PAIRS
+    return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64) % PAIRS
 
 
 def _pair_slots(terms: DataFrame, known: np.ndarray, n1: int, n0: int) -> np.ndarray:
     """Members, not known, of pairs of such members that tell."""
 
-    def rest(words: pa.Scalar) -> np.ndarray:
-        w = np.asarray(words.values, np.int64)
-        return near_pairs(np.where(np.isin(w, known), -1 - np.arange(len(w)), w))  # a known word keeps its place but is in no pair
+    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        own = np.zeros(SLOTS, bool)
+        own[known] = True
+        for b in common.sliced(batches, ROWS):
+            for y, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                w = np.asarray(x.values, np.int64)
+                yield y, near_pairs(np.where(own[w], -1, w))  # a known word keeps its place
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, PAIRS), np.int32)
-        for b in batches:
-            for y, w in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                seen[y, np.unique(place_of(_real(rest(w))))] += 1
+        for y, p in unknown(batches):
+            seen[y, np.unique(place_of(p))] += 1
         at = np.flatnonzero(seen.any(0))
         for i in range(0, len(at), 1 << 16):
             x = at[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(seen[1, x], pa.int64()), pa.array(seen[0, x], pa.int64())], ["place", "a", "b"])
 
     told = terms.select("y", "words").mapInArrow(places, "place long, a long, b long").groupBy("place").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    hits = np.array(sorted(r.place for r in _telling(told, n1, n0).select("place").toLocalIterator()), np.int64)  # at most PAIRS numbers
+    hits = _numbers(_telling(told, n1, n0).select("place"))  # at most PAIRS
     if not len(hits):
-        return np.zeros(0, np.int64)
+        return hits
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for y, w in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                p = _real(rest(w))
-                p = p[np.isin(place_of(p), hits)]
-                if len(p):
-                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(np.full(len(p), y), pa.int64())], ["pair", "y"])
+        hit = np.zeros(PAIRS, bool)
+        hit[hits] = True
+        for y, p in unknown(batches):
+            p = np.unique(p[hit[place_of(p)]])
+            if len(p):
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(np.full(len(p), y), pa.int64())], ["pair", "y"])
 
     by = terms.select("y", "words").mapInArrow(pairs, "pair long, y long").groupBy("pair").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    found = _telling(by, n1, n0).select(F.explode(F.array(F.floor(F.col("pair") / SLOTS), F.col("pair") % SLOTS)).alias("s")).distinct()
-    return np.array(sorted(r.s for r in found.toLocalIterator()), np.int64)  # at most SLOTS numbers
+    return _numbers(_telling(by, n1, n0).select(F.explode(F.array(F.floor(F.col("pair") / SLOTS), F.col("pair") % SLOTS)).alias("s")).distinct())  # at most SLOTS
 
 
-def _real(pairs: np.ndarray) -> np.ndarray:
-    return pairs[pairs >= 0]
+def _numbers(df: DataFrame) -> np.ndarray:
+    """The one column of a bounded result, in order."""
+    return np.sort(df.toArrow().column(0).to_numpy().astype(np.int64))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
@@ -186,17 +194,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
         return None
     n1, n0 = n.get(1, 0), n.get(0, 0)
     by = terms.select("y", F.explode("terms").alias("s")).groupBy("s").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    slots = np.array(sorted(r.s for r in _telling(by, n1, n0).select("s").toLocalIterator()), np.int64)  # at most SLOTS numbers
+    slots = _numbers(_telling(by, n1, n0).select("s"))  # at most SLOTS
     slots = np.union1d(slots, _pair_slots(terms, slots, n1, n0)).astype(np.int64)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in common.sliced(batches, ROWS):
             own = [np.flatnonzero(np.isin(slots, np.asarray(t.values, np.int64))).astype(np.int32) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32()))], ["y", "at"])
 
-    rows = [(r.y, tuple(r["at"])) for r in terms.select("y", "terms").mapInArrow(places, "y int, at array<int>").toLocalIterator()]  # at most TRAIN rows
-    rows.sort()
-    return train([np.array(a, np.int64) for _, a in rows], np.array([y for y, _ in rows], np.float64), slots)
+    rows = terms.select("y", "terms").mapInArrow(places, "y int, at array<int>").toArrow()  # at most TRAIN rows
+    sets = sorted((y, x.values.to_numpy().astype(np.int64).tobytes()) for y, x in zip(rows["y"].to_pylist(), rows["at"], strict=True))
+    return train([np.frombuffer(x, np.int64) for _, x in sets], np.array([y for y, _ in sets], np.float64), slots)
 
 
 def annotated(docs: DataFrame, model: Machine | None) -> DataFrame:
