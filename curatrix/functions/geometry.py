@@ -63,7 +63,7 @@ def clamped_point(b: Column, x: Column, y: Column, inset: float = 1.0) -> Column
 
 def area_ratio(b: Column, w: Column, h: Column) -> Column:
     """Null without a box or a page."""
-    return F.try_divide(area(b), w * h)
+    return F.when(b.isNotNull(), F.try_divide(area(b), w * h))
 
 
 def overlap(a: Column, b: Column, axis: str) -> Column:

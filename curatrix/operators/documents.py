@@ -6,10 +6,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import pandas_udf, udtf
 
 # Elements that are blocks of text, that never close, and whose text is not shown.
 BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th", "pre", "blockquote", "figcaption", "caption", "dt", "dd")
@@ -210,3 +210,93 @@ def unit_targets(found: DataFrame, group_rows: DataFrame) -> DataFrame:
     of = group_rows.select("page_id", F.explode("member_ids").alias("id"), "group_id", F.col("markdown").alias("group_markdown"))
     of = of.groupBy("page_id", "id").agg(F.max("group_id").alias("group_id"), F.max_by("group_markdown", "group_id").alias("group_markdown"))
     return found.join(of, ["page_id", "id"], "left").withColumn("unit_text", F.coalesce("group_markdown", "markdown")).drop("group_markdown")
+
+
+class _Enclosing(_Tables):
+    """For each block id within a table, that table."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.ids: list[str] = []
+        self.found: dict[str, str] = {}
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        super().handle_starttag(tag, attrs)
+        block = dict(attrs).get("data-block-id")
+        if self.depth and block is not None:
+            self.ids.append(block)
+
+    def handle_endtag(self, tag: str) -> None:
+        n = len(self.out)
+        super().handle_endtag(tag)
+        if len(self.out) > n:
+            self.found |= {k: self.out[-1] for k in self.ids if k not in self.found}
+            self.ids = []
+
+
+def enclosing_tables(pages: DataFrame) -> DataFrame:
+    """page_id, id, html: the outermost table around each block of pages (page_id, html) that is in one, or is one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for k, h in zip(pdf["page_id"], pdf["html"], strict=True):
+                p = _Enclosing()
+                p.feed(h or "")
+                p.close()
+                rows += [(k, b, t) for b, t in p.found.items()]
+            yield pd.DataFrame(rows, columns=["page_id", "id", "html"])
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, id string, html string")
+
+
+def trained_targets(found: DataFrame, tables_of: DataFrame, group_rows: DataFrame, kind: Column) -> DataFrame:
+    """Blocks with kind and target: the table around them, else their group's text, else by kind (none of images and charts)."""
+    from ..functions import classify as C
+
+    d = unit_targets(found.withColumn("__kind", kind), group_rows).join(tables_of.select("page_id", "id", F.col("html").alias("__table")), ["page_id", "id"], "left")
+    grouped = F.col("group_id").isNotNull() & (F.trim("unit_text") != "")
+    d = d.withColumn("target", F.when(F.col("__table").isNotNull(), F.col("__table")).when(grouped, F.col("unit_text")).otherwise(C.content_target(F.col("__kind"), F.col("markdown"), F.lit(None).cast("string"))))
+    return d.withColumn("kind", F.when(F.col("__table").isNotNull(), "table").when(grouped, "semantic_group").otherwise(F.col("__kind"))).drop("__kind", "__table", "unit_text")
+
+
+@udtf(returnType="pos int, id string, tag string, markdown string, translation string, domain string")
+class ParseBlocks:
+    """parse_blocks(html): the blocks of a page."""
+
+    def eval(self, html: str):
+        for b in blocks_of(html):
+            yield b["pos"], b["id"], b["tag"], b["markdown"], b["translation"], b["domain"]
+
+
+@udtf(returnType="group_id string, kind string, pos int, block_id string, role string, markdown string")
+class ParseGroups:
+    """parse_groups(html): the members of a page's semantic groups."""
+
+    def eval(self, html: str):
+        for g in groups_of(html):
+            yield g["group_id"], g["kind"], g["pos"], g["block_id"], g["role"], g["markdown"]
+
+
+def register(spark) -> None:
+    """Makes the table functions known to SQL: SELECT ... FROM pages, LATERAL parse_blocks(html)."""
+    spark.udtf.register("parse_blocks", ParseBlocks)
+    spark.udtf.register("parse_groups", ParseGroups)
+
+
+def detected(df: DataFrame, w: Column, h: Column, pad: int = 2) -> DataFrame:
+    """Detections (bbox array<double>) with the crop around them, in whole pixels and within the image; those without any are dropped."""
+    b = [F.col("bbox")[i].cast("int") for i in range(4)]
+    low, high = (lambda v: F.greatest(F.lit(0), v - pad)), (lambda v, n: F.least(n.cast("int"), v + pad))
+    d = df.withColumn("crop", F.struct(low(b[0]).alias("x0"), low(b[1]).alias("y0"), high(b[2], w).alias("x1"), high(b[3], h).alias("y1")))
+    return d.filter("crop.x1 > crop.x0 AND crop.y1 > crop.y0")
+
+
+def dom_annotations(dom: DataFrame, source: DataFrame, scale: Column, least: float = 2.0) -> DataFrame:
+    """DOM blocks (page_id, id, rect struct in CSS pixels, text) as annotations in image pixels, those under `least` dropped, with the source's Markdown and translation where it has them."""
+    from ..functions import geometry as G
+
+    r = F.col("rect")
+    d = dom.withColumn("bbox", G.box(*(r[k] * scale for k in ("x0", "y0", "x1", "y1")))).filter((G.width(F.col("bbox")) >= least) & (G.height(F.col("bbox")) >= least))
+    s = source.select("page_id", "id", F.col("markdown").alias("__md"), F.col("translation").alias("__tr"))
+    return d.join(s, ["page_id", "id"], "left").withColumns({"markdown": F.coalesce(F.nullif("__md", F.lit("")), "text"), "translation": F.col("__tr")}).drop("__md", "__tr", "rect", "text")

@@ -105,3 +105,19 @@ def two_tag_report(df: DataFrame, *by: str, source_at: float = 0.85, score_at: f
     means = {"mean_source_similarity": "source_sim", "mean_score": "score", "mean_score_with_words": "with_words", "mean_cjk_ratio": "cjk", "mean_length_ratio": "length_ratio"}
     columns = [F.count(F.lit(1)).alias("n"), F.count_if(pos).alias("n_pos"), F.count_if(neg).alias("n_neg"), *[rate(*v).alias(k) for k, v in hits.items()], *[F.round(mean_of(F.col(v), pos), 9).alias(k) for k, v in means.items()]]
     return d.groupBy(*[F.coalesce(F.nullif(c, F.lit("")), F.lit("unknown")).alias(c) for c in by]).agg(*columns) if by else d.agg(*columns)
+
+
+def paired_variants(scored: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Of row_scores with variant: rows that have both variants, whether they agree, and whether b is better or worse than a."""
+    side = lambda v, name: scored.filter(F.col("variant") == v).select(key, F.struct("prediction", "hit", "pred_empty", "gt_empty").alias(name))
+    j = side(a, "x").join(side(b, "y"), key)
+    same = X.normalize_text(F.coalesce("x.prediction", F.lit(""))) == X.normalize_text(F.coalesce("y.prediction", F.lit("")))
+    return j.select(key, "x.gt_empty", F.col("x.hit").alias("hit_a"), F.col("y.hit").alias("hit_b"), same.alias("agree"), (~F.col("x.hit") & F.col("y.hit")).alias("improved"), (F.col("x.hit") & ~F.col("y.hit")).alias("regressed"))
+
+
+def variant_rates(scored: DataFrame, pool: str) -> DataFrame:
+    """Of row_scores with variant: by variant, and by pool and variant, in one scan; null rates where a class is empty."""
+    share = lambda c, of=None: F.round(F.avg((c if of is None else F.when(of, c)).cast("double")), 4)
+    pos = ~F.col("gt_empty")
+    columns = [F.count(F.lit(1)).alias("n"), share(F.col("hit")).alias("hit_rate"), share(F.col("sim")).alias("mean_sim"), share(F.col("pred_empty")).alias("empty_rate"), F.count_if(pos).alias("n_pos"), share(F.col("hit"), pos).alias("pos_hit_rate"), share(F.col("pred_empty"), ~pos).alias("neg_empty_rate")]
+    return scored.groupingSets([[F.col("variant")], [F.col(pool), F.col("variant")]], F.col(pool), F.col("variant")).agg(F.grouping_id().alias("gid"), *columns)

@@ -92,6 +92,34 @@ def windowed(df: DataFrame, order: str, key: str, window: int, seed: int, out: s
     return df.withColumn(out, F.concat(F.lpad(F.floor(F.col(order) / window).cast("string"), 12, "0"), F.lit("|"), hkey(seed, key)))
 
 
+def overlapping(df: DataFrame, order: str, key: str, window: int, seed: int, out: str = "ord") -> DataFrame:
+    """A local shuffle over two sets of windows that overlap by half (order: a position from 0): in hash order within windows, then, of the places so found, within windows half a width on. Adds the new place."""
+    half = max(1, window // 2)
+    first = F.floor(F.col(order) / window)
+    at = first * window + F.row_number().over(Window.partitionBy(first).orderBy(hkey(f"{seed}a", key), key)) - 1
+    d = df.withColumn("__at", at).withColumn("__w", F.floor((F.col("__at") + half) / window))
+    place = F.greatest(F.lit(0), F.col("__w") * window - half) + F.row_number().over(Window.partitionBy("__w").orderBy(hkey(f"{seed}b", key), key)) - 1
+    return d.withColumn(out, place).drop("__at", "__w")
+
+
+def positions(df: DataFrame, order: str, key: str, out: str = "position") -> DataFrame:
+    """Adds the place, from 0, of each row in the order of two columns: ranges are counted side by side, and the counts before a range are its offset."""
+    d = df.repartitionByRange(order, key).sortWithinPartitions(order, key).withColumn("__m", F.monotonically_increasing_id())
+    d = d.withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = d.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # a row a range
+    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).drop("__n")
+    return d.join(F.broadcast(before), "__p").withColumn(out, F.col("__before") + F.col("__i")).drop("__m", "__p", "__i", "__before")
+
+
+def interleaved_locally(df: DataFrame, strata: list[str], key: str, seed: int, n: int, out: str = "ord") -> DataFrame:
+    """Rounds over the strata, then a local shuffle in windows of a fiftieth of the n rows, 8 at least."""
+    from ..session import as_written
+
+    d = interleaved(df.withColumn("__strata", F.concat_ws("|", *strata)), "__strata", key, seed, "__o").drop("__strata")
+    d = as_written(positions(d, "__o", key, "__place").drop("__o"), "rounds")  # a range's bounds are sampled, so they are fixed by writing
+    return overlapping(d, "__place", key, max(8, n // 50), seed, out).drop("__place")
+
+
 def unseen_rounds(df: DataFrame, strata: list[str], key: str, seed: int, n: int) -> DataFrame:
     """Round-robin over strata, rows in hash order within each: the first n."""
     d = hash_rank(df, strata, key, seed, "__rn")

@@ -64,3 +64,9 @@ def filtered(rows: DataFrame, rules: Rules = Rules()) -> tuple[DataFrame, DataFr
     report = d.groupBy(F.col("verdict.reason").alias("reason"), F.col("verdict.drop").alias("drop")).agg(F.count(F.lit(1)).alias("n"))
     kept = d.filter("NOT verdict.drop").withColumn("region_relabeled", F.col("verdict.new_region").isNotNull()).withColumn("region", F.coalesce("verdict.new_region", "region"))
     return kept.drop("verdict", "ink", "bands", "special_markdown"), report
+
+
+def on_ink_or_chrome(x: Column, y: Column) -> Column:
+    """Whether a point of a row that with_geometry has made is on any text or page furniture."""
+    ink = F.exists("ink", lambda r: G.inside(r, x, y))
+    return F.coalesce(ink, F.lit(False)) | F.coalesce(F.exists("bands", lambda b: G.inside(b["bbox"], x, y)), F.lit(False))

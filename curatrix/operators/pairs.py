@@ -61,3 +61,62 @@ def picked(slots: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
     s = slots.withColumn("__k", F.row_number().over(Window.partitionBy("page_id", "bucket").orderBy("slot")) - 1).join(n, "bucket")
     s = s.withColumn("__i", (F.floor(huniform(seed, "page_id", "bucket") * F.col("__m")) + F.col("__k")) % F.col("__m") + 1)
     return s.join(p.drop("__n"), ["bucket", "__i"]).drop("__i", "__k", "__m")
+
+
+#: Where a bucket that has nothing left is filled from, in this order.
+FALLBACK = ("paragraphs", "list_items", "captions", "headings", "code_lines", "cells")
+
+
+def taken_pages(pairs: DataFrame, pages: int, per_page: int, seed: int) -> DataFrame:
+    """For each page, from 0, per_page pairs of each bucket: none twice until the bucket is used up, what is left of it on the last page before that, then the bucket anew in another order. pairs: bucket, en and others."""
+    from .ranking import hash_rank
+
+    sizes = pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("__n"))  # a row a bucket
+    rounds = F.ceil(F.lit(pages) / F.ceil(F.col("__n") / per_page))
+    d = pairs.join(F.broadcast(sizes), "bucket").withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), rounds - 1)))
+    d = hash_rank(d.withColumn("__k", F.concat_ws("|", F.col("round").cast("string"), "en")), ["bucket", "round"], "__k", seed, "__i")
+    d = d.withColumn("page", F.col("round") * F.ceil(F.col("__n") / per_page) + F.floor((F.col("__i") - 1) / per_page))
+    return d.filter(F.col("page") < pages).withColumn("place", (F.col("__i") - 1) % per_page).drop("__n", "__k", "__i")
+
+
+def filled_slots(slots: DataFrame, taken: DataFrame) -> DataFrame:
+    """slots: page, slot, bucket; taken: page, bucket, place, en, zh, domain, source. A pair for each slot, no English text twice on a page: of its bucket, else of the others in order, else a numbered filler.
+
+    What a slot gets depends on those before it, so a page goes through one loop, over its own slots and the pairs that
+    taken_pages has given it.
+    """
+    import pandas as pd
+
+    def fill(s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        bags = {b: g.sort_values("place").to_dict("records") for b, g in p.groupby("bucket")}
+        used: set[str] = set()
+        rows = []
+        for r in s.sort_values("slot").itertuples():
+            found = None
+            for b in dict.fromkeys((r.bucket, *FALLBACK)):
+                bag = bags.get(b, [])
+                while bag and found is None:
+                    x = bag.pop(0)
+                    k = " ".join((x["en"] or "").lower().split())
+                    if k and k not in used:
+                        used.add(k)
+                        found = (x["en"], x["zh"], x["domain"], x["source"])
+                if found:
+                    break
+            if found is None:
+                text = f"Filler text {len(used) + 1} of this page."
+                used.add(text.lower())
+                found = (text, "", "fallback", "fallback")
+            rows.append((r.page, r.slot, r.bucket, *found))
+        return pd.DataFrame(rows, columns=["page", "slot", "bucket", "en", "zh", "domain", "source"])
+
+    p = taken.select("page", "bucket", "place", "en", "zh", "domain", "source")
+    return slots.select(F.col("page").cast("long").alias("page"), "slot", "bucket").groupBy("page").cogroup(p.groupBy("page")).applyInPandas(fill, "page long, slot long, bucket string, en string, zh string, domain string, source string")
+
+
+def applied(blocks: DataFrame, filled: DataFrame, skipped: Column) -> DataFrame:
+    """blocks (page, slot, markdown, ...) with the text of their pair, its translation and domain; skipped ones keep their own."""
+    f = filled.select("page", "slot", F.col("en").alias("__en"), F.col("zh").alias("__zh"), F.col("domain").alias("__domain"))
+    new = F.col("__en").isNotNull() & ~F.coalesce(skipped, F.lit(False))
+    d = blocks.join(f, ["page", "slot"], "left")
+    return d.withColumns({"markdown": F.when(new, F.col("__en")).otherwise(F.col("markdown")), "translation": F.when(new, F.col("__zh")), "mt_domain": F.when(new, F.col("__domain"))}).drop("__en", "__zh", "__domain")

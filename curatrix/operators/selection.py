@@ -88,3 +88,69 @@ def expanded_rounds(pages: DataFrame, n: int, key: str) -> DataFrame:
     have = pages.count()
     d = hash_rank(pages, [], key, 0, "__i").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n // max(have, 1)) - 1)))))
     return d.filter(F.col("round") * have + F.col("__i") <= n).drop("__i")
+
+
+def by_chrome(df: DataFrame, chrome: str, share: float, page: str, n: int, key: str, seed: int) -> DataFrame:
+    """n rows, one of each page before a second of any, of which a share (rounded half to even) has a window around it; where one side is short the other fills in."""
+    have, others = df.agg(F.count_if(F.col(chrome) == "chrome"), F.count_if(F.col(chrome) != "chrome")).first()
+    want = min(have, round(n * share))
+    rest = min(others, n - want)
+    short = n - want - rest
+    if short > 0:
+        want, rest = (want + short, rest) if have - want >= short else (want, min(others, rest + short))
+    a = sampling.unique_page_first(df.filter(F.col(chrome) == "chrome"), page, want, key, seed)
+    return a.unionByName(sampling.unique_page_first(df.filter(F.col(chrome) != "chrome"), page, rest, key, seed))
+
+
+def scene_mix(df: DataFrame, scene: str, mix: dict[str, float], n: int, page: str, key: str, seed: int, pool: str | None = None, empty_pools: dict[str, float] | None = None, real: Column | None = None) -> DataFrame:
+    """n rows by scene, one of each page before a second of any; scenes that are short are made up from what is left of any.
+
+    empty_pools: the scene "empty" is itself a mix of pools, made up from its other rows. real: all real rows first, n at
+    most, and the others by what the mix still lacks.
+    """
+    d = df.filter(F.col(scene).isNotNull())
+    if real is not None:
+        reals = d.filter(real)
+        have = {r[0]: r[1] for r in reals.groupBy(scene).count().collect()}  # a row a scene
+        n_real = sum(have.values())
+        if n_real >= n:
+            return reals.orderBy(hkey(seed, key), key).limit(n)
+        lack = {s: max(0, q - have.get(s, 0)) for s, q in largest_remainder(mix, n).items()}
+        need = largest_remainder(lack if sum(lack.values()) else mix, n - n_real)
+        return reals.unionByName(scene_mix(d.filter(~real), scene, {s: float(q) for s, q in need.items()}, n - n_real, page, key, seed, pool, empty_pools))
+    supply = {r[0]: r[1] for r in d.groupBy(scene).count().collect()}  # a row a scene
+    parts = []
+    for s, q in largest_remainder(mix, n).items():
+        rows, take = d.filter(F.col(scene) == s), min(q, supply.get(s, 0))
+        if not take:
+            continue
+        if s == "empty" and empty_pools and pool:
+            subs = [sampling.unique_page_first(rows.filter(F.col(pool) == p), page, m, key, seed) for p, m in largest_remainder(empty_pools, take).items() if m]
+            some = subs[0]
+            for x in subs[1:]:
+                some = some.unionByName(x)
+            more = rows.join(some.select(key), key, "left_anti").orderBy(hkey(seed, key), key).limit(take).withColumn("__late", F.lit(1))
+            parts.append(some.withColumn("__late", F.lit(0)).unionByName(more).orderBy("__late", hkey(seed, key), key).limit(take).drop("__late"))
+        else:
+            parts.append(sampling.unique_page_first(rows, page, take, key, seed))
+    if not parts:
+        return d.limit(0)
+    picked = parts[0]
+    for x in parts[1:]:
+        picked = picked.unionByName(x)
+    rest = d.join(picked.select(key), key, "left_anti")
+    again = F.row_number().over(Window.partitionBy(page).orderBy(hkey(seed, key), key)) > 1
+    rest = rest.withColumn("__again", again).orderBy("__again", hkey(seed, key), key).limit(n).withColumn("__late", F.col("__again").cast("int") + 1).drop("__again")
+    return picked.withColumn("__late", F.lit(0)).unionByName(rest).orderBy("__late", hkey(seed, key), key).limit(n).drop("__late")
+
+
+def scheduled(df: DataFrame, bucket: str, quotas: dict[str, int], key: str, seed: int) -> DataFrame:
+    """Each slice's quota, and turn: the order in which a scheduler that always draws in proportion to what slices still lack would make them, which is one uniform shuffle of all that is made."""
+    d = sampling.quota_sample(df, bucket, quotas, key, seed)
+    return hash_rank(d, [], key, f"{seed}t", "turn")
+
+
+def composed_split(train: DataFrame, val: DataFrame, choose, key: str, seed: int) -> DataFrame:
+    """choose(rows, seed) of the train rows and, under the next seed, of the val rows, with split and ord (each split shuffled under its own seed)."""
+    a = choose(train, seed).withColumn("split", F.lit("train")).withColumn("ord", hkey(seed, key))
+    return a.unionByName(choose(val, seed + 1).withColumn("split", F.lit("val")).withColumn("ord", hkey(seed + 2, key)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation, measures, scoring, shapes, streams, tables  # noqa: F401  they register their queries
+from . import curation, measures, records, scoring, shapes, streams, tables  # noqa: F401  they register their queries
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]

@@ -62,3 +62,10 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     fs.mkdirs(at)
     fs.deleteOnExit(at)
     return path
+
+
+def as_written(df, kind: str):
+    """df as a table in the shared folder: computed once, its lineage cut."""
+    path = f"{shared_folder(df.sparkSession, kind)}/t"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -40,11 +40,11 @@ def read_pools(spark: SparkSession, root: str, schema: str = SAMPLE) -> DataFram
 
 
 def read_page_blocks(spark: SparkSession, pattern: str) -> DataFrame:
-    """Block arrays, one file a page; rectangles under two pixels are dropped."""
+    """Block arrays, one file a page, named by it or in a folder that is; rectangles under two pixels are dropped."""
     d = spark.read.schema(BLOCK).option("multiLine", True).option("mode", "PERMISSIVE").json(pattern)
     name = F.col("_metadata.file_name")
     kept = F.filter(F.coalesce("rects", F.array().cast("array<array<double>>")), lambda r: (r[2] - r[0] >= 2) & (r[3] - r[1] >= 2))
-    return d.withColumn("page_id", F.regexp_replace(name, r"\.blocks\.json$", "")).withColumn("rects", kept).filter("id IS NOT NULL")
+    return d.withColumn("page_id", F.coalesce(F.nullif(F.regexp_extract(F.col("_metadata.file_path"), "/page_id=([^/]+)/", 1), F.lit("")), F.regexp_replace(name, r"\.blocks\.json$", ""))).withColumn("rects", kept).filter("id IS NOT NULL")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -94,3 +94,66 @@ def report_markdown(row: dict, title: str) -> str:
     """One row of a report as a Markdown table: shares with one decimal of a percent, other numbers with three."""
     cell = lambda k, v: f"{100 * v:.1f} %" if k.endswith("_rate") else f"{v:.3f}" if isinstance(v, float) else str(v)
     return "\n".join([f"## {title}", "", "| metric | value |", "|---|---|", *(f"| {k} | {cell(k, v)} |" for k, v in row.items())])
+
+
+def write_manifest(df: DataFrame, path: str) -> None:
+    """All rows as one JSON array, for tables that are small by their nature, such as reports."""
+    text = df.agg(F.to_json(F.collect_list(F.struct(*df.columns)), {"pretty": "true"}).alias("value"))
+    text.coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def write_counted(df: DataFrame, path: str, by: list[str]) -> DataFrame:
+    """Writes JSON lines in folders by the given columns; returns the counts of what was written, read back."""
+    df.write.mode("overwrite").partitionBy(*by).json(path)
+    kinds = dict(df.dtypes)
+    back = df.sparkSession.read.schema(df.schema).json(path)
+    return back.groupBy(*[F.col(c).cast(kinds[c]).alias(c) for c in by]).agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_blocks(df: DataFrame, path: str) -> None:
+    """One row a block (page_id and fields of BLOCK) as an array a page, a file a page's folder."""
+    fields = [c for c in df.columns if c != "page_id"]
+    d = df.groupBy("page_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct(*fields)))).alias("value"))
+    d.write.mode("overwrite").partitionBy("page_id").text(path)
+
+
+def file_digests(spark: SparkSession, pattern: str) -> DataFrame:
+    """path, length and SHA-256 of files."""
+    d = spark.read.format("binaryFile").load(pattern)
+    return d.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def screens(df: DataFrame, n: int, order: str) -> DataFrame:
+    """df: width, height, texts. The first n screens of 400 pixels at least with a text among their first eight."""
+    said = F.exists(F.slice("texts", 1, 8), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
+    return df.filter((F.least("width", "height") >= 400) & said).orderBy(order).limit(n)
+
+
+def web_pages(df: DataFrame, n: int, order: str, scan: int | None = None) -> DataFrame:
+    """df: width, height, viewport. The first n pages of 300 pixels at least among the first rows of the table (20 n, 500 at least); other viewports than desktop only after half of n is there.
+
+    Whether a row counts depends on how many were kept before it: before that half only desktop pages are, so the half is
+    the place of the desktop pages' row of that number, and all that is large enough counts after it.
+    """
+    d = df.orderBy(order).limit(scan or max(20 * n, 500))
+    d = d.withColumns({"__desk": F.coalesce("viewport", F.lit("")).isin("", "desktop", "1280x720"), "__ok": F.least("width", "height") >= 300})
+    half = n // 2
+    w = Window.orderBy(order)  # of a bounded scan
+    d = d.withColumn("__before", F.coalesce(F.sum((F.col("__desk") & F.col("__ok")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return d.filter(F.col("__ok") & (F.col("__desk") | (F.col("__before") >= half))).drop("__desk", "__ok", "__before").orderBy(order).limit(n)
+
+
+def laid_out(df: DataFrame, n: int, order: str) -> DataFrame:
+    """df: cells, an array of arrays. The first n rows that have a cell."""
+    return df.filter(F.aggregate("cells", F.lit(0), lambda a, c: a + F.size(c)) > 0).orderBy(order).limit(n)
+
+
+def trainable(df: DataFrame, present: DataFrame) -> DataFrame:
+    """Chat rows as parts, without those of under two messages or with an image that is listed but not there (path, present); rows of text only stay."""
+    d = df.filter(F.size("messages") >= 2).withColumn("__id", F.coalesce("metadata.sample_id", F.xxhash64("messages").cast("string")))
+    gone = d.select("__id", F.explode("images").alias("path")).join(present.filter("present").select("path"), "path", "left_anti").select("__id").distinct()
+    return as_openai(d.join(gone, "__id", "left_anti").drop("__id"))
