@@ -5,7 +5,8 @@ boundary deleted, and the two neighbouring ranks refreshed. Words of over LONG s
 take quadratic time, use a heap over the same ranks with the same result.
 
 Between white space a text's pieces are independent of each other, so pieces are memoised, in at most MEMO entries.
-Nulls: a null text counts as an empty one. Very long texts are encoded whole.
+Nulls: a null text counts as an empty one, a null doc_id stays null. Very long texts are encoded whole. Repeated rows stay;
+of equal ranks the leftmost pair merges first. An empty table gives an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ member that fails is fetched again by itself, on a new handle, up to TRIES times
 A text's bytes become 8-bit grey samples of a lossless PNG, SIDE wide; the number of bytes without padding stands in a
 tEXt chunk. Archives get new names in each attempt; only the manifest, written on commit, makes them count.
 
-Nulls: a null text is empty, a null key is kept. Repeated rows are members of their own. An empty table writes none.
+Nulls: a null text is empty, like "" a picture of one row of zeros; a null key is kept. Repeated rows are members of their
+own, of equal bytes and features. Very long texts are tall pictures. An empty table writes none. Only doc_id and text are
+read, whatever other columns are called.
 """
 
 from __future__ import annotations

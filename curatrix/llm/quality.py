@@ -5,8 +5,13 @@ err; expectation-maximisation over the counts of vote patterns of all documents
 each labeller's accuracy and how often it votes, without any label. The posterior of a pattern is the label on which a
 linear scorer over hashed terms is trained, on at most TRAIN documents; it scores every whole text.
 
-Nulls: a null text is empty, on which every labeller abstains but that of length. Repeated rows are scored alike. An
-empty table gives an empty result.
+Votes are cast once for the label model, which needs all of them before any document can be scored, and again in the
+scoring pass, where they cost a seventh of it and no shuffle. The sample that the scorer is trained on bears weak labels
+only; TRAIN bounds it as it does labelled rows elsewhere, and the statistics of votes are of all documents.
+
+Nulls: a null text is empty, on which every labeller abstains but that of length; rows without doc_id don't train the
+scorer. Repeated rows are scored alike and train once. Very long texts are taken whole. A tie of the classes is a
+posterior of a half, a score of a half is good. An empty table gives an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -14,13 +19,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import pairwise
 from operator import and_, eq
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -194,32 +200,51 @@ def label_model(votes: DataFrame) -> tuple[LabelModel, dict[str, float]]:
     return model, dict(zip(by, model.posterior(patterns).tolist(), strict=True))
 
 
-def classify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, votes, posterior, score, predicted (1: keep)."""
-    spark = docs.sparkSession
+@dataclass(frozen=True)
+class Scorer:
+    """posterior of each vote pattern; weights and bias of the linear scorer."""
+
+    posterior: dict[str, float]
+    w: np.ndarray
+    bias: float
+
+
+def _held_out(c: Column) -> Column:
+    return F.coalesce(common.fold(c, FOLDS) == 0, F.lit(False))
+
+
+def fit(docs: DataFrame) -> Scorer:
+    """The label model of all documents, and the scorer of a bounded sample of them."""
     voted = common.written(with_votes(docs), "quality-votes")
     _, posterior = label_model(voted)
-    held_out = lambda c: F.coalesce(common.fold(c, FOLDS) == 0, F.lit(False))
-    chosen = common.bounded_sample(voted.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), "doc_id", TRAIN).select("doc_id", "votes").dropDuplicates(["doc_id"])
-    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most TRAIN rows of two short values
+    chosen = voted.filter(F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id"))).select("doc_id").distinct()
+    chosen = common.bounded_sample(chosen, "doc_id", TRAIN)
+    # At most TRAIN ids; of several texts of one id the first in order.
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple] = {}
         for b in batches:
-            found = [vector_of(t.as_py() or "", memo) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32()))], ["votes", "at", "x"])
+            texts = [t.as_py() or "" for t in b.column(1)]
+            found = [vector_of(t, memo) for t in texts]
+            q = [posterior[_said(votes_of(t))] for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(q, pa.float64()), pa.array([f[0].astype(np.int32) for f in found], pa.list_(pa.int32())), pa.array([f[1].astype(np.float32) for f in found], pa.list_(pa.float32()))], ["doc_id", "q", "at", "x"])
 
     def fitted(pdf):  # on an executor: the sample is bounded
         import pandas as pd
 
-        own = [(np.asarray(a, np.int64), np.asarray(x, float)) for a, x in zip(pdf["at"], pdf["x"], strict=True)]
-        order = np.argsort([f"{v}{len(a)}{a[:3].tolist()}{x[:3].tolist()}" for v, (a, x) in zip(pdf["votes"], own, strict=True)], kind="stable")
-        w, bias = train([own[i] for i in order], np.array([posterior[pdf["votes"].iloc[i]] for i in order]))
+        pdf = pdf.sort_values("doc_id")
+        w, bias = train([(np.asarray(a, np.int64), np.asarray(x, float)) for a, x in zip(pdf["at"], pdf["x"], strict=True)], pdf["q"].to_numpy())
         return pd.DataFrame({"w": [w.astype(np.float32).tobytes()], "bias": [bias]})
 
-    found = known.select("text", "votes").mapInArrow(vectors, "votes string, at array<int>, x array<float>").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fitted, "w binary, bias double").first()
-    w, bias = (np.frombuffer(found.w, np.float32).astype(float), found.bias) if found else (np.zeros(SLOTS), 0.0)
-    shared = spark.sparkContext.broadcast(w)
+    rows = known.mapInArrow(vectors, "doc_id long, q double, at array<int>, x array<float>").withColumn("one", F.lit(1))
+    found = rows.groupBy("one").applyInPandas(fitted, "w binary, bias double").first()
+    return Scorer(posterior, *((np.frombuffer(found.w, np.float32).astype(float), found.bias) if found else (np.zeros(SLOTS), 0.0)))
+
+
+def scored(docs: DataFrame, model: Scorer) -> DataFrame:
+    """doc_id, held_out, votes, posterior, score, predicted (1: keep): one pass over whole texts, no shuffle."""
+    shared, posterior, bias = docs.sparkSession.sparkContext.broadcast(model.w), model.posterior, model.bias
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, tuple] = {}
@@ -232,11 +257,15 @@ def classify(docs: DataFrame) -> DataFrame:
                 z.append(bias + float(w[at] @ x))
                 votes.append(_said(votes_of(text)))
             s = 1 / (1 + np.exp(-np.clip(np.array(z), -30, 30)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(votes, pa.string()), pa.array([posterior[v] for v in votes], pa.float64()), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "votes", "posterior", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(votes, pa.string()), pa.array([posterior.get(v) for v in votes], pa.float64()), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "votes", "posterior", "score", "predicted"])
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out(F.col("doc_id")).alias("held_out"), "text")
     return d.mapInArrow(score, "doc_id long, held_out boolean, votes string, posterior double, score double, predicted int")
 
 
+def classify(docs: DataFrame) -> DataFrame:
+    return scored(docs, fit(docs))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(common.table(spark, sf_dir, "documents"))

@@ -6,7 +6,9 @@ Blocks are stitched by a prefix scan: the exclusive running maximum of the last
 block's first document has in earlier blocks, the running sum of separators that document's number in its file.
 
 Nulls: a null text is an empty document of 0 tokens. The separator's own string in a text is ordinary text. Repeated rows
-count on their own. An empty table writes no file. A file that does not end in a separator has one more document.
+count on their own; very long texts span blocks. An empty table writes no file. A file that does not end in a separator
+has one more document. Only doc_id and text are read, whatever other columns are called. A vocabulary of over 65,536 ids,
+or a separator that is no special token of it, is an error.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ def write(docs: DataFrame, folder: str, path: str, end: int = END) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = common.filesystem(folder)
         coder, out, name, size, n = bpe.load(path), None, "", 0, 0
+        if len(coder.tokens) > 1 << 16 or end not in coder.special.values():
+            raise ValueError(f"ids must fit 16 bits, and {end} must be a special token of {path}")
         for b in batches:
             names, numbers = [], []
             for t in b.column(1):

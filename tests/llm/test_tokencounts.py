@@ -39,3 +39,16 @@ def test_small_files_are_rolled(spark, docs, rows, monkeypatch, no_docs):
     folder = common.new_folder(spark, "tokens")
     assert tc.count(spark, folder, tc.write(no_docs, folder, bpe.default_path())).count() == 0
     assert array("I").itemsize == 4
+
+
+def test_ids_that_do_not_fit(spark, docs, tmp_path):
+    """A vocabulary beyond 16 bits, and a separator that is an ordinary token, are errors and not other numbers."""
+    import json
+
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"].append({**spec["added_tokens"][0], "id": 70_000, "content": "<|far|>"})
+    (tmp_path / "big.json").write_text(json.dumps(spec))
+    for path, end in ((f"{tmp_path}/big.json", tc.END), (bpe.default_path(), 5)):
+        with pytest.raises(Exception, match="16 bits"):
+            tc.write(docs, common.new_folder(spark, "tokens"), path, end)
