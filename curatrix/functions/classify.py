@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -54,14 +55,18 @@ def pair_reason(other: Column, gt: Column, least: float = 0.35) -> Column:
     return F.when(X.is_blank(gt), "empty_gt").when(sim < least, F.concat(F.lit("low_consistency:"), F.format_string("%.2f", sim))).otherwise("ok")
 
 
-def content_kind(kind: Column, tag: Column, markdown: Column, latex: Column) -> Column:
+def content_kind(kind: Column, tag: Column, markdown: Column, latex: Column, html: Column | None = None) -> Column:
+    """Of a block: the kind that it is given, else by its tag, its fences and its formula; html is its own source, where known."""
     k, t, md = F.lower(X.strip(F.coalesce(kind, F.lit("")))), F.lower(F.coalesce(tag, F.lit(""))), X.strip(F.coalesce(markdown, F.lit("")))
+    own = F.lower(F.coalesce(F.lit("") if html is None else html, F.lit("")))
+    has = lambda c, *marks: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(c, m))
+    marked = has(F.left(md, F.lit(80)), "$") & has(md, "\\", "sum", "frac")  # reads like a formula, in an element that says it is one
     return (
         F.when(k.isin("formula", "code", "image", "chart", "table"), k)
         .when(t == "table", "table")
         .when(t.isin("pre", "code") | F.startswith(md, F.lit("```")), "code")
         .when(t == "img", "image")
-        .when(F.coalesce(latex, F.lit("")) != "", "formula")
+        .when((F.coalesce(latex, F.lit("")) != "") | (marked & t.isin("div", "span") & has(own, "latex", "formula")), "formula")
         .otherwise("text")
     )
 
@@ -92,10 +97,36 @@ def repeat_risk_light(target: Column) -> Column:
     return F.contains(md, F.lit("♫")) | (F.size(lines) != F.size(F.array_distinct(lines))) | (F.regexp_count(md, F.lit(r"\|")) >= 6)
 
 
+#: Odd factors that join hashes of neighbouring windows.
+_JOIN = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
+
+
+def _gram_hashes(text: str) -> np.ndarray:
+    """A hash of each window of GRAM characters: those of 2, 4, 8 and 16 by halves, then 16 and 8 together."""
+    h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    eight = h
+    for k, factor in zip((1, 2, 4, 8), _JOIN, strict=False):
+        eight, h = (h if k == 8 else eight), h[:-k] * factor + h[k:]
+    return h[: len(h) - 8] * _JOIN[4] + eight[16:]
+
+
 def has_repeated_gram(text: str) -> bool:
     """Does a gram of GRAM characters with GRAM_KINDS different ones besides space and tab come GRAM_TIMES times? The last window is left out, as in the reference."""
-    n = Counter(text[i : i + GRAM] for i in range(len(text) - GRAM))
-    return any(k >= GRAM_TIMES and len({*g} - {" ", "\t"}) >= GRAM_KINDS for g, k in n.items())
+    n = len(text) - GRAM
+    if n < GRAM_TIMES:
+        return False
+    h = _gram_hashes(text)[:n]
+    order = np.sort(h)
+    often = order[GRAM_TIMES - 1 :][order[GRAM_TIMES - 1 :] == order[: 1 - GRAM_TIMES]]
+    if not len(often):
+        return False
+    seen: Counter = Counter()
+    for i in np.flatnonzero(np.isin(h, often)).tolist():  # equal grams have equal hashes; the grams themselves decide
+        g = text[i : i + GRAM]
+        seen[g] += 1
+        if seen[g] == GRAM_TIMES and len({*g} - {" ", "\t"}) >= GRAM_KINDS:
+            return True
+    return False
 
 
 @pandas_udf(T.BooleanType())

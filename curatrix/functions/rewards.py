@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from . import text as X
 
+# Names of verdicts.
+VERDICTS = ("signal", "saturated", "collapsed", "flat")
 # When a prediction is a mere part of its target.
 UNDER_SIMILARITY, UNDER_LENGTH = 0.55, 0.65
 

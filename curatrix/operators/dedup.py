@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,16 +51,18 @@ def sign_bits(vector: Column, width: int = 64) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(width - 1)), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.when(F.get(vector, i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
 
 
+@lru_cache(maxsize=200_000)
+def _word_bits(word: str) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint8))
+
+
 def text_hash(text: str) -> int | None:
     """A 64-bit SimHash of the text's words, as a signed long; None without words."""
-    import numpy as np
-
-    words = (text or "").lower().split()
+    words = Counter((text or "").lower().split())
     if not words:
         return None
-    one = {w: hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in set(words)}
-    bits = np.unpackbits(np.frombuffer(b"".join(one[w] for w in words), np.uint8).reshape(-1, 8), axis=1)
-    return int.from_bytes(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(words)).tobytes(), "big", signed=True)
+    ones = np.fromiter(words.values(), np.int64, len(words)) @ np.stack([*map(_word_bits, words)]).astype(np.int64)
+    return int.from_bytes(np.packbits(2 * ones > words.total()).tobytes(), "big", signed=True)
 
 
 @pandas_udf(T.LongType())

@@ -57,6 +57,17 @@ def high_value(least_max: float) -> Column:
     return ~F.col("is_negative") & (F.coalesce("scene", F.lit("")) != "empty") & (F.col("verdict") == "signal") & (F.col("reward_max") >= least_max)
 
 
+def summary(groups: DataFrame, *by: str) -> DataFrame:
+    """Of scored groups, over all and by the given columns in one scan: counts, the share that still teaches, means of means and of deviations, and counts of verdicts."""
+    columns = [F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("verdict") == "signal").cast("double")), 9).alias("frac_signal"), F.round(F.avg("reward_mean"), 9).alias("mean_of_means"), F.round(F.avg("reward_std"), 9).alias("mean_of_stds"), *[F.count_if(F.col("verdict") == v).alias(v) for v in R.VERDICTS]]
+    return groups.groupingSets([[], *[[F.col(c)] for c in by]], *[F.col(c) for c in by]).agg(F.grouping_id().alias("gid"), *columns)
+
+
+def n_scored(groups: DataFrame, known: int | None = None) -> int:
+    """How many groups are scored: what a summary says, else their count."""
+    return known if known is not None else groups.count()
+
+
 def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What has no result yet."""
     return rows.join(done.select(key), key, "left_anti")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify as C
+from ..functions import geometry as G
+from ..functions import text as X
 from ..operators import mixing, quota, sampling, split
 from .recipe import Recipe
 
@@ -40,3 +42,12 @@ def rewritten_prompts(df: DataFrame, prompts: dict[str, str], key: str) -> DataF
     mark = lambda m: F.when(F.startswith(m["content"], F.lit("<image>")), "<image>\n").otherwise("")
     new = F.transform("messages", lambda m, i: F.when((i == 0) & (m["role"] == "user"), F.struct(m["role"].alias("role"), F.concat(mark(m), F.lit(prompts[key])).alias("content"))).otherwise(m))
     return df.withColumn("messages", new).withColumn("metadata", F.col("metadata").withField("prompt_key", F.lit(key)))
+
+
+def remarked(df: DataFrame, scale: Column, root: str, tag: str, seed: int) -> DataFrame:
+    """Samples that point to pictures with a marker made anew: the picture's new place, the marker's name, scale and share of the area, the render it is made from, and the seed of its noise, which follows from the page's number."""
+    m = F.col("metadata")
+    name = F.concat(F.lit(root.rstrip("/") + "/"), F.coalesce(F.nullif(m["pool_id"], F.lit("")), F.lit("misc")), F.lit("/"), X.safe_stem(m["sample_id"]), F.lit("__a"), F.replace(F.regexp_replace(F.call_function("format_number", scale, F.lit("0.####")), ",", "."), F.lit("."), F.lit("p")), F.lit(".jpg"))
+    noise = F.lit(seed) + 31 * F.coalesce(X.page_index(m["page_id"]), F.lit(0))
+    new = m.withField("marker", F.lit(tag)).withField("marker_area_scale", scale).withField("marker_area_frac", G.MARKER_SHARE * scale)
+    return df.withColumns({"metadata": new, "marker_source_render": F.get("images", F.lit(0)), "images": F.array(name), "noise_seed": noise})

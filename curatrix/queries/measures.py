@@ -129,17 +129,17 @@ def paired_flags(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("conv_id", "pos", "p.negative", F.when(F.col("p.negative"), 0.0).otherwise(R.empty(F.col("p.prediction"), F.col("p.negative"))).alias("empty"))
 
 
-@query("""WITH p AS (SELECT p_partkey AS k, p_name AS md, p_size AS s, p_partkey % 8 AS g FROM part), a AS (SELECT *, CASE g WHEN 0 THEN 'Table ' WHEN 1 THEN 'image' ELSE '' END AS kind, CASE g WHEN 2 THEN 'table' WHEN 3 THEN 'pre' WHEN 4 THEN 'img' ELSE 'p' END AS tag, CASE WHEN g = 5 THEN 'x^2' END AS latex, CASE WHEN g = 6 THEN '```' || md WHEN g = 7 AND s % 2 = 0 THEN '$' || md || ' \\sum$' ELSE md END AS text FROM p),
-c AS (SELECT *, CASE WHEN trim(lower(kind)) IN ('formula', 'code', 'image', 'chart', 'table') THEN trim(lower(kind)) WHEN tag = 'table' THEN 'table' WHEN tag IN ('pre', 'code') OR starts_with(text, '```') THEN 'code' WHEN tag = 'img' THEN 'image' WHEN latex IS NOT NULL THEN 'formula' ELSE 'text' END AS found FROM a)
+@query("""WITH p AS (SELECT p_partkey AS k, p_name AS md, p_size AS s, p_partkey % 8 AS g FROM part), a AS (SELECT *, CASE g WHEN 0 THEN 'Table ' WHEN 1 THEN 'image' ELSE '' END AS kind, CASE g WHEN 2 THEN 'table' WHEN 3 THEN 'pre' WHEN 4 THEN 'img' WHEN 7 THEN 'span' ELSE 'p' END AS tag, CASE WHEN g = 5 THEN 'x^2' END AS latex, CASE WHEN g = 6 THEN '```' || md WHEN g = 7 AND s % 2 = 0 THEN '$' || md || ' \\sum$' ELSE md END AS text FROM p),
+c AS (SELECT *, CASE WHEN trim(lower(kind)) IN ('formula', 'code', 'image', 'chart', 'table') THEN trim(lower(kind)) WHEN tag = 'table' THEN 'table' WHEN tag IN ('pre', 'code') OR starts_with(text, '```') THEN 'code' WHEN tag = 'img' THEN 'image' WHEN latex IS NOT NULL OR (g = 7 AND s % 2 = 0 AND s % 4 = 0) THEN 'formula' ELSE 'text' END AS found FROM a)
 SELECT k AS p_partkey, found AS kind, CASE WHEN found IN ('image', 'chart') THEN '' WHEN found = 'table' AND s % 3 = 0 THEN '<table>' || s || '</table>' ELSE text END AS target, found IN ('formula', 'image', 'chart') OR latex IS NOT NULL AS skipped, found IN ('table', 'image', 'chart') OR tag = 'table' AS special, s % 5 = 0 OR trim(CASE WHEN s % 7 = 0 THEN '' ELSE md END) <> '' AS manual, CASE WHEN s % 4 = 0 THEN NULL WHEN s % 4 = 1 THEN NULL ELSE 'g' || s END AS gid, s / 50.0::DOUBLE IS NULL OR (s / 50.0::DOUBLE BETWEEN 0.25 AND 0.70) AS occupancy FROM c""")
 def content_kinds(spark: SparkSession, sf: str) -> DataFrame:
     """Kinds of blocks, their targets, which slots are skipped, which blocks are special or of hand, groups, occupancy."""
     g, s = F.col("p_partkey") % 8, F.col("p_size")
     kind = F.when(g == 0, "Table ").when(g == 1, "image").otherwise("")
-    tag = F.when(g == 2, "table").when(g == 3, "pre").when(g == 4, "img").otherwise("p")
+    tag = F.when(g == 2, "table").when(g == 3, "pre").when(g == 4, "img").when(g == 7, "span").otherwise("p")
     latex = F.when(g == 5, "x^2")
     text = F.when(g == 6, F.concat(F.lit("```"), "p_name")).when((g == 7) & (s % 2 == 0), F.concat(F.lit("$"), "p_name", F.lit(" \\sum$"))).otherwise(F.col("p_name"))
-    d = t(spark, sf, "part").withColumns({"text": text, "tag": tag, "latex": latex}).withColumn("kind", C.content_kind(kind, F.col("tag"), F.col("text"), F.col("latex")))
+    d = t(spark, sf, "part").withColumns({"text": text, "tag": tag, "latex": latex}).withColumn("kind", C.content_kind(kind, F.col("tag"), F.col("text"), F.col("latex"), F.when(s % 4 == 0, '<span class="Formula">').otherwise("<span>")))
     html = F.when(s % 3 == 0, F.concat(F.lit("<table>"), s.cast("string"), F.lit("</table>")))
     gid = F.when(s % 4 == 0, "null").when(s % 4 == 1, " ").otherwise(F.concat(F.lit("g"), s.cast("string")))
     return d.select("p_partkey", "kind", C.content_target(F.col("kind"), F.col("text"), html).alias("target"), C.skipped_slot(F.col("kind"), F.col("latex")).alias("skipped"), C.is_special_block(F.col("kind"), F.col("text"), F.col("tag")).alias("special"), C.is_manual(s % 5 == 0, F.when(s % 7 == 0, "").otherwise(F.col("p_name"))).alias("manual"), C.explicit_group(gid).alias("gid"), C.occupancy_ok(s / 50.0).alias("occupancy"))

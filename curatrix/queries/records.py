@@ -10,6 +10,7 @@ from ..functions import geometry as G
 from ..functions import records as R
 from ..functions import text as X
 from ..operators import annotations, documents, metrics, mixing, negatives, pages, pairs, selection, split, units
+from ..plans import stage
 from ..session import shared_folder, spread
 from ..sources import samples as S
 from .base import BOXES, SAMPLES, TURNS, boxes, key_sql, norm_sql, query, samples, similarity_sql, strip_sql, t, turns, uniform_sql
@@ -174,6 +175,15 @@ def distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.count_distinct(F.to_date("ts")).alias("days"))
 
 
+@query("""SELECT c_custkey, '/out/' || CASE WHEN c_custkey % 4 = 0 THEN 'misc' ELSE 'pool' END || '/' || replace(c_name, '#', '_') || '__a' || CASE WHEN c_custkey % 2 = 0 THEN '0p5' ELSE '1' END || '.jpg' AS image, 'x45' AS marker, CASE WHEN c_custkey % 2 = 0 THEN 0.0025 ELSE 0.005 END::DOUBLE AS share, 'src' || c_nationkey AS source, CAST(7 + 31 * CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE c_nationkey END AS INT) AS noise FROM customer""")
+def remade_markers(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples whose markers are made anew: places, scales, shares and seeds of noise."""
+    meta = F.struct(F.col("c_name").alias("sample_id"), F.when(F.col("c_custkey") % 4 == 0, "").otherwise("pool").alias("pool_id"), F.when(F.col("c_custkey") % 3 == 0, "page").otherwise(F.concat(F.lit("page__"), F.col("c_nationkey").cast("string"))).alias("page_id"))
+    d = t(spark, sf, "customer").select("c_custkey", meta.alias("metadata"), F.array(F.concat(F.lit("src"), F.col("c_nationkey").cast("string"))).alias("images"))
+    d = stage.remarked(d, F.when(F.col("c_custkey") % 2 == 0, 0.5).otherwise(1.0), "/out/", "x45", 7)
+    return d.select("c_custkey", F.col("images")[0].alias("image"), "metadata.marker", F.col("metadata.marker_area_frac").alias("share"), F.col("marker_source_render").alias("source"), F.col("noise_seed").alias("noise"))
+
+
 # Files.
 
 

@@ -139,6 +139,14 @@ def group_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("reward_mean"), 6).alias("mean_reward"), F.round(F.avg((F.col("verdict") == "signal").cast("double")), 6).alias("frac_signal"))
 
 
+@query(f"""WITH {ROLL}, {GROUPS}, y AS (SELECT z.*, CAST(conv_id % 5 AS VARCHAR) AS scene FROM z) SELECT scene, CAST(grouping(scene) AS BIGINT) AS gid, count(*) AS n, round(avg(CAST(verdict = 'signal' AS INT)), 6)::DOUBLE AS frac_signal, round(avg(reward_mean), 6)::DOUBLE AS mean_of_means, round(avg(reward_std), 6)::DOUBLE AS mean_of_stds, {", ".join(f"CAST(count_if(verdict = '{v}') AS BIGINT) AS {v}" for v in R.VERDICTS)} FROM y GROUP BY GROUPING SETS ((), (scene))""")
+def probe_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups over all and by scene: the share that still teaches, means of means and deviations, verdicts."""
+    s = probe.scored(_rollouts(spark, sf)).withColumn("scene", (F.col("sample_id") % 5).cast("string"))
+    d = probe.summary(s, "scene")
+    return d.select("scene", "gid", "n", *[F.round(c, 6).alias(c) for c in ("frac_signal", "mean_of_means", "mean_of_stds")], *R.VERDICTS)
+
+
 @query(TWO + f""", r AS (SELECT sample_id, CASE WHEN neg THEN 0 ELSE sim END AS source, CASE WHEN neg OR NOT said THEN 0 ELSE score END AS translation, CASE WHEN blank THEN 0.0 WHEN well_formed THEN 1.0 WHEN has_source AND has_translation THEN 0.4 WHEN has_source OR has_translation THEN 0.0 ELSE -0.5 END::DOUBLE AS xml,
 CASE WHEN neg THEN CASE WHEN blank THEN 1.0 WHEN empty_shell OR truncated THEN 0.5 ELSE 0.0 END WHEN blank THEN -1.0 ELSE 0.0 END::DOUBLE AS empty, CASE WHEN neg AND said THEN -1.0 ELSE 0.0 END::DOUBLE AS hallucination, CASE WHEN NOT neg AND {OVER} THEN -1.0 ELSE 0.0 END::DOUBLE AS over, CASE WHEN contains(prediction_raw, '<|im_end|>') THEN -1.0 ELSE 0.0 END::DOUBLE AS leak FROM w)
 SELECT sample_id, round(source, 6)::DOUBLE AS source, round(translation, 6)::DOUBLE AS translation, xml, empty, hallucination, over, leak, round(0.5 * source + translation + 0.5 * xml + 1.5 * empty + 1.5 * hallucination + 0.5 * over + 0.5 * leak, 6)::DOUBLE AS total FROM r""")

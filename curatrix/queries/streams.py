@@ -30,3 +30,13 @@ def stream_resumed_work(spark: SparkSession, sf: str) -> DataFrame:
         keys = _events(spark, sf).select("user_id", "event_id")
         resume.pending_batch(keys, f"{folder}/done", "user_id", lambda d: d.select("user_id", (F.col("event_id") > -1).alias("done")), f"{folder}/checkpoint{k}").awaitTermination()
     return spark.read.parquet(f"{folder}/done").drop("part")
+
+
+@query("SELECT event_type AS scene, count(*) AS n, round(avg(CAST(value >= 50 AS INT)), 6)::DOUBLE AS frac_signal, round(avg(value), 6)::DOUBLE AS mean_of_means, round(avg(value / 2), 6)::DOUBLE AS mean_of_stds FROM events GROUP BY event_type")
+def stream_probe_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored groups as they come: by scene the share that still teaches, and means of means and deviations."""
+    folder = shared_folder(spark, "probe")
+    d = _events(spark, sf).select(F.col("event_type").alias("scene"), F.col("value").alias("reward_mean"), (F.col("value") / 2).alias("reward_std"), F.when(F.col("value") >= 50, "signal").otherwise("flat").alias("verdict"))
+    by = d.groupBy("scene").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("verdict") == "signal").cast("double")).alias("frac_signal"), F.avg("reward_mean").alias("mean_of_means"), F.avg("reward_std").alias("mean_of_stds"))
+    resume.rolling(by, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return resume.latest_summary(spark, f"{folder}/out").select("scene", "n", *[F.round(c, 6).alias(c) for c in ("frac_signal", "mean_of_means", "mean_of_stds")])

@@ -27,8 +27,12 @@ def _batches(spark: SparkSession, out: str) -> list[int]:
 
 
 def rolling_summary(stream: DataFrame, key: str, value: str, at: str, out: str, checkpoint: str):
-    """Per key: count and mean so far, written anew with each batch; ends when all files are read. An older summary goes only after a newer one is whole."""
-    by = stream.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.max(at).alias("last"))
+    """Per key: count and mean so far; see rolling."""
+    return rolling(stream.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.max(at).alias("last")), out, checkpoint)
+
+
+def rolling(by: DataFrame, out: str, checkpoint: str):
+    """A streaming aggregate, written anew with each batch; ends when all files are read. An older one goes only after a newer one is whole."""
 
     def step(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
