@@ -38,7 +38,7 @@ TRAIN = 16_000
 #: Languages in one mask.
 BITS = 62
 #: Words and n-grams whose hits a task remembers, and n-grams that it looks up at once; bytes of what it remembers of each.
-MEMO, GRAM_MEMO, AT_ONCE = 400_000, 600_000, 200_000
+MEMO, GRAM_MEMO, AT_ONCE = 300_000, 400_000, 200_000
 MEMO_BYTES = 32 << 20
 #: Longer words are not remembered, and are looked up in parts.
 LONG = 10_000

@@ -16,7 +16,7 @@ however long, repeated rows alike; an empty table gives an empty result. Terms o
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -37,7 +37,7 @@ WINDOW, PAIRS = 8, 1 << 20
 #: The bound of the labelled rows that train.
 TRAIN = 20_000
 FACTORS, STEPS, BATCH, RATE, DECAY = 8, 500, 1024, 0.02, 1e-3
-MEMO = 500_000
+MEMO = 250_000
 #: Rows that a task works on at once.
 ROWS = 256
 _WORD = re.compile(r"\w+")
@@ -125,6 +125,22 @@ def _telling(by: DataFrame, n1: int, n0: int) -> DataFrame:
     return by.filter((n1 + n0) * (a * d - b * c) ** 2 >= TELLS * F.greatest(F.lit(1e-9), (a + b) * (c + d) * (a + c) * (b + d)))
 
 
+def _counted(terms: DataFrame, column: str, size: int, places: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """place, a, b: in how many toxic rows and clean ones each of `size` places, of which `places` gives a row's distinct ones, is. A task counts in an array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, size), np.int32)
+        for b in common.sliced(batches, ROWS):
+            for y, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                seen[y, places(np.asarray(x.values, np.int64))] += 1
+        at = np.flatnonzero(seen.any(0))
+        for i in range(0, len(at), 1 << 16):
+            x = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(seen[1, x], pa.int64()), pa.array(seen[0, x], pa.int64())], ["place", "a", "b"])
+
+    return terms.select("y", column).mapInArrow(run, "place long, a long, b long").groupBy("place").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
 def near_pairs(words: np.ndarray) -> np.ndarray:
     """Pairs (lesser * SLOTS + greater) of different slots within WINDOW words, as often as they stand there; a negative slot is in none."""
     found = [np.zeros(0, np.int64)]
@@ -143,24 +159,13 @@ def place_of(pairs: np.ndarray) -> np.ndarray:
 def _pair_slots(terms: DataFrame, known: np.ndarray, n1: int, n0: int) -> np.ndarray:
     """Members, not known, of pairs of such members that tell."""
 
-    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-        own = np.zeros(SLOTS, bool)
-        own[known] = True
-        for b in common.sliced(batches, ROWS):
-            for y, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                w = np.asarray(x.values, np.int64)
-                yield y, near_pairs(np.where(own[w], -1, w))  # a known word keeps its place
+    own = np.zeros(SLOTS, bool)
+    own[known] = True
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, PAIRS), np.int32)
-        for y, p in unknown(batches):
-            seen[y, np.unique(place_of(p))] += 1
-        at = np.flatnonzero(seen.any(0))
-        for i in range(0, len(at), 1 << 16):
-            x = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(seen[1, x], pa.int64()), pa.array(seen[0, x], pa.int64())], ["place", "a", "b"])
+    def without(words: np.ndarray) -> np.ndarray:
+        return np.where(own[words], -1, words)  # a known word keeps its place
 
-    told = terms.select("y", "words").mapInArrow(places, "place long, a long, b long").groupBy("place").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    told = _counted(terms, "words", PAIRS, lambda w: np.unique(place_of(near_pairs(without(w)))))
     hits = _numbers(_telling(told, n1, n0).select("place"))  # at most PAIRS
     if not len(hits):
         return hits
@@ -168,10 +173,12 @@ def _pair_slots(terms: DataFrame, known: np.ndarray, n1: int, n0: int) -> np.nda
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = np.zeros(PAIRS, bool)
         hit[hits] = True
-        for y, p in unknown(batches):
-            p = np.unique(p[hit[place_of(p)]])
-            if len(p):
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(np.full(len(p), y), pa.int64())], ["pair", "y"])
+        for b in common.sliced(batches, ROWS):
+            for y, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                p = near_pairs(without(np.asarray(x.values, np.int64)))
+                p = np.unique(p[hit[place_of(p)]])
+                if len(p):
+                    yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(np.full(len(p), y), pa.int64())], ["pair", "y"])
 
     by = terms.select("y", "words").mapInArrow(pairs, "pair long, y long").groupBy("pair").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     return _numbers(_telling(by, n1, n0).select(F.explode(F.array(F.floor(F.col("pair") / SLOTS), F.col("pair") % SLOTS)).alias("s")).distinct())  # at most SLOTS
@@ -193,8 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
     if not n:
         return None
     n1, n0 = n.get(1, 0), n.get(0, 0)
-    by = terms.select("y", F.explode("terms").alias("s")).groupBy("s").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    slots = _numbers(_telling(by, n1, n0).select("s"))  # at most SLOTS
+    slots = _numbers(_telling(_counted(terms, "terms", SLOTS, lambda x: x), n1, n0).select("place"))  # at most SLOTS
     slots = np.union1d(slots, _pair_slots(terms, slots, n1, n0)).astype(np.int64)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
