@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -11,49 +11,36 @@ from ..functions.keys import hkey, huniform
 
 # Limits of a short cluster.
 CLUSTER_GAP, CLUSTER_OVERLAP, DEK_CHARS, DEK_HEIGHT = 36.0, 0.35, 120, 48.0
-#: Which role may follow which.
-FOLLOWS = {"li": ("h", "dek", "li"), "dek": ("h",), "h": ("dek",)}
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
-def role_of(tag: str, n_chars: int, height: float) -> str | None:
-    if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        return "h"
-    if tag == "li":
-        return "li"
-    return "dek" if tag == "p" and n_chars <= DEK_CHARS and height <= DEK_HEIGHT else None
+def role_of(tag: Column, n_chars: Column, height: Column) -> Column:
+    """h, li, dek (a short lead), or null."""
+    return F.when(tag.isin(*HEADINGS), "h").when(tag == "li", "li").when((tag == "p") & (n_chars <= DEK_CHARS) & (height <= DEK_HEIGHT), "dek")
+
+
+def may_follow(role: Column, before: Column) -> Column:
+    return F.when(role == "li", before.isin("h", "dek", "li")).when(role == "dek", before == "h").when(role == "h", before == "dek")
 
 
 def clusters(blocks: DataFrame) -> DataFrame:
-    """(page_id, id, cluster): blocks (page_id, id, tag, markdown, x0, y0, x1, y1) chained in reading order.
+    """(page_id, id, cluster): blocks (page_id, id, tag, markdown, x0, y0, x1, y1) chained in reading order, each to the block with a role just before it.
 
-    A chain depends on what precedes, so a page goes through one loop; a page is one rendered screen. Chains of one block,
-    and those without a list item that are not a heading with its lead, are dropped.
+    Chains of one block, and those without a list item that are not a heading with its lead, are dropped; the others are
+    named by their first block.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y0", "x0", "id"], kind="stable")
-        chains: list[list] = []
-        for r in pdf.itertuples():
-            role = role_of(r.tag, len(r.markdown or ""), r.y1 - r.y0)
-            if role is None:
-                continue
-            last = chains[-1][-1] if chains else None
-            if last is not None:
-                p, was = last
-                shared = min(p.x1, r.x1) - max(p.x0, r.x0)
-                near = 0 <= r.y0 - p.y1 <= CLUSTER_GAP and shared / max(1e-6, min(p.x1 - p.x0, r.x1 - r.x0)) >= CLUSTER_OVERLAP
-                if near and was in FOLLOWS[role]:
-                    chains[-1].append((r, role))
-                    continue
-            chains.append([(r, role)])
-        rows = []
-        for c in chains:
-            roles = [x for _, x in c]
-            if len(c) >= 2 and ("li" in roles or sorted(roles) == ["dek", "h"]):
-                rows += [(r.page_id, r.id, c[0][0].id) for r, _ in c]
-        return pd.DataFrame(rows, columns=["page_id", "id", "cluster"])
-
-    return blocks.groupBy("page_id").applyInPandas(run, "page_id string, id string, cluster string")
+    d = blocks.withColumn("role", role_of(F.col("tag"), F.length(F.coalesce("markdown", F.lit(""))), F.col("y1") - F.col("y0"))).filter("role IS NOT NULL")
+    w = Window.partitionBy("page_id").orderBy("y0", "x0", "id")
+    was = {c: F.lag(c).over(w) for c in ("x0", "x1", "y1", "role")}
+    shared = F.least(was["x1"], F.col("x1")) - F.greatest(was["x0"], F.col("x0"))
+    near = (F.col("y0") - was["y1"]).between(0, CLUSTER_GAP) & (shared / F.greatest(F.lit(1e-6), F.least(was["x1"] - was["x0"], F.col("x1") - F.col("x0"))) >= CLUSTER_OVERLAP)
+    d = d.withColumn("new", F.when(near & may_follow(F.col("role"), was["role"]), 0).otherwise(1))
+    d = d.withColumn("chain", F.sum("new").over(w))
+    own = Window.partitionBy("page_id", "chain")
+    has = lambda r: F.max((F.col("role") == r).cast("int")).over(own) == 1
+    n = F.count(F.lit(1)).over(own)
+    d = d.withColumns({"keep": (n >= 2) & (has("li") | ((n == 2) & has("h") & has("dek"))), "cluster": F.first("id").over(own.orderBy("y0", "x0", "id"))})
+    return d.filter("keep").select("page_id", "id", "cluster")
 
 
 #: Side of the cells by which boxes of a page meet.
@@ -93,8 +80,6 @@ def sampled_points(boxes: DataFrame, per_box: int, seed: int, share: float = G.I
 
 def spread(boxes: DataFrame, n: int, page: str = "page_id") -> DataFrame:
     """The n largest boxes of each page that are not in the first fifth in reading order."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(page)
     d = boxes.withColumn("__at", F.row_number().over(w.orderBy("b.y0", "b.x0", "id"))).withColumn("__n", F.count(F.lit(1)).over(w))
     d = d.filter(F.col("__at") > F.floor(F.col("__n") * 0.2))
@@ -114,8 +99,6 @@ def in_hash_order(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 def empty_points(pages: DataFrame, boxes: DataFrame, n: int, margin: float, seed: int, tries: int = 24) -> DataFrame:
     """Up to n points of each page (page_id, w, h) at least margin from every box: the first of `tries` hash-uniform candidates that qualify."""
-    from pyspark.sql import Window
-
     own = boxes.groupBy("page_id").agg(F.collect_list("b").alias("boxes"))
     d = pages.join(own, "page_id", "left").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(tries))))
     d = d.withColumns({"x": huniform(f"{seed}ex", "page_id", "k") * F.col("w"), "y": huniform(f"{seed}ey", "page_id", "k") * F.col("h")})

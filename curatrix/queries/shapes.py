@@ -124,7 +124,9 @@ def groups_in_frame(spark: SparkSession, sf: str) -> DataFrame:
     return g.join(n, ["page_id", "group_id"]).select("page_id", "group_id", F.md5("markdown").alias("markdown"), "n")
 
 
-@query()
+@query(f"""WITH {BOXES}, r AS (SELECT page_id, id, x0, y0, x1, y1, CASE WHEN p_size % 3 = 0 THEN 'h' WHEN p_size % 3 = 1 THEN 'li' WHEN length(p_name) <= 120 AND y1 - y0 <= 48 THEN 'dek' END AS role FROM boxes), o AS (SELECT *, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, lag(y1) OVER w AS py1, lag(role) OVER w AS was FROM r WHERE role IS NOT NULL WINDOW w AS (PARTITION BY page_id ORDER BY y0, x0, CAST(id AS VARCHAR))),
+l AS (SELECT *, coalesce(y0 - py1 BETWEEN 0 AND 36 AND (least(px1, x1) - greatest(px0, x0)) / least(px1 - px0, x1 - x0)::DOUBLE >= 0.35 AND CASE role WHEN 'li' THEN true WHEN 'dek' THEN was = 'h' ELSE was = 'dek' END, false) AS link FROM o), c AS (SELECT *, sum(CAST(NOT link AS INT)) OVER (PARTITION BY page_id ORDER BY y0, x0, CAST(id AS VARCHAR)) AS chain FROM l),
+g AS (SELECT page_id, chain, count(*) AS n, bool_or(role = 'li') AS li, bool_or(role = 'h') AS h, bool_or(role = 'dek') AS dek, first(CAST(id AS VARCHAR) ORDER BY y0, x0, CAST(id AS VARCHAR)) AS cluster FROM c GROUP BY page_id, chain) SELECT CAST(page_id AS VARCHAR) AS page_id, CAST(id AS VARCHAR) AS id, cluster FROM c JOIN g USING (page_id, chain) WHERE n >= 2 AND (li OR (n = 2 AND h AND dek))""")
 def short_clusters(spark: SparkSession, sf: str) -> DataFrame:
     d = boxes(spark, sf)
     tag = F.when(F.col("p_size") % 3 == 0, "h2").when(F.col("p_size") % 3 == 1, "li").otherwise("p")

@@ -38,9 +38,10 @@ def bucket_for_block(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "documents").select("doc_id", C.bucket_for_block(F.col("text"), F.lit(None).cast("string")).alias("bucket"))
 
 
-@query()
+@query(f"""WITH x AS (SELECT item_id, {strip_sql('text')} AS m FROM benchmark), r AS (SELECT DISTINCT item_id FROM x, LATERAL (SELECT unnest(range(1, length(m) - 38)) AS i) i, (SELECT unnest(range(8, 81)) AS n) n WHERE 5 * n.n <= length(m) - i.i + 1 AND substr(m, i.i, 5 * n.n) = repeat(substr(m, i.i, n.n), 5))
+SELECT item_id, CASE WHEN m = '' THEN 'empty_label' WHEN item_id IN (SELECT item_id FROM r) THEN 'repetition' WHEN contains(m, chr(65533)) THEN 'replacement_char' WHEN length(m) - length(replace(m, '<', '')) > 20 AND length(replace(m, '<', '')) <> length(replace(m, '>', '')) THEN 'broken_html' ELSE 'ok' END AS reason FROM x""")
 def label_filter_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    """Reasons to drop a label; repetition is a back reference, which the oracle's patterns lack."""
+    """Reasons to drop a label."""
     return t(spark, sf, "benchmark").select("item_id", C.label_reason(F.col("text"), F.lit(None).cast("string")).alias("reason"))
 
 
