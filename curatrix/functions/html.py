@@ -41,6 +41,19 @@ def with_paragraphs(html: Column, texts: Column) -> Column:
     return inserted_before(html, "</body>", F.array_join(F.transform(texts, lambda x: F.concat(F.lit("<p>"), html_escape(x), F.lit("</p>"))), ""))
 
 
+def with_filler(html: Column, texts: Column, heading: Column, more: Column, draw: Column, share: float = 0.7) -> Column:
+    """A paragraph for each of the texts, and, where the draw is under the share, a heading and the first two of `more`, at the end of the article, else of the main part, else of the body."""
+    p = lambda x, name: F.concat(F.lit(f'<p data-block-id="{name}'), F.lit('">'), html_escape(x), F.lit("</p>"))
+    numbered = F.transform(texts, lambda x, i: F.concat(F.lit('<p data-block-id="extra_p'), i.cast("string"), F.lit('">'), html_escape(x), F.lit("</p>")))
+    extra = F.when(draw < share, F.concat(F.lit('<h2 data-block-id="extra_h">'), html_escape(heading), F.lit("</h2>"), p(F.get(more, F.lit(0)), "extra_h_p0"), p(F.get(more, F.lit(1)), "extra_h_p1"))).otherwise("")
+    snippet = F.concat(F.array_join(numbered, ""), extra)
+    low = F.lower(html)
+    out = F.when(F.size(texts) == 0, html)
+    for end in ("</article>", "</main>"):
+        out = out.when(F.contains(low, F.lit(end)), inserted_before(html, end, snippet))
+    return out.otherwise(inserted_before(html, "</body>", snippet))
+
+
 def framed(html: Column, shell: Column) -> Column:
     """The body within a window of the shell's name; unchanged for none."""
     none = F.lower(F.coalesce(shell, F.lit("none"))).isin("", "none")

@@ -33,7 +33,7 @@ class _Blocks(HTMLParser):
         a = dict(attrs)
         if tag in ("p", "li", "td", "th", "dt", "dd") and self.stack and self.stack[-1]["tag"] == tag:
             self._pop()
-        top = {"tag": tag, "id": a.get("data-block-id"), "group": a.get("data-semantic-group"), "translation": a.get("data-translation"), "domain": a.get("data-mt-domain"), "text": [], "pos": -1}
+        top = {"tag": tag, "id": a.get("data-block-id"), "group": a.get("data-semantic-group"), "translation": a.get("data-mt-zh") or a.get("data-translation"), "latex": a.get("data-latex"), "domain": a.get("data-mt-domain"), "text": [], "pos": -1}
         if top["id"] is not None or tag in BLOCKS:
             top["pos"] = len(self.out)
             self.out.append(top)
@@ -56,7 +56,9 @@ class _Blocks(HTMLParser):
                 return
 
 
-def _markdown(tag: str, text: str) -> str:
+def _markdown(tag: str, text: str, latex: str | None = None) -> str:
+    if latex:
+        return f"$${latex}$$" if "\n" in latex or len(latex) > 40 else f"${latex}$"
     text = text.strip("\n") if tag == "pre" else " ".join(text.split())
     if not text:
         return ""
@@ -70,7 +72,7 @@ def blocks_of(html: str | None) -> list[dict]:
     p.feed(html or "")
     p.close()
     named = [x for x in p.out if x["id"] is not None]
-    return [{"pos": i, "id": x["id"] or f"b{i}", "tag": x["tag"], "markdown": _markdown(x["tag"], "".join(x["text"])), "translation": x["translation"], "domain": x["domain"]} for i, x in enumerate(named or p.out)]
+    return [{"pos": i, "id": x["id"] or f"b{i}", "tag": x["tag"], "markdown": _markdown(x["tag"], "".join(x["text"]), x["latex"]), "translation": x["translation"], "domain": x["domain"]} for i, x in enumerate(named or p.out)]
 
 
 BLOCK_ROWS = "page_id long, pos int, id string, tag string, markdown string, translation string, domain string"

@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+# Slices of the curricula and their shares.
+MIXES = {
+    "a1_v2": {"long_center": 0.82, "empty_neg": 0.18},
+    "a2": {"replay": 0.22, "adjacency": 0.14, "multi_frag": 0.10, "semantic_group": 0.14, "corner_extreme": 0.06, "special": 0.12, "desktop": 0.14, "near_edge": 0.08},
+    "a2_v2": {"replay_long": 0.24, "adjacency": 0.16, "multi_frag": 0.16, "semantic_group": 0.20, "corner_extreme": 0.12, "empty_neg": 0.10, "special_light": 0.02},
+}
+
+
 def largest_remainder(mix: dict[str, float], n: int) -> dict[str, int]:
     """Of plan parameters, on the driver. Shares are normalised, so counts add up to n; ties go to the earlier key."""
     total = sum(mix.values())

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as C
 from ..functions import geometry as G
+from ..functions import html as H
 from ..functions import records as R
 from ..functions import text as X
-from ..operators import annotations, documents, metrics, mixing, negatives, pages, pairs, selection, split, units
+from ..functions.keys import huniform
+from ..operators import annotations, documents, metrics, mixing, negatives, pages, pairs, quota, selection, split, units
 from ..plans import stage
 from ..session import shared_folder, spread
 from ..sources import samples as S
@@ -333,6 +335,23 @@ def page_samples(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("sample_id", "pool_id", "page_id", "region", "is_negative", F.md5("target").alias("target"))
 
 
+@query(f"""WITH p AS (SELECT page_id, html, {uniform_sql('61', 'page_id')} AS u, '<p data-block-id="extra_p0">a &lt; b</p><p data-block-id="extra_p1">c</p>' AS ps FROM pages), s AS (SELECT *, ps || CASE WHEN u < 0.7 THEN '<h2 data-block-id="extra_h">More</h2><p data-block-id="extra_h_p0">d</p><p data-block-id="extra_h_p1">e</p>' ELSE '' END AS snippet,
+ CASE WHEN contains(lower(html), '</article>') THEN strpos(lower(html), '</article>') WHEN contains(lower(html), '</main>') THEN strpos(lower(html), '</main>') WHEN contains(lower(html), '</body>') THEN strpos(lower(html), '</body>') ELSE length(html) + 1 END AS place FROM p) SELECT page_id, md5(left(html, place - 1) || snippet || substr(html, place)) AS filled FROM s""")
+def page_filler(spark: SparkSession, sf: str) -> DataFrame:
+    """Paragraphs and, on seven of ten pages, a heading with two more, at the end of a page's main part."""
+    listed = lambda *x: F.array(*map(F.lit, x))
+    return t(spark, sf, "pages").select("page_id", F.md5(H.with_filler(F.col("html"), listed("a < b", "c"), F.lit("More"), listed("d", "e"), huniform("61", "page_id"))).alias("filled"))
+
+
+@query("""WITH m(mix, slice, share, i) AS (VALUES ('a1_v2', 'long_center', 0.82, 0), ('a1_v2', 'empty_neg', 0.18, 1), ('a2', 'replay', 0.22, 0), ('a2', 'adjacency', 0.14, 1), ('a2', 'multi_frag', 0.10, 2), ('a2', 'semantic_group', 0.14, 3), ('a2', 'corner_extreme', 0.06, 4), ('a2', 'special', 0.12, 5), ('a2', 'desktop', 0.14, 6), ('a2', 'near_edge', 0.08, 7),
+ ('a2_v2', 'replay_long', 0.24, 0), ('a2_v2', 'adjacency', 0.16, 1), ('a2_v2', 'multi_frag', 0.16, 2), ('a2_v2', 'semantic_group', 0.20, 3), ('a2_v2', 'corner_extreme', 0.12, 4), ('a2_v2', 'empty_neg', 0.10, 5), ('a2_v2', 'special_light', 0.02, 6)), n AS (SELECT count(*) AS n FROM orders),
+e AS (SELECT *, share::DOUBLE * n AS exact FROM m, n), b AS (SELECT *, floor(exact + 1e-9) AS base FROM e) SELECT mix, slice, CAST(base + CAST(row_number() OVER (PARTITION BY mix ORDER BY round(exact - base, 9) DESC, i) <= n - sum(base) OVER (PARTITION BY mix) AS INT) AS BIGINT) AS n FROM b""")
+def curriculum_quotas(spark: SparkSession, sf: str) -> DataFrame:
+    """The curricula's slices of as many rows as there are orders."""
+    n = t(spark, sf, "orders").count()
+    return spark.createDataFrame([(m, k, v) for m, mix in quota.MIXES.items() for k, v in quota.largest_remainder(mix, n).items()], "mix string, slice string, n long")
+
+
 @query()
 def parsed_by_sql(spark: SparkSession, sf: str) -> DataFrame:
     """The registered table function, from SQL."""

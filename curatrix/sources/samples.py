@@ -152,6 +152,14 @@ def laid_out(df: DataFrame, n: int, order: str) -> DataFrame:
     return df.filter(F.aggregate("cells", F.lit(0), lambda a, c: a + F.size(c)) > 0).orderBy(order).limit(n)
 
 
+def staged(df: DataFrame, present: DataFrame) -> DataFrame:
+    """Chat rows as parts, images that are not there (path, present) left out; every row stays."""
+    d = df.withColumn("__id", F.monotonically_increasing_id())
+    kept = d.select("__id", F.posexplode("images").alias("__k", "path")).join(present.filter("present").select("path"), "path").groupBy("__id").agg(F.array_sort(F.collect_list(F.struct("__k", "path"))).alias("__kept"))
+    d = d.join(kept, "__id", "left").withColumn("images", F.coalesce(F.transform("__kept", lambda x: x["path"]), F.array().cast("array<string>")))
+    return as_openai(d.drop("__id", "__kept"))
+
+
 def trainable(df: DataFrame, present: DataFrame) -> DataFrame:
     """Chat rows as parts, without those of under two messages or with an image that is listed but not there (path, present); rows of text only stay."""
     d = df.filter(F.size("messages") >= 2).withColumn("__id", F.coalesce("metadata.sample_id", F.xxhash64("messages").cast("string")))

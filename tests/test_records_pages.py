@@ -183,6 +183,19 @@ def test_manifests_digests_and_counts(spark, tmp_path):
     assert {tuple(r) for r in S.write_counted(d.withColumn("split", F.lit("train")), f"{tmp_path}/c", ["split"]).collect()} == {("train", 2)}
 
 
+def test_images_that_are_not_there_are_left_out(spark):
+    one = [{"role": "user", "content": "<image>q"}]
+    d = spark.createDataFrame([(1, one, ["a", "b", "c"]), (2, one, ["x"]), (3, one, [])], "k long, messages array<struct<role: string, content: string>>, images array<string>")
+    there = spark.createDataFrame([("a", True), ("c", True), ("b", False)], "path string, present boolean")
+    got = {r.k: [(p.type, p.image or p.text) for p in r.messages[0].content] for r in S.staged(d, there).collect()}
+    assert got == {1: [("image", "a"), ("image", "c"), ("text", "q")], 2: [("text", "q")], 3: [("text", "q")]}
+
+
+def test_formulas_and_translations_of_blocks():
+    page = f'<div data-block-id="a" data-latex="x^2" data-mt-zh="z">x</div><td data-block-id="b"> two\n words </td><p data-block-id="c" data-latex="{"y" * 41}">y</p>'
+    assert [(b["id"], b["markdown"], b["translation"]) for b in documents.blocks_of(page)] == [("a", "$x^2$", "z"), ("b", "two words", None), ("c", f"$${'y' * 41}$$", None)]
+
+
 def test_commands(spark, tmp_path):
     rows = [{"sample_id": "1", "target": "x", "prediction": "x", "grpo_scene": "a"}, {"sample_id": "2", "target": "", "prediction": "", "grpo_scene": "a"}, {"sample_id": "3", "target": "y", "prediction": "no", "grpo_scene": None}]
     (tmp_path / "p.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows) + "{bad\n")
