@@ -34,18 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="curatrix-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        sc = spark.sparkContext  # the setting itself can't be changed in a running session
+        found = sc._curatrix_folder = getattr(sc, "_curatrix_folder", None) or "file://" + tempfile.mkdtemp(prefix="curatrix-")
     fs, at = _fs(spark, found)
     return fs.makeQualified(at).toString().rstrip("/")
 
 
+def arrow_uri(uri: str) -> str:
+    """A folder as Hadoop names it, as Arrow does."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file" and not rest.startswith("//"):
+        rest = "//" + rest
+    return ("s3" if scheme in ("s3a", "s3n") else scheme) + ":" + rest
+
+
 def filesystem(uri: str) -> tuple[FileSystem, str]:
-    """Arrow's file system and path for a folder as Hadoop names it (with its scheme; see shared_dir)."""
+    """Arrow's file system and path for a folder with its scheme (see shared_dir)."""
     from pyarrow.fs import FileSystem
 
-    scheme, colon, rest = uri.partition(":")
-    return FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + ("//" + rest if scheme == "file" and not rest.startswith("//") else rest))
+    return FileSystem.from_uri(arrow_uri(uri))
 
 
 def _fs(spark: SparkSession, path: str):

@@ -1,7 +1,9 @@
 """Best-fit packing by sum of squares.
 
 Pieces go one by one, long ones first, into the open sequence (or a new one) that makes the sum over gaps g of the squared
-number of open sequences with gap g least; ties go to the smaller gap. Only documents of over LENGTH tokens are cut.
+number of open sequences with gap g least; ties go to the smaller gap. Only documents of over LENGTH tokens are cut. The
+rule keeps gaps of all kinds open, which pays if some mix of lengths fills them; where none does (say, all pieces have 500
+tokens), gaps that hardly any piece fits count as full.
 
 The job is dealt: each piece has a number of its own, and goes by its hash to one of the groups of about GROUP, each
 packed by a task of its own from lengths alone; repeated rows, too, spread evenly. What groups leave in sequences that
@@ -30,6 +32,8 @@ LENGTH = 4096
 SEPARATOR = 1
 GROUP = 40_000
 FULL = 0.98
+#: What may be wasted before other bins count as full, and the parts of all tokens that pieces under the gap then have.
+WASTE, PARTS = 0.005, (0.001, 0.01, 0.1)
 OUT = ("doc_id", "piece", "start", "length", "ids_crc32")
 
 
@@ -52,19 +56,24 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def sum_of_squares(lengths: np.ndarray, size: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin and offset of each length, in the given order; and what each bin holds."""
+def sum_of_squares(lengths: np.ndarray, size: int = LENGTH, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bin and offset of each length, in the given order; and what each bin holds. A bin with a gap under `least` counts as full until only shorter pieces are left."""
     n = np.zeros(size + 1, np.int64)  # open bins by gap
     by_gap: list[list[int]] = [[] for _ in range(size + 1)]
     to, at, held = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), []
+    last = max((i for i, a in enumerate(lengths.tolist()) if a >= least), default=-1)
+    never = np.iinfo(np.int64).max
     for i, a in enumerate(lengths.tolist()):
+        if least > 1 and i > last:
+            least = 1
+            n = np.array([len(x) for x in by_gap], np.int64)
         # A bin of gap g becomes one of g - a: 2 (n[g-a] - n[g]) + 2, but 1 - 2 n[g] if that fills it.
         gain = 2 * (n[: size + 1 - a] - n[a:]) + 2
-        gain[n[a:] == 0] = np.iinfo(np.int64).max
-        gain[0] = 1 - 2 * n[a] if n[a] else np.iinfo(np.int64).max
-        new = 2 * n[size - a] + 1 if a < size else 0
+        gain[:least] = 1 - 2 * n[a : a + least]
+        gain[n[a:] == 0] = never
+        new = 2 * n[size - a] + 1 if size - a >= least else 0
         k = int(gain.argmin())
-        if gain[k] <= new:
+        if gain[k] <= new and gain[k] != never:
             b = by_gap[k + a].pop()
             n[k + a] -= 1
         else:
@@ -74,16 +83,30 @@ def sum_of_squares(lengths: np.ndarray, size: int = LENGTH) -> tuple[np.ndarray,
         held[b] += a
         if k:
             by_gap[k].append(b)
-            n[k] += 1
+            n[k] += k >= least
     return to, at, np.array(held, np.int64)
 
 
+def fewest(lengths: np.ndarray, size: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """sum_of_squares with all gaps open. Where that wastes over WASTE, as it does if no mix of lengths fills a bin, also with gaps as full that only a small part of all tokens could go into; the fewest bins count."""
+    best = sum_of_squares(lengths, size)
+    total = int(lengths.sum())
+    in_order = np.sort(lengths)
+    upto = np.cumsum(in_order)
+    for part in PARTS:
+        if len(best[2]) <= -(-total // size) * (1 + WASTE) + 1:
+            break
+        found = sum_of_squares(lengths, size, int(in_order[np.searchsorted(upto, total * part, "right")]))
+        best = min(best, found, key=lambda x: len(x[2]))
+    return best
+
+
 def _packed(df: DataFrame, groups: int, size: int) -> DataFrame:
     """Adds g, bin, offset and held to each row, group by group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "ids_crc32", "doc_id", "piece", "number"], ascending=[False, True, True, True, True], kind="stable").reset_index(drop=True)
-        to, at, held = sum_of_squares(pdf["length"].to_numpy(), size)
+        to, at, held = fewest(pdf["length"].to_numpy(), size)
         return pdf.assign(bin=to, offset=at, held=held[to] if len(held) else to)
 
     d = df.withColumn("g", F.pmod(F.xxhash64("number"), F.lit(groups)))

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from curatrix.llm import bpe, packing
 
@@ -64,3 +65,55 @@ def test_few_sequences():
     lengths = np.sort(np.minimum(4095, rng.lognormal(6.5, 1.0, 20_000).astype(int) + 1))[::-1]
     _, _, held = packing.sum_of_squares(lengths)
     assert len(held) <= -(-lengths.sum() // 4096) * 1.002 + 1
+
+
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+def checked(out):
+    """Each sequence is gapless from 0 and not too long; their number."""
+    by = out.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("x"))
+    held = F.aggregate("x", F.lit(0).cast("long"), lambda at, p: F.when(at == p["offset"], at + p["length"]).otherwise(-1_000_000))
+    n, least, most = by.agg(F.count(F.lit(1)), F.min(held), F.max(held)).first()
+    assert 0 < least and most <= 4096
+    return n
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    d = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(500).cast("long").alias("length"), F.lit(1).cast("long").alias("ids_crc32"))
+    rows = d.withColumn("number", F.monotonically_increasing_id())
+    sizes = [r["count"] for r in rows.groupBy(F.pmod(F.xxhash64("number"), F.lit(100)).alias("g")).count().collect()]
+    assert len(sizes) == 100 and max(sizes) < 1200  # what a task holds
+    out = packing.pack(d, group=1000)
+    assert out.count() == 100_000 and checked(out) <= -(-100_000 // 8) * 1.01
+
+
+def test_many_groups_cost_few_sequences(spark):
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(4096, rng.lognormal(6.5, 1.0, 30_000).astype(int) + 1)
+    d = spark.createDataFrame([(i, 0, 0, int(n), i % 97) for i, n in enumerate(lengths)], PIECES).repartition(6)
+    least = -(-int(lengths.sum()) // 4096)
+    for group, loss in ((500, 1.01), (3000, 1.003)):
+        assert checked(packing.pack(d, group=group)) <= least * loss + 2
+
+
+def test_lengths_that_fill_no_sequence():
+    """The plain rule keeps all gaps open; the fewest sequences are those of whole multiples."""
+    for lengths, want in ((np.full(4000, 500), 500), (np.r_[np.full(4000, 500), [1, 2, 3]], 500), (np.r_[np.full(3000, 1500), np.full(10, 40)], 1500), (np.full(100, 4095), 100)):
+        to, at, held = packing.fewest(lengths)
+        assert len(held) <= want * 1.03 + 1 and held.max() <= 4096 and held.sum() == lengths.sum()
+        for b in range(0, len(held), 50):
+            i = np.flatnonzero(to == b)
+            assert (at[i] == np.r_[0, np.cumsum(lengths[i])[:-1]]).all()
+
+
+def test_closed_gaps_open_for_short_pieces():
+    to, _, held = packing.sum_of_squares(np.array([60, 60, 35, 35, 5, 5]), 100, 10)
+    assert sorted(held.tolist()) == [100, 100] and set(to[:2]) == set(to[4:]) == {0, 1}
+
+
+def test_a_group_that_packs_well_is_packed_once(monkeypatch):
+    lengths = np.sort(np.random.default_rng(3).integers(1, 2000, 5000))[::-1]
+    a = packing.sum_of_squares(lengths)
+    b = packing.fewest(lengths)
+    assert all((x == y).all() for x, y in zip(a, b, strict=True))

@@ -52,6 +52,23 @@ def test_language_stage_keeps_short_clean_texts_and_rejects_other_languages(spar
     assert {r.doc_id for r in cp.language_stage(spark, docs, "").collect()} == set(range(400))
 
 
+def test_stages_take_repeated_rows_and_columns_of_results_names(spark, tmp_path_factory):
+    sf = str(tmp_path_factory.mktemp("sf"))
+    rows = [(i, f"guter satz nummer {i} mit worten {i * 3}" + (" scheusal" if i % 4 == 0 else ""), "de", "s", 1) for i in range(80)]
+    rows += [rows[1], rows[1], (None, "satz ohne nummer mit worten", None, None, None), (5, "", None, None, None), (5, None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("score", "predicted", "lang_pred", "support", "fp", "file", "row", "bucket", "component_id", "number"):
+        d = d.withColumn(c, F.lit("x"))
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    clean = [r for r in rows if "scheusal" not in (r[1] or "")]
+    kept = cp.toxicity_stage(spark, d, sf)
+    assert kept.columns == cp.COLUMNS and sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame(clean, kept.schema).collect()))
+    said = cp.language_stage(spark, d, sf)
+    assert said.columns == cp.COLUMNS and said.count() == len(rows) - 2
+    assert cp.near_dedup_stage(spark, d, sf).columns == cp.COLUMNS
+    assert cp.packing_stage(spark, d, sf).count() == len(rows)
+
+
 def test_empty_table(spark, no_docs, tmp_path_factory):
     sf = str(tmp_path_factory.mktemp("sf"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")

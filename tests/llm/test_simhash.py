@@ -86,3 +86,24 @@ def test_components_of_chains_and_hubs(spark):
 def test_query_has_hex_fingerprints(docs):
     d = sh.near_duplicates(docs).select(F.lpad(F.lower(F.hex("fp")), 16, "0").alias("f"))
     assert d.filter(~F.col("f").rlike("^[0-9a-f]{16}$")).count() == 0
+
+
+def test_any_long_is_an_id_and_hot_fingerprints_keep_theirs(spark, monkeypatch):
+    """Ids of 2^62 and more, negative ones and none; two thirds of the rows have one of two fingerprints."""
+    from curatrix.llm import common
+
+    monkeypatch.setattr(common, "HOT", 4)
+    text = lambda s: " ".join(f"{s}{i}" for i in range(40))
+    rows = [((1 << 62) + 5, text("a")), ((1 << 63) - 1, text("a")), (-(1 << 63), text("b")), (1 << 62, text("b")), (None, text("c")), (None, text("c")), (None, text("d")), ((1 << 62) + 9, text("d"))]
+    rows += [(1000 + i, "hot words here") for i in range(60)] + [(2000 + i, None) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in sh.near_duplicates(d).collect())
+    least = {text("a"): (1 << 62) + 5, text("b"): -(1 << 63), text("c"): None, text("d"): (1 << 62) + 9, "hot words here": 1000, None: 2000}
+    assert got == sorted((str(k), str(least[x])) for k, x in rows)
+
+
+def test_one_row_of_each_component_stays(spark, docs, rows):
+    fps = [plain(r[1]) for r in rows]
+    roots = brute(fps, list(range(len(rows))), 4)
+    assert sh.first_of_each(docs).count() == len(set(roots))
+    assert sh.first_of_each(docs).columns == docs.columns
