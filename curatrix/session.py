@@ -54,8 +54,8 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="curatrix-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        sc = spark.sparkContext  # the setting itself can't be changed in a running session
+        base = sc._curatrix_folder = getattr(sc, "_curatrix_folder", None) or "file://" + tempfile.mkdtemp(prefix="curatrix-")
     path = f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
