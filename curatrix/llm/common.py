@@ -20,6 +20,8 @@ if TYPE_CHECKING:
 
 #: A key of over 1 / HOT of all rows is joined by broadcast: there are fewer than HOT of them.
 HOT = 2_000
+#: Rows of an Arrow batch of whole texts, at most.
+BATCH = 1_000
 #: Marks in a bucket of a list of them, about.
 BUCKET = 1 << 20
 
@@ -90,11 +92,23 @@ def drop_written(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """df, in whose session Arrow batches have BATCH rows at most from now on: rows hold whole texts, and batches of them stand in an executor's memory beside its heap several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH:
+        df.sparkSession.conf.set(key, str(BATCH))
+    return df
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The batches in parts of so many rows, for work that takes much more memory than its input."""
+    import pyarrow as pa
+
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+        del b
+        pa.default_memory_pool().release_unused()
 
 
 def fold(key: Column, folds: int) -> Column:

@@ -128,7 +128,7 @@ def fit(docs: DataFrame) -> Filters:
 
 def annotated(docs: DataFrame, filters: Filters) -> DataFrame:
     """docs with lang_pred, score and support: one pass over whole texts, no shuffle. Columns of docs that have these names are replaced."""
-    docs = docs.drop("lang_pred", "score", "support")
+    docs = common.short_batches(docs.drop("lang_pred", "score", "support"))
     # The filters, of a fixed size, go to executors once.
     shared = docs.sparkSession.sparkContext.broadcast((filters.names, np.flatnonzero(filters.slots.any(0)), filters.slots[:, filters.slots.any(0)], filters.rate))
 

@@ -209,7 +209,7 @@ def labelled(fps: DataFrame, bits: int) -> DataFrame:
 
 def first_of_each(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     """docs without the rows that are near-duplicates of another: of each component the row of the least doc_id stays, of several such rows, or rows without doc_id, one. Texts are not shuffled."""
-    d = common.located(docs, "dedup-docs")
+    d = common.short_batches(common.located(docs, "dedup-docs"))
     fps = common.written(fingerprints(d, words, ("file", "row")), "dedup-fp")
     found = common.written(labelled(fps, bits), "dedup-component")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")

@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
     y = labels.filter(F.col("toxic").isNotNull() & (common.fold(F.col("doc_id"), FOLDS) != 0)).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     y = common.bounded_sample(y, "doc_id", TRAIN)
     known = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")  # at most TRAIN rows of two numbers
-    known = known.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    known = common.short_batches(known.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")))
     terms = common.written(_terms(known), "toxic-terms")
     n = dict(terms.groupBy("y").count().collect())
     if not n:
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
 
 def annotated(docs: DataFrame, model: Machine | None) -> DataFrame:
     """docs with score and predicted (1: toxic): one pass over whole texts, no shuffle. Columns of docs that have these names are replaced."""
-    docs = docs.drop("score", "predicted")
+    docs = common.short_batches(docs.drop("score", "predicted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {int(s): i for i, s in enumerate(model.slots)} if model else {}
