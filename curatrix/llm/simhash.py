@@ -209,22 +209,24 @@ def labelled(fps: DataFrame, bits: int) -> DataFrame:
 
 def first_of_each(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
     """docs without the rows that are near-duplicates of another: of each component the row of the least doc_id stays, of several such rows, or rows without doc_id, one. Texts are not shuffled."""
-    d = common.short_batches(common.located(docs, "dedup-docs"))
+    columns = docs.columns
+    own = [f"__own_{c}" if c in ("file", "row", "bucket") else c for c in columns]
+    d = common.short_batches(common.located(docs.toDF(*own), "dedup-docs"))
     fps = common.written(fingerprints(d, words, ("file", "row")), "dedup-fp")
     found = common.written(labelled(fps, bits), "dedup-component")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
     first = common.written(found.groupBy("root").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "dedup-first")
     gone = common.hot_join(found, first, "root").filter(F.col("first") != place).select("file", "row", F.lit(0).cast("long").alias("value"))
     marks = common.mark(common.written(gone, "dedup-gone"), "dedup-marks")
-    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = common.Lookup(marks)
         for b in batches:
             where = zip(*(b.column(c).to_pylist() for c in ("file", "row", "bucket")), strict=True)
-            yield b.select(columns).filter(pa.array([look.of(*x) is None for x in where], pa.bool_()))
+            kept = b.select(own).filter(pa.array([look.of(*x) is None for x in where], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, columns)
 
-    return d.select(*columns, "file", "row", marks.bucket()).mapInArrow(run, docs.schema)
+    return d.select(*own, "file", "row", marks.bucket()).mapInArrow(run, docs.schema)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,4 +106,7 @@ def test_one_row_of_each_component_stays(spark, docs, rows):
     fps = [plain(r[1]) for r in rows]
     roots = brute(fps, list(range(len(rows))), 4)
     assert sh.first_of_each(docs).count() == len(set(roots))
-    assert sh.first_of_each(docs).columns == docs.columns
+    clash = docs.select("text", "doc_id", F.col("lang").alias("file"), F.lit(5).alias("row"), F.lit("b").alias("bucket"), "h")
+    got = sh.first_of_each(clash)
+    assert got.columns == clash.columns and {(r.row, r.bucket) for r in got.collect()} == {(5, "b")} and got.count() == len(set(roots))
+    assert {r.file for r in got.collect()} <= {r.lang for r in docs.collect()}
