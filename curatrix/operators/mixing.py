@@ -103,8 +103,14 @@ def overlapping(df: DataFrame, order: str, key: str, window: int, seed: int, out
 
 
 def positions(df: DataFrame, order: str, key: str, out: str = "position") -> DataFrame:
-    """Adds the place, from 0, of each row in the order of two columns: ranges are counted side by side, and the counts before a range are its offset."""
+    """Adds the place, from 0, of each row in the order of two columns (in the first one's stead if out names it): ranges are counted side by side, and the counts before a range are its offset.
+
+    Bounds of ranges are sampled anew wherever a plan ranges rows, so counts and rows would not agree on them: ranged rows are written, and both read that.
+    """
+    from ..session import as_written
+
     d = df.repartitionByRange(order, key).sortWithinPartitions(order, key).withColumn("__m", F.monotonically_increasing_id())
+    d = as_written(d.drop(order) if out == order else d, "ranges")
     d = d.withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = d.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # a row a range
     before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).drop("__n")
@@ -113,11 +119,8 @@ def positions(df: DataFrame, order: str, key: str, out: str = "position") -> Dat
 
 def interleaved_locally(df: DataFrame, strata: list[str], key: str, seed: int, n: int, out: str = "ord") -> DataFrame:
     """Rounds over the strata, then a local shuffle in windows of a fiftieth of the n rows, 8 at least."""
-    from ..session import as_written
-
-    d = interleaved(df.withColumn("__strata", F.concat_ws("|", *strata)), "__strata", key, seed, "__o").drop("__strata")
-    d = as_written(positions(d, "__o", key, "__place").drop("__o"), "rounds")  # a range's bounds are sampled, so they are fixed by writing
-    return overlapping(d, "__place", key, max(8, n // 50), seed, out).drop("__place")
+    d = interleaved(df.withColumn("__strata", F.concat_ws("|", *strata)), "__strata", key, seed, "__place").drop("__strata")
+    return overlapping(positions(d, "__place", key, "__place"), "__place", key, max(8, n // 50), seed, out).drop("__place")
 
 
 def unseen_rounds(df: DataFrame, strata: list[str], key: str, seed: int, n: int) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -84,6 +85,36 @@ def test_interleaved_and_runs(spark):
     assert mixing.longest_run(r.limit(0), "k", "o").first().max_run == 0
 
 
+def test_rounds_mixed_locally_over_sampled_ranges(spark):
+    n, w = 30000, 600
+    h = lambda *x: hashlib.md5("|".join(map(str, x)).encode()).hexdigest()
+    at = {}
+    for s in range(3):  # rounds over three strata
+        at |= {i: (f"{rn:012d}|{h(42, rn, f'{s}|x')}", i) for rn, i in enumerate(sorted(range(s, n, 3), key=lambda i: (h(42, i), i)), 1)}
+    rounds = sorted(at, key=at.get)
+
+    def shuffled(ids, seed, half):  # within windows, the first of which may be half as wide
+        cut = [ids[max(0, a) : a + w] for a in range(-half, n, w)]
+        return [i for c in cut for i in sorted(c, key=lambda i: (h(seed, i), i))]
+
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    old = {k: spark.conf.get(k) for k in conf}
+    d = spark.range(n).select("id", (F.col("id") % 3).cast("string").alias("a"), F.lit("x").alias("b"), F.lit(1).alias("more"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        o = d.withColumn("o", F.md5(F.col("id").cast("string")))
+        got = {r.id: r.position for r in mixing.positions(o, "o", "id").collect()}
+        mixed = mixing.interleaved_locally(d, ["a", "b"], "id", 42, n)
+        found = {r.id: r.ord for r in mixed.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: p for p, i in enumerate(sorted(range(n), key=lambda i: h(i)))}
+    assert mixed.columns == ["id", "a", "b", "more", "ord"]
+    assert found == {i: p for p, i in enumerate(shuffled(shuffled(rounds, "42a", 0), "42b", w // 2))}
+
+
 def test_dedup(spark):
     d = spark.createDataFrame([("A  b", 1, 0), ("a B", 0, 1), ("c", 1, 2), ("d", 1, 3), ("e", 1, 4)], "t string, source int, line int").withColumn("k", dedup.pair_key(F.col("t")))
     assert sorted(r.t for r in dedup.capped_sources(d, "k", "source", "source", "line", 2).collect()) == ["a B", "c", "d"]
